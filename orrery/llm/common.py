@@ -87,3 +87,9 @@ def spans_of(text: Column, pattern: str) -> Column:
 def ungrouped(pattern: str) -> str:
     """The pattern with its capturing groups made non-capturing."""
     return re.sub(r"\((?!\?)", "(?:", pattern)
+
+
+def small_or_not(df: DataFrame, max_rows: int) -> DataFrame:
+    """A kept table marked for broadcast if its rows, counted, are few enough; as it is otherwise,
+    so that a join with it shuffles."""
+    return F.broadcast(df) if df.count() <= max_rows else df

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from orrery.llm.common import slices
 
@@ -184,9 +184,10 @@ def judge(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[str,
     A narrow pass over the rows; memory follows the longest text. vocabulary_path: a piece model
     that every executor can open; by default the public tokenizer package's byte-fallback model."""
     used = BANDS | (bands or {})
-    chosen = docs.select(*carry, F.col("text").alias("_text"), F.col("lang").alias("_lang"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema) + ", " + COLUMNS
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    chosen = docs.select("text", "lang", *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)])
+    figures_schema = _parse_datatype_string(COLUMNS)
+    schema = StructType([*chosen.schema.fields[2:], *figures_schema.fields])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = vocabulary_path
@@ -196,17 +197,19 @@ def judge(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[str,
             path = public_tokenizers.path("piece_bpe_32k.model")
         vocabulary = Vocabulary(path)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(0).to_pylist()
             for part in slices(texts):
                 rows = batch.slice(part.start, part.stop - part.start)
-                figures = measure(texts[part], rows.column("_lang").to_pylist(), vocabulary, used)
-                columns = [rows.column(i) for i in range(len(carry))]
+                figures = measure(texts[part], rows.column(1).to_pylist(), vocabulary, used)
+                columns = [rows.column(2 + i) for i in range(len(carry))]
                 columns += [pa.array(figures[f.name], f.type) for f in list(arrow)[len(carry) :]]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return chosen.mapInArrow(run, schema)
+    found = chosen.mapInArrow(run, schema)
+    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)], *figures_schema.names)
 
 
 def keep_good(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
     """The documents that pass, with the columns they came with."""
-    return judge(docs, vocabulary_path, bands, tuple(docs.columns)).where("kept").select(*docs.columns)
+    whole = docs.select("text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return judge(whole, vocabulary_path, bands, ("row",)).where("kept").select("row.*")

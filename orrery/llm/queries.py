@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import licenses, mixing, pii, quality, secret_scan, tokens, url_filter
+from orrery.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, pii, quality, secret_scan, tokens, url_filter
 from orrery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.verdicts(table(spark, sf_dir, "pages"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.mark(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allot(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -36,6 +44,10 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.suffix_sums(tokens.histogram(table(spark, sf_dir, "documents")))
 
@@ -46,8 +58,11 @@ def queries() -> dict[str, Query]:
         "op2_secret_scans": op2_secret_scans,
         "op3_quality_rules": op3_quality_rules,
         "op4_url_filters": op4_url_filters,
+        "op5_line_dedup": op5_line_dedup,
+        "op7_decontamination": op7_decontamination,
         "op6_source_mixing": op6_source_mixing,
         "op8_personal_data": op8_personal_data,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_token_counts": op10_token_counts,
     }
 
