@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, pii, quality, secret_scan, tokens, url_filter
+from orrery.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, pii, quality, secret_scan, sql, tokens, url_filter
 from orrery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +30,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.mark(table(spark, sf_dir, "documents"))
+    marked = line_dedup.mark(table(spark, sf_dir, "documents"))
+    gone = F.array_sort(F.concat("exact", "near"))
+    counts = [F.size(c).cast("long").alias(f"n_{c}") for c in ("exact", "near")]
+    return marked.select("doc_id", "n_lines", *counts, F.array_join(gone.cast("array<string>"), ",").alias("gone"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
