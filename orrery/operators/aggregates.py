@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.distributions import gaussian_mean_var, gaussian_moments
 from orrery.operators.tree import CoverTree
+from orrery.sources.points import ranked
 
 NODE = ["scale", "center"]
 
@@ -145,9 +146,9 @@ def sample(tree: CoverTree, n: int, seed: int = 0, label: str = "label") -> Data
     there is one point)."""
     spark = tree.points.sparkSession
     # A point drawn at random rests where a descent by coverage shares does.
-    final = tree.final_address().select(*NODE, F.row_number().over(Window.orderBy("pid")).alias("at"))
+    final = ranked(tree.final_address().select("pid", *NODE), ["pid"], "at").select(*NODE, "at")
     total = tree.points.count()
-    draws = spark.range(n).select(F.col("id").alias("draw"), (F.floor(F.rand(seed) * total) + 1).cast("int").alias("at"))
+    draws = spark.range(n).select(F.col("id").alias("draw"), (F.floor(F.rand(seed) * total) + 1).cast("long").alias("at"))
     placed = draws.join(final, "at").select("draw", *NODE)
     each = placed.join(gaussians(tree, recursive=False), NODE)
     noise = F.sqrt(F.greatest("var", F.lit(0.0))) * F.randn(seed + 1)

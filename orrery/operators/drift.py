@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.distributions import gamma_table, posterior_kl, with_gamma
+from orrery.sources.points import ranked
 
 #: KL below this counts as none.
 NONZERO = 1e-10
+#: Ticks of a block in which asked ticks are looked up.
+TICK_BLOCK = 8192
 STATS = ["max", "min", "nz_count", "moment1_nz", "moment2_nz"]
 
 
@@ -35,11 +38,8 @@ def evidence(seq: DataFrame, ticks: DataFrame, window: int) -> DataFrame:
         asked = ticks.select(F.col("tick").alias("at"), F.floor(F.col("tick") / window).alias("block"))
         rows = seq.select("tick", "node", "bucket", near).join(asked, "block").where((F.col("tick") <= F.col("at")) & (F.col("tick") > F.col("at") - window))
         return rows.groupBy("at", "node", "bucket").agg(F.count("*").alias("n"))
-    # The running form: how many asked ticks come before a row says from which on it counts.
     asked = ticks.select(F.col("tick").alias("at"))
-    both = seq.select("tick", "node", "bucket", F.lit(0).alias("ask")).unionByName(asked.select(F.col("at").alias("tick"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("bucket"), F.lit(1).alias("ask")))
-    after = Window.orderBy("tick", "ask").rowsBetween(0, Window.unboundedFollowing)
-    first = both.withColumn("at", F.min(F.when(F.col("ask") == 1, F.col("tick"))).over(after)).where("ask = 0 and at is not null")
+    first = next_asked(seq, asked)
     parts = first.groupBy("at", "node", "bucket").agg(F.count("*").alias("n"))
     keys = parts.select("node", "bucket").distinct()
     grid = keys.crossJoin(F.broadcast(asked))  # asked ticks are a stated, bounded set
@@ -48,6 +48,19 @@ def evidence(seq: DataFrame, ticks: DataFrame, window: int) -> DataFrame:
     return joined.select("g.at", "g.node", "g.bucket", F.coalesce("p.n", F.lit(0)).alias("n")).withColumn("n", F.sum("n").over(upto)).where("n > 0")
 
 
+def next_asked(seq: DataFrame, asked: DataFrame) -> DataFrame:
+    """seq with `at`, the first asked tick not before the row's; rows after the last one go. Looked up
+    within blocks of TICK_BLOCK ticks, and for the rest of a block's rows in the blocks' own order."""
+    block = F.floor(F.col("tick") / TICK_BLOCK).alias("block")
+    marks = asked.select(F.col("at").alias("tick"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("bucket"), F.lit(1).alias("ask"))
+    both = seq.select("tick", "node", "bucket", F.lit(0).alias("ask")).unionByName(marks).select("*", block)
+    after = Window.partitionBy("block").orderBy("tick", "ask").rowsBetween(0, Window.unboundedFollowing)
+    here = both.withColumn("here", F.min(F.when(F.col("ask") == 1, F.col("tick"))).over(after)).where("ask = 0")
+    later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = both.groupBy("block").agg(F.min(F.when(F.col("ask") == 1, F.col("tick"))).alias("m")).select("block", F.min("m").over(later).alias("later"))
+    return here.join(blocks, "block").withColumn("at", F.coalesce("here", "later")).where("at is not null").select("tick", "node", "bucket", "at")
+
+
 def node_kl(prior: DataFrame, found: DataFrame, gamma: DataFrame) -> DataFrame:
     """at, node, evidence, kl."""
     return posterior_kl(prior, found, gamma, ["at"])
@@ -103,7 +116,8 @@ def baseline(spark: SparkSession, prior: DataFrame, steps: DataFrame, n_points:
     size = min(length or n_points, n_points)
     runs = spark.range(sequences).select(F.col("id").alias("run"))
     pids = steps.select("pid").distinct().crossJoin(F.broadcast(runs))  # a stated number of runs
-    order = pids.withColumn("tick", F.row_number().over(Window.partitionBy("run").orderBy(F.xxhash64(F.lit(seed), "run", "pid"), "pid"))).where(F.col("tick") <= size)
+    shuffled = ranked(pids.withColumn("_draw", F.xxhash64(F.lit(seed), "run", "pid")), ["run", "_draw", "pid"], "place", 0)
+    order = shuffled.select("pid", "run", (F.col("place") - F.col("run") * n_points + 1).alias("tick")).where(F.col("tick") <= size)
     asked = spark.range(sample_rate, size + 1, sample_rate).select(F.col("id").alias("at"))
     rows = order.join(steps, "pid").withColumn("slot", F.ceil(F.col("tick") / sample_rate) * sample_rate)
     parts = rows.groupBy("run", F.col("slot").alias("at"), "node", "bucket").agg(F.count("*").alias("n"))
