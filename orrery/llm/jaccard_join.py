@@ -267,9 +267,12 @@ def tied(ids: np.ndarray, sizes: np.ndarray, sigs: list[bytes], threshold: tuple
 
 def candidate_edges(lists: DataFrame, known: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
     """a, b: forest edges from every short list of two documents or more."""
-    lists = lists.distinct()
-    longs = lists.groupBy("shingle").agg(F.count("*").alias("size")).where("size > 1")
-    live = lists.join(longs, "shingle").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    lists = kept(lists, "short-lists")
+    # Most lists hold one text, at times more than once; two numbers a list tell.
+    shared = lists.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("shingle")
+    live = kept(lists.join(shared, "shingle", "left_semi").distinct(), "shared-lists")
+    sizes = live.groupBy("shingle").agg(F.count("*").alias("size"))
+    live = live.join(sizes, "shingle").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     meet = live.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     keyed = meet.select("id", "shingle", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))

@@ -25,7 +25,7 @@ from orrery.llm.common import doc_key, empty_text, kept, small_or_not
 
 #: Lines of fewer characters are only compared for equality.
 MIN_CHARS = 32
-#: Rows of two hashes that may be sent to every executor; beyond, the join shuffles.
+#: Rows of one or two hashes that may be sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 
 
@@ -72,41 +72,59 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
 
 
 def with_company(distinct: DataFrame) -> DataFrame:
-    """h1, h2 of lines that share a half with another line."""
-    shares = distinct.where(F.col("s0").isNotNull()).select("h1", "h2", F.explode(F.array_distinct(F.array("s0", "s1", "s2", "s3"))).alias("share"))
+    """h1 of lines that share a half with another line."""
+    shares = distinct.where(F.col("s0").isNotNull()).select("h1", F.explode(F.array_distinct(F.array("s0", "s1", "s2", "s3"))).alias("share"))
     common = shares.groupBy("share").agg(F.count("*").alias("n")).where("n > 1").select("share")
-    return shares.join(common, "share", "left_semi").select("h1", "h2").distinct()
+    return shares.join(common, "share", "left_semi").select("h1").distinct()
+
+
+def letter_hash(at: Column, letter: Column) -> Column:
+    return F.xxhash64(at, letter)
+
+
+def wholes(texts: DataFrame) -> DataFrame:
+    """h1, h2, n (characters), whole: the exclusive-or of the line's letter hashes."""
+    letters = F.transform(F.split("line", ""), lambda c, i: letter_hash(i, c))
+    whole = F.aggregate(letters, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    return texts.select("h1", "h2", F.length("line").alias("n"), whole.alias("whole"))
 
 
 def variants(texts: DataFrame) -> DataFrame:
-    """h1, h2, n (characters), at, variant: the hash of the line without the character at `at`;
-    and with null `at`, the hash of the whole line."""
-    chars = texts.select("h1", "h2", F.length("line").alias("n"), F.posexplode(F.split("line", "")).alias("at", "c"))
-    here, moved = F.xxhash64("at", "c"), F.xxhash64(F.col("at") - 1, "c")
+    """h1, h2, n (characters left), at, variant: the hash of the line without the character at `at`.
+    Lines are dealt out before they are taken apart, so their letters stay where they are."""
+    dealt = texts.select("h1", "h2", "line").repartition("h1", "h2")
+    chars = dealt.select("h1", "h2", F.length("line").alias("n"), F.posexplode(F.split("line", "")).alias("at", "c"))
     by = Window.partitionBy("h1", "h2").orderBy("at")
     before, upto, all_of = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("h1", "h2")
     head = F.coalesce(F.bit_xor("here").over(before), F.lit(0).cast("long"))
     tail = F.bit_xor("moved").over(all_of).bitwiseXOR(F.bit_xor("moved").over(upto))
-    hashed = chars.select("h1", "h2", "n", "at", here.alias("here"), moved.alias("moved"))
-    run = hashed.select("h1", "h2", "n", "at", head.bitwiseXOR(tail).alias("variant"), F.bit_xor("here").over(all_of).alias("whole"))
-    deleted = F.struct((F.col("n") - 1).alias("n"), "at", "variant")
-    own = F.struct("n", F.lit(None).cast("int").alias("at"), F.col("whole").alias("variant"))
-    none = F.lit(None).cast("struct<n:int,at:int,variant:bigint>")
-    both = F.explode(F.array_compact(F.array(deleted, F.when(F.col("at") == 0, own).otherwise(none)))).alias("v")
-    return run.select("h1", "h2", both).select("h1", "h2", "v.*")
+    hashed = chars.select("h1", "h2", "n", "at", letter_hash(F.col("at"), F.col("c")).alias("here"), letter_hash(F.col("at") - 1, F.col("c")).alias("moved"))
+    return hashed.select("h1", "h2", (F.col("n") - 1).alias("n"), "at", head.bitwiseXOR(tail).alias("variant"))
 
 
 def near_pairs(texts: DataFrame) -> DataFrame:
-    """h1, h2 of a line, e1, e2 of an earlier line within one edit of it. texts: h1, h2, line, place."""
-    placed = variants(texts).join(texts.select("h1", "h2", "place"), ["h1", "h2"])
+    """h1, h2 of a line, e1, e2 of an earlier line within one edit of it. texts: h1, h2, line, place.
+
+    A variant goes under the key of its length, place and hash, where substitutions meet; and if its
+    hash is that of a whole line, under the key that this line goes under too. Keys of one line end
+    there; what is left is small."""
+    whole = kept(wholes(texts), "whole-lines")
+    known = whole.select("n", F.col("whole").alias("variant"), F.lit(True).alias("grown")).distinct()
+    cut = variants(texts).join(small_or_not(kept(known, "whole-hashes"), BROADCAST_ROWS), ["n", "variant"], "left")
+    swap = F.struct(F.xxhash64("n", "variant", "at").alias("key"), F.lit(0).alias("kind"))
+    grow = F.when(F.col("grown"), F.struct(F.xxhash64("n", "variant").alias("key"), F.lit(1).alias("kind")))
+    emitted = cut.select("h1", F.explode(F.array_compact(F.array(swap, grow))).alias("v")).select("h1", "v.key", "v.kind")
+    emitted = emitted.unionByName(whole.select("h1", F.xxhash64("n", "whole").alias("key"), F.lit(2).alias("kind")))
+    # A key's lines differ in one character at one place, or are one line and its insertions.
+    by = Window.partitionBy("key")
+    met = kept(emitted.withColumns({"lo": F.min("h1").over(by), "hi": F.max("h1").over(by)}).where("lo != hi").select("key", "h1", "kind").distinct(), "met-lines")
     me = F.struct("place", "h1", "h2")
-    same_spot = Window.partitionBy("n", "at", "variant")
-    swapped = placed.where(F.col("at").isNotNull()).withColumn("e", F.min(me).over(same_spot)).where(me != F.col("e"))
-    pairs = swapped.select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))
-    whole = placed.where(F.col("at").isNull()).select("n", "variant", me.alias("a"))
-    cut = placed.where(F.col("at").isNotNull()).select("n", "variant", me.alias("b")).distinct()
-    grown = whole.join(cut, ["n", "variant"]).select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("e"))
-    pairs = pairs.unionByName(grown.select("late.h1", "late.h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2"))).distinct()
+    placed = met.join(texts.select("h1", "h2", "place"), "h1").select("key", "kind", me.alias("me"))
+    first = F.min("me").over(Window.partitionBy("key"))
+    swapped = placed.where("kind = 0").select(F.col("me").alias("late"), first.alias("e")).where("late != e")
+    lines_, grown = placed.where("kind = 2").select("key", F.col("me").alias("a")), placed.where("kind = 1").select("key", F.col("me").alias("b"))
+    both = lines_.join(grown, "key").select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("e"))
+    pairs = swapped.unionByName(both).select("late.h1", "late.h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct()
     line = texts.select("h1", "h2", "line")
     early = line.select(F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("line").alias("early"))
     checked = pairs.join(line, ["h1", "h2"]).join(early, ["e1", "e2"])
@@ -119,7 +137,8 @@ def drops(docs: DataFrame) -> DataFrame:
     rows = lines(docs)
     distinct = kept(distinct_lines(rows), "distinct-lines")
     company = kept(with_company(distinct), "lines-in-company")
-    texts = rows.join(small_or_not(company, BROADCAST_ROWS), ["h1", "h2"]).select("h1", "h2", "line").dropDuplicates(["h1", "h2"])
+    long = rows.where(F.length("line") >= MIN_CHARS).select("h1", "h2", "line")
+    texts = long.join(small_or_not(company, BROADCAST_ROWS), "h1").dropDuplicates(["h1", "h2"])
     near = near_pairs(kept(texts.join(distinct.select("h1", "h2", "place"), ["h1", "h2"]), "lines-to-vary")).select("h1", "h2").distinct()
     verdicts = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near"))
     found = rows.select("h1", "h2", "k1", "k2", "line_no").join(verdicts.select("h1", "h2", "place", F.coalesce("near", F.lit(False)).alias("near")), ["h1", "h2"])

@@ -223,12 +223,10 @@ def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: Weights
     """One row per document: the carried columns and `spans`, array<struct<start,end,kind,added>>,
     by start, then kind. A narrow pass; the field of a document is built within its row."""
     if weights is None:
-        sample = (
-            docs.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= SAMPLE_CHARS))
-            .select("text", F.xxhash64("text").alias("h"))
-            .orderBy("h", "text")
-            .limit(SAMPLE)
-        )
+        likely = docs.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("h"))
+        # Hashes first, so that tasks send the driver numbers and only the chosen texts follow.
+        last = likely.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+        sample = likely.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).orderBy("h") if last is not None else likely.limit(0)
         weights = train([r.text for r in sample.collect()])
 
     @F.pandas_udf("array<struct<start:int,end:int,kind:string,added:boolean>>")

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.llm.common import kept
+
 #: Lengths are summed within buckets of so many, and over the buckets' totals.
 BUCKET = 1024
 
@@ -41,9 +43,9 @@ def encoded_lengths(docs: DataFrame, ranks_path: str | None = None, carry: tuple
 
 
 def histogram(docs: DataFrame, ranks_path: str | None = None) -> DataFrame:
-    """length, n_docs. Tasks count their own documents first, so the shuffle has a row for each
+    """length, n_docs, kept as a table, as every answer reads it more than once. Tasks count their own documents first, so the shuffle has a row for each
     task and length at most."""
-    return encoded_lengths(docs, ranks_path).groupBy("length").agg(F.count("*").alias("n_docs"))
+    return kept(encoded_lengths(docs, ranks_path).groupBy("length").agg(F.count("*").alias("n_docs")), "lengths")
 
 
 def suffix_sums(hist: DataFrame) -> DataFrame:
