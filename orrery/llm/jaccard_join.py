@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.common import LOWER, UPPER, empty_text, kept, slices, small_or_not
@@ -188,7 +188,8 @@ def _count(pending: list[np.ndarray], counted: dict[int, int]) -> None:
 
 
 def short_lists(docs: DataFrame, frequent, shingle: tuple[int, bool], threshold: tuple[int, int]) -> DataFrame:
-    """(shingle, id) for the q - T + 1 shingles of each text that come first in the order."""
+    """(shingle, id, often) for the q - T + 1 shingles of each text that come first in the order;
+    often: the shingle is one of the most frequent, which several texts share."""
     a, b = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,22 +200,36 @@ def short_lists(docs: DataFrame, frequent, shingle: tuple[int, bool], threshold:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in slices(texts):
                 fresh = [i for i in range(part.start, part.stop) if not (ids[i] in seen or seen.add(ids[i]))]
-                keys, owners = [], []
+                keys, owners, often = [], [], []
                 for i, s in zip(fresh, shingler.sets([texts[i] for i in fresh]), strict=True):
                     q = len(s)
                     if not q:
                         continue
                     first = q - -(-a * q // b) + 1
+                    ranks = np.zeros(q, np.int32)
                     if len(common):
                         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                        order = np.where(common[at] == s, rank[at], 0)
-                        s = s[np.argsort(order, kind="stable")]
-                    keys.append(s[:first])
+                        ranks = np.where(common[at] == s, rank[at], 0)
+                    order = np.argsort(ranks, kind="stable")[:first]
+                    keys.append(s[order])
                     owners.append(np.full(first, ids[i], np.int64))
+                    often.append(ranks[order] > 0)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["shingle", "id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owners, often)], names=["shingle", "id", "often"])
 
-    return texts_of(docs).mapInArrow(run, "shingle long, id long")
+    return texts_of(docs).mapInArrow(run, "shingle long, id long, often boolean")
+
+
+def shared_lists(lists: DataFrame) -> DataFrame:
+    """shingle, id, size of the lists with two texts or more. Lists of the most frequent shingles
+    are shared, and may be long: their sizes are counted task by task first, and joined. Any other
+    list has at most one in MOST_FREQUENT of all occurrences, so it is told in one task from the
+    single ones, which are the bulk, and these are shuffled once."""
+    common = lists.where("often").select("shingle", "id").distinct()
+    counted = common.join(common.groupBy("shingle").agg(F.count("*").alias("size")), "shingle")
+    single = lists.where("not often").select("shingle", "id").repartition("shingle").distinct()
+    sized = single.withColumn("size", F.count("*").over(Window.partitionBy("shingle")))
+    return counted.unionByName(sized).where("size > 1")
 
 
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[np.ndarray], list[tuple[int, int]]]]:
@@ -267,12 +282,7 @@ def tied(ids: np.ndarray, sizes: np.ndarray, sigs: list[bytes], threshold: tuple
 
 def candidate_edges(lists: DataFrame, known: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
     """a, b: forest edges from every short list of two documents or more."""
-    lists = kept(lists, "short-lists")
-    # Most lists hold one text, at times more than once; two numbers a list tell.
-    shared = lists.groupBy("shingle").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo != hi").select("shingle")
-    live = kept(lists.join(shared, "shingle", "left_semi").distinct(), "shared-lists")
-    sizes = live.groupBy("shingle").agg(F.count("*").alias("size"))
-    live = live.join(sizes, "shingle").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    live = kept(shared_lists(kept(lists, "short-lists")), "shared-lists").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     meet = live.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     keyed = meet.select("id", "shingle", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
