@@ -188,7 +188,7 @@ def _count(pending: list[np.ndarray], counted: dict[int, int]) -> None:
 
 
 def short_lists(docs: DataFrame, frequent, shingle: tuple[int, bool], threshold: tuple[int, int]) -> DataFrame:
-    """(shingle, id, often) for the q - T + 1 shingles of each text that come first in the order;
+    """(shingle, id, n, often) for the q - T + 1 shingles of each text that come first in the order;
     often: the shingle is one of the most frequent, which several texts share."""
     a, b = threshold
 
@@ -200,7 +200,7 @@ def short_lists(docs: DataFrame, frequent, shingle: tuple[int, bool], threshold:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in slices(texts):
                 fresh = [i for i in range(part.start, part.stop) if not (ids[i] in seen or seen.add(ids[i]))]
-                keys, owners, often = [], [], []
+                keys, owners, sizes, often = [], [], [], []
                 for i, s in zip(fresh, shingler.sets([texts[i] for i in fresh]), strict=True):
                     q = len(s)
                     if not q:
@@ -213,23 +213,29 @@ def short_lists(docs: DataFrame, frequent, shingle: tuple[int, bool], threshold:
                     order = np.argsort(ranks, kind="stable")[:first]
                     keys.append(s[order])
                     owners.append(np.full(first, ids[i], np.int64))
+                    sizes.append(np.full(first, q, np.int64))
                     often.append(ranks[order] > 0)
                 if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owners, often)], names=["shingle", "id", "often"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (keys, owners, sizes, often)], names=["shingle", "id", "n", "often"])
 
-    return texts_of(docs).mapInArrow(run, "shingle long, id long, often boolean")
+    return texts_of(docs).mapInArrow(run, "shingle long, id long, n long, often boolean")
 
 
-def shared_lists(lists: DataFrame) -> DataFrame:
+def shared_lists(lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """shingle, id, size of the lists with two texts or more. Lists of the most frequent shingles
     are shared, and may be long: their sizes are counted task by task first, and joined. Any other
     list has at most one in MOST_FREQUENT of all occurrences, so it is told in one task from the
-    single ones, which are the bulk, and these are shuffled once."""
+    single ones, which are the bulk, and these are shuffled once. There, a text stays in a list only
+    if the next smaller or larger set is near enough in size to link with; else none in it is."""
+    a, b = threshold
     common = lists.where("often").select("shingle", "id").distinct()
     counted = common.join(common.groupBy("shingle").agg(F.count("*").alias("size")), "shingle")
-    single = lists.where("not often").select("shingle", "id").repartition("shingle").distinct()
-    sized = single.withColumn("size", F.count("*").over(Window.partitionBy("shingle")))
-    return counted.unionByName(sized).where("size > 1")
+    single = lists.where("not often").select("shingle", "id", "n").repartition("shingle").distinct()
+    by = Window.partitionBy("shingle")
+    smaller, larger = F.lag("n").over(by.orderBy("n", "id")), F.lead("n").over(by.orderBy("n", "id"))
+    fits = F.coalesce(smaller * b >= F.col("n") * a, F.lit(False)) | F.coalesce(F.col("n") * b >= larger * a, F.lit(False))
+    told = single.select("shingle", "id", F.count("*").over(by).alias("size"), fits.alias("fits")).where("fits").drop("fits")
+    return counted.where("size > 1").unionByName(told.select(*counted.columns))
 
 
 def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[np.ndarray], list[tuple[int, int]]]]:
@@ -282,7 +288,7 @@ def tied(ids: np.ndarray, sizes: np.ndarray, sigs: list[bytes], threshold: tuple
 
 def candidate_edges(lists: DataFrame, known: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
     """a, b: forest edges from every short list of two documents or more."""
-    live = kept(shared_lists(kept(lists, "short-lists")), "shared-lists").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    live = kept(shared_lists(kept(lists, "short-lists"), threshold), "shared-lists").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     meet = live.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     keyed = meet.select("id", "shingle", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
