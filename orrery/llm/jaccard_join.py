@@ -109,11 +109,14 @@ def required(n: np.ndarray | int, m: np.ndarray | int, threshold: tuple[int, int
     return -(-(a * (n + m)) // (a + b))
 
 
-def signature(shingles: np.ndarray) -> bytes:
+def signature(shingles: np.ndarray, threshold: tuple[int, int]) -> bytes:
     """Parities of the set's shingles over 2^j bits. Sets that differ in d elements have signatures
-    that differ in at most d bits; a longer one folds to a shorter by exclusive-or of its halves."""
-    bits = SIGNATURE_BITS[0]
-    while bits < SIGNATURE_BITS[1] and bits < 2 * len(shingles):
+    that differ in at most d bits; a longer one folds to a shorter by exclusive-or of its halves.
+    Unrelated sets differ in half of the bits, so there are four times as many as linked sets of this
+    size may differ in."""
+    a, b = threshold
+    bits, allowed = SIGNATURE_BITS[0], 2 * len(shingles) * (b - a) // (a + b)
+    while bits < SIGNATURE_BITS[1] and bits < 4 * allowed:
         bits *= 2
     spot = (finish(shingles.view(np.uint64)) % np.uint64(bits)).astype(np.int64)
     return np.packbits((np.bincount(spot, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -149,7 +152,7 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64(empty_text()).alias("id"), empty_text().alias("text"))
 
 
-def sized(docs: DataFrame, shingle: tuple[int, bool]) -> DataFrame:
+def sized(docs: DataFrame, shingle: tuple[int, bool], threshold: tuple[int, int]) -> DataFrame:
     """Rows of two kinds: (id, n, signature) of each text, once a task; and (id = shingle, n =
     occurrences) with null signature for what is frequent in the task's rows."""
 
@@ -163,7 +166,7 @@ def sized(docs: DataFrame, shingle: tuple[int, bool]) -> DataFrame:
                 fresh = [i for i in range(part.start, part.stop) if not (ids[i] in seen or seen.add(ids[i]))]
                 sets = shingler.sets([texts[i] for i in fresh])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in fresh], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.binary())], names=["id", "n", "signature"]
+                    [pa.array([ids[i] for i in fresh], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, threshold) for s in sets], pa.binary())], names=["id", "n", "signature"]
                 )
                 pending += sets
                 if sum(map(len, pending)) > 4_000_000:
@@ -415,7 +418,7 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, thre
     """id (hash of the text), n_shingles, root (name of the class), links, copies: one row per
     distinct text. Links count documents, equal texts among them."""
     shingle = (words, fold)
-    measured = kept(sized(docs, shingle), "sized")
+    measured = kept(sized(docs, shingle, threshold), "sized")
     known = measured.where(F.col("signature").isNotNull()).dropDuplicates(["id"])
     often = measured.where(F.col("signature").isNull()).groupBy(F.col("id").alias("shingle")).agg(F.sum("n").alias("n"))
     top = often.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas().sort_values("shingle")
