@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import doc_key, empty_text, kept, small_or_not
 
-#: Lines of fewer characters are only compared for equality.
-MIN_CHARS = 32
+#: Lines of fewer characters are only compared for equality: they are single words mostly, which one
+#: edit turns into other words ("A.", "An.").
+MIN_CHARS = 12
 #: Rows of one or two hashes that may be sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
 

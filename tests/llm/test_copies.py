@@ -59,6 +59,13 @@ def test_lines(docs_of, prose):
             assert left[d] == (text if not gone else "\n".join(lines))
 
 
+def test_short_lines(docs_of):
+    """One edit in lines of 12 characters or more, whatever the operator's floor says."""
+    texts = ["Der, einge\u00e4 erer.", "Der einge\u00e4 erer.", "The, anhely eran.\nThe anhely eran.", "abcdefghijkl\nabcdefghijk", "abcdefghijkl\nabcdefghijkm\nxabcdefghijkl", "A.\nAn.", "mnopqrstuvw\nmnopqrstuvx"]
+    got = {r.doc_id: (r.exact, r.near) for r in line_dedup.mark(docs_of(texts)).collect()}
+    assert got == {0: ([], []), 1: ([], [0]), 2: ([], [1]), 3: ([], []), 4: ([0], [1, 2]), 5: ([], []), 6: ([], [])}
+
+
 def test_lines_odd_rows(odd):
     assert line_dedup.mark(odd).count() == odd.count()
     assert line_dedup.dedup(odd).columns == odd.columns
