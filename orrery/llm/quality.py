@@ -3,7 +3,14 @@
 A document fails the base rules when it has too few words or when too many of its words stand in
 repeated 8-word windows. What is left is held against rejection bands, one per language or else per
 script, on three figures of a public vocabulary: characters per token, share of byte-fallback
-tokens, and the entropy in bits of the document's token distribution.
+tokens, and the entropy of the document's token distribution.
+
+Bands are of two kinds, and a document has to keep to both: fixed outer ones (BANDS), and ones
+derived from the figures of all documents that pass the base rules. These are fences around the
+quartiles of each band and length class (half powers of two of the word count), with entropy
+relative to log2 of the tokens. Documents of equal figures count once, so copies do not move a fence;
+figures are counted in steps of 0.001, so quartiles are exact sums whatever the partitioning. A class of
+fewer than MIN_DOCS distinct documents has no fences.
 
 Defined cases: a null text counts as empty (0 words, rejected by the base rules); null or unknown
 languages take the band of the text's script; repeated rows are judged alike, row by row; columns
@@ -23,13 +30,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from orrery.llm.common import slices
+from orrery.llm.common import kept, slices
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 CACHED_WORDS = 200_000
+#: Distinct documents from which a length class has fences of its own.
+MIN_DOCS = 30
+#: Fences lie so many interquartile ranges below the first or above the third quartile.
+BELOW, ABOVE = 2.0, 3.0
+#: The least interquartile range of each figure that counts, for classes of much alike documents.
+MIN_RANGE = {"chars_per_token": 0.04, "byte_share": 0.02, "relative_entropy": 0.015}
 
 
 @dataclass(frozen=True)
@@ -61,6 +74,7 @@ COLUMNS = (
     "base_failed boolean, kept boolean, chars_per_token double, byte_share double, "
     "token_entropy double, band string"
 )
+INNER_COLUMNS = COLUMNS + ", n_tokens long"
 
 
 def script_of(text: str) -> str:
@@ -167,26 +181,24 @@ def measure(texts: list[str | None], langs: list[str | None], vocabulary: Vocabu
     fertility = np.round(word_chars / np.maximum(n_tokens, 1), 6)
     byte_share = np.round(n_bytes / np.maximum(n_tokens, 1), 6)
     band = [lang if lang in bands else script_of(t) for lang, t in zip(langs, texts, strict=True)]
-    kept = [
+    keeps = [
         bool(not failed and b.min_chars_per_token <= f <= b.max_chars_per_token and s <= b.max_byte_share and (e >= b.min_entropy or n < 2 * MIN_WORDS))
         for failed, f, s, e, n, b in zip(base_failed, fertility, byte_share, entropy, n_tokens, (bands[x] for x in band), strict=True)
     ]
     return {
         "n_words": n_words, "word_chars": word_chars,
         "n_symbols": [sum(map(t.count, SYMBOLS)) for t in texts], "n_dup_lines": [duplicate_lines(t) for t in texts], "n_repeat_words": repeat,
-        "base_failed": base_failed, "kept": kept,
-        "chars_per_token": fertility, "byte_share": byte_share, "token_entropy": entropy, "band": band,
+        "base_failed": base_failed, "kept": keeps,
+        "chars_per_token": fertility, "byte_share": byte_share, "token_entropy": entropy, "band": band, "n_tokens": n_tokens,
     }
 
 
-def judge(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[str, Band] | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: the carried columns, the counts, the fertility figures and `kept`.
-    A narrow pass over the rows; memory follows the longest text. vocabulary_path: a piece model
-    that every executor can open; by default the public tokenizer package's byte-fallback model."""
+def measured(docs: DataFrame, vocabulary_path: str | None, bands: dict[str, Band] | None, carry: tuple[str, ...]) -> DataFrame:
+    """One row per document: the carried columns as _0, _1, ..., the counts and the fertility figures;
+    `kept` is by the base rules and the outer bands. A narrow pass over the rows."""
     used = BANDS | (bands or {})
     chosen = docs.select("text", "lang", *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(carry)])
-    figures_schema = _parse_datatype_string(COLUMNS)
-    schema = StructType([*chosen.schema.fields[2:], *figures_schema.fields])
+    schema = StructType([*chosen.schema.fields[2:], *_parse_datatype_string(INNER_COLUMNS).fields])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +217,50 @@ def judge(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[str,
                 columns += [pa.array(figures[f.name], f.type) for f in list(arrow)[len(carry) :]]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    found = chosen.mapInArrow(run, schema)
-    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)], *figures_schema.names)
+    return chosen.mapInArrow(run, schema)
+
+
+def in_classes(figures: DataFrame) -> DataFrame:
+    """Adds length_class and relative_entropy."""
+    bits = F.log2(F.greatest("n_tokens", F.lit(2)).cast("double"))
+    return figures.withColumns({"length_class": F.floor(2 * F.log2(F.greatest("n_words", F.lit(2)).cast("double"))), "relative_entropy": F.col("token_entropy") / bits})
+
+
+def fences(figures: DataFrame) -> DataFrame:
+    """band, length_class, and the low and high fence of each figure. At most one row for a band and
+    half power of two, whatever the table."""
+    sound = figures.where(~F.col("base_failed")).select("band", "n_words", "n_tokens", "chars_per_token", "byte_share", "token_entropy").distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.round(k, 3).alias("value")) for k in MIN_RANGE])).alias("f")
+    steps = in_classes(sound).select("band", "length_class", each).groupBy("band", "length_class", "f.figure", "f.value").agg(F.count("*").alias("n"))
+    quartiles = steps.groupBy("band", "length_class", "figure").agg(F.sum("n").alias("n"), F.percentile("value", [0.25, 0.75], F.col("n")).alias("q"))
+    least = F.create_map(*[F.lit(x) for pair in MIN_RANGE.items() for x in pair])
+    reach = F.greatest(F.col("q")[1] - F.col("q")[0], least[F.col("figure")])
+    limits = quartiles.where(F.col("n") >= MIN_DOCS).select("band", "length_class", "figure", (F.col("q")[0] - BELOW * reach).alias("low"), (F.col("q")[1] + ABOVE * reach).alias("high"))
+    of = {f"{k}_{end}": F.max(F.when(F.col("figure") == k, F.col(end))) for k in MIN_RANGE for end in ("low", "high")}
+    return limits.groupBy("band", "length_class").agg(*[c.alias(k) for k, c in of.items()])
+
+
+def fenced(figures: DataFrame) -> DataFrame:
+    """figures, a kept table, with `kept` by the fences too."""
+    columns = figures.columns
+    limits = F.broadcast(fences(figures))
+    # Much entropy is no fault of its own: random text already shows in its characters per token.
+    inside = F.col("chars_per_token").between(F.col("chars_per_token_low"), F.col("chars_per_token_high")) & (F.col("byte_share") <= F.col("byte_share_high")) & (F.col("relative_entropy") >= F.col("relative_entropy_low"))
+    joined = in_classes(figures).join(limits, ["band", "length_class"], "left")
+    return joined.withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select(*columns)
+
+
+def judge(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[str, Band] | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the carried columns, the counts, the fertility figures and `kept`.
+    Measured once, and held against the fences of all; memory follows the longest text.
+    vocabulary_path: a piece model that every executor can open; by default the public tokenizer
+    package's byte-fallback model. bands: outer bands to add or replace."""
+    found = fenced(kept(measured(docs, vocabulary_path, bands, carry), "quality-figures"))
+    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)], *_parse_datatype_string(COLUMNS).names)
 
 
 def keep_good(docs: DataFrame, vocabulary_path: str | None = None, bands: dict[str, Band] | None = None) -> DataFrame:
     """The documents that pass, with the columns they came with."""
     whole = docs.select("text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return judge(whole, vocabulary_path, bands, ("row",)).where("kept").select("row.*")
+    sound = measured(whole, vocabulary_path, bands, ("row",)).where(~F.col("base_failed"))
+    return fenced(kept(sound, "quality-figures")).where("kept").select("_0.*")

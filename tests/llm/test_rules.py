@@ -50,6 +50,38 @@ def test_bands(docs_of, prose):
     assert not rows[11].base_failed and not rows[11].kept
 
 
+def test_derived_bands(spark):
+    """Junk with words in it goes by its language's own figures; clean text of a language that
+    measures as low as another's junk stays."""
+    import random
+
+    rng = random.Random(3)
+    syllables = {"en": "the ing ation and er on ly est ed sh wh tion ment ous ive al ble to or is an it of in at".split(), "fr": "é eux è que ç oi la ê ée â î ou ai er re le ô û en ir ez as on ui ë".split()}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(1, 3))) for _ in range(300)] for k, v in syllables.items()}
+
+    def text(lang, end=""):
+        return " ".join(rng.choice(words[lang]) + end * 3 for _ in range(rng.randint(185, 250)))
+
+    def runs(lang):
+        return " ".join(w for w in rng.sample(sorted(set(words[lang])), 28) for _ in range(8))
+
+    rows = [(lang, "clean", text(lang)) for lang in words for _ in range(150)]
+    rows += [(lang, "symbols", text(lang, end)) for lang in words for end in "#$&*%"]
+    rows += [(lang, "runs", runs(lang)) for lang in words for _ in range(5)]
+    docs = spark.createDataFrame([(i, t, lang, kind) for i, (lang, kind, t) in enumerate(rows)], "doc_id long, text string, lang string, kind string")
+    got = quality.judge(docs, carry=("doc_id", "lang", "kind")).collect()
+    assert not any(r.base_failed for r in got)
+    assert not any(r.kept for r in got if r.kind != "clean")
+    kept = [r for r in got if r.kind == "clean" and r.kept]
+    assert len(kept) >= 297
+    least = {lang: min(r.chars_per_token for r in got if r.lang == lang and r.kept) for lang in words}
+    assert least["fr"] < min(r.chars_per_token for r in got if r.lang == "en" and r.kind == "symbols")
+    copied = docs.unionByName(docs.where("doc_id = 0").crossJoin(spark.range(500)).select(*docs.columns)).repartition(7)
+    again = {r.doc_id: r.kept for r in quality.judge(copied).collect()}
+    assert again == {r.doc_id: r.kept for r in got}
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {r.doc_id for r in got if r.kept}
+
+
 def test_quality_odd_rows(odd):
     assert quality.judge(odd).count() == odd.count()
     assert quality.keep_good(odd).columns == odd.columns
