@@ -4,14 +4,16 @@ A rule names a host suffix and a path start; the longest that fits a URL decides
 fits are judged by boosted trees over lexical features: lengths, depth, digit ratio, character
 entropy, parameter counts, and how often host suffixes and first path segments were blocked among
 the training URLs. The trees are trained here, from labelled URLs: a table of the caller's, or else
-the URLs that rules decide, at most SAMPLE of them (those of the smallest hash, so the choice is the
-same in each run). Suffix statistics come from that sample too, so their table is bounded by it.
+the URLs that rules decide. Suffix statistics count every labelled row. The trees learn from at most
+SAMPLE distinct URLs (those of the smallest hash, so the choice is the same in each run), each with
+the label of most of its rows.
 
 All of it is DataFrame columns and Spark's own tree learner.
 
 Defined cases: a null URL, or one without "://", has empty host and path, no rule, and is judged by
 its features like any other (null counts as empty); with no labelled URLs, or labels of one kind
-only, everything that no rule decides has that label, or is allowed; repeated rows are judged alike;
+only, everything that no rule decides has that label, or is allowed; a URL labelled both ways equally
+often counts as allowed for the trees; repeated rows are judged alike;
 columns other than page_id and url are ignored.
 """
 
@@ -22,12 +24,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ascii_lower, kept
+from orrery.llm.common import ascii_lower, kept, small_or_not
 
 # The rules, as (verdict, host and path start).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 SAMPLE = 20_000
 TREES, DEPTH = 12, 4
+#: Suffix keys of one kind that may be sent to every executor; beyond, the join shuffles.
+BROADCAST_ROWS = 100_000
+KEYS = ("suffix", "suffix2", "segment")
 #: Added sightings of the mean when a suffix's share of blocked URLs is taken.
 PRIOR = 20.0
 NUMERIC = ["url_chars", "host_chars", "path_chars", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "percent_codes", "scheme_plain", "suffix_rate", "suffix2_rate", "segment_rate"]
@@ -81,39 +86,49 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
-def with_rates(rows: DataFrame, rates: DataFrame, mean: float) -> DataFrame:
-    """Adds the blocked share of each suffix key. rates has at most three rows a training URL."""
-    for key in ("suffix", "suffix2", "segment"):
-        own = F.broadcast(rates.where(F.col("key_kind") == key).select(F.col("key").alias(key), F.col("rate").alias(f"{key}_rate")))
+def with_rates(rows: DataFrame, rates: dict[str, DataFrame], mean: float) -> DataFrame:
+    """Adds the blocked share of each suffix key. rates: key and its rate, by kind of key."""
+    for key, own in rates.items():
         rows = rows.join(own, key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(mean)))
     return rows
 
 
+def assembled(rows: DataFrame) -> DataFrame:
+    return VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(rows)
+
+
 class Judge:
     """Trees and suffix statistics, trained from labelled URLs (url, label: 1.0 is block)."""
 
     def __init__(self, labelled: DataFrame, sample: int = SAMPLE, seed: int = 7):
-        chosen = labelled.select("url", F.col("label").cast("double").alias("label")).where(F.col("url").isNotNull() & F.col("label").isNotNull())
-        chosen = kept(lexical(parts(chosen.orderBy(F.xxhash64("url"), "url", "label").limit(sample))), "labelled-urls")
-        n, blocked = chosen.agg(F.count("*"), F.sum("label")).first()
+        rows = labelled.select("url", F.col("label").cast("double").alias("label")).where(F.col("url").isNotNull() & F.col("label").isNotNull())
+        urls = kept(rows.groupBy("url").agg(F.count("*").alias("n"), F.sum("label").alias("blocked")), "labelled-urls")
+        n, blocked = urls.agg(F.sum("n"), F.sum("blocked")).first()
         self.mean = (blocked or 0.0) / n if n else 0.0
         self.model: GBTClassificationModel | None = None
-        keys = F.explode(F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(k).alias("key")) for k in ("suffix", "suffix2", "segment")])).alias("k")
-        rate = (F.sum("label") + PRIOR * self.mean) / (F.count("*") + PRIOR)
-        self.rates = kept(chosen.select("label", keys).groupBy("k.key_kind", "k.key").agg(rate.alias("rate")), "suffix-rates")
-        if n and 0 < blocked < n:
-            rows = self.features(chosen).select("features", "label")
-            self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, subsamplingRate=1.0).fit(rows)
+        self.rates: dict[str, DataFrame] = {}
+        if not n or not 0 < blocked < n:
+            return
+        keys = F.explode(F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(k).alias("key")) for k in KEYS])).alias("k")
+        rate = (F.sum("blocked") + PRIOR * self.mean) / (F.sum("n") + PRIOR)
+        rates = kept(lexical(parts(urls)).select("n", "blocked", keys).groupBy("k.key_kind", "k.key").agg(rate.alias("rate")), "suffix-rates")
+        for k in KEYS:
+            own = rates.where(F.col("key_kind") == k).select(F.col("key").alias(k), F.col("rate").alias(f"{k}_rate"))
+            self.rates[k] = small_or_not(own, BROADCAST_ROWS)
+        chosen = urls.orderBy(F.xxhash64("url"), "url").limit(sample).withColumn("label", (2 * F.col("blocked") > F.col("n")).cast("double"))
+        chosen = kept(self.features(lexical(parts(chosen))).select(*NUMERIC, "label"), "tree-urls")
+        if chosen.select("label").distinct().count() > 1:
+            self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, subsamplingRate=1.0).fit(assembled(chosen))
 
     def features(self, rows: DataFrame) -> DataFrame:
-        return VectorAssembler(inputCols=NUMERIC, outputCol="features").transform(with_rates(rows, self.rates, self.mean))
+        return with_rates(rows, self.rates, self.mean)
 
     def judge(self, urls: DataFrame) -> DataFrame:
         """urls with host and path -> the same with model_verdict."""
         columns = urls.columns
         if self.model is None:
             return urls.withColumn("model_verdict", F.lit("block" if self.mean > 0.5 else "allow"))
-        scored = self.model.transform(self.features(lexical(urls)))
+        scored = self.model.transform(assembled(self.features(lexical(urls))))
         return scored.select(*columns, F.when(F.col("prediction") > 0.5, "block").otherwise("allow").alias("model_verdict"))
 
 

@@ -134,6 +134,27 @@ def test_urls_without_labels(spark):
     assert {r.verdict for r in url_filter.verdicts(pages, blocked).collect()} == {"block"}
 
 
+def test_suffix_rates_of_all_labelled_urls(spark, monkeypatch):
+    """Rates count rows that the trees' sample leaves out, and one hot URL does not fill the sample."""
+    urls = [(f"http://h{i % 7}.t{i % 5}/s{i % 3}/{i}", float(i % 5 < 2)) for i in range(300)]
+    rows = urls + [urls[0]] * 200
+    labelled = spark.createDataFrame(rows, "url string, label double")
+    want = defaultdict(lambda: [0.0, 0])
+    for url, label in rows:
+        want[url.split("/")[2].split(".")[1]][0] += label
+        want[url.split("/")[2].split(".")[1]][1] += 1
+    mean = sum(x for _, x in rows) / len(rows)
+    judged = []
+    for bound in (url_filter.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", bound)
+        judge = url_filter.Judge(labelled, sample=40)
+        got = {r.suffix: r.suffix_rate for r in judge.rates["suffix"].collect()}
+        assert got == pytest.approx({k: (b + url_filter.PRIOR * mean) / (n + url_filter.PRIOR) for k, (b, n) in want.items()})
+        assert judge.rates["segment"].count() == len({(u.split("/")[2].split(".")[1], u.split("/")[3]) for u, _ in rows})
+        judged.append({(r.url, r.model_verdict) for r in judge.judge(url_filter.ruled(url_filter.parts(labelled))).collect()})
+    assert judged[0] == judged[1] == {(u, "block" if x else "allow") for u, x in urls}
+
+
 def brute_targets(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight, total, full = {s: i % 3 + 1 for i, s in enumerate(order)}, sum(sizes.values()), set()
