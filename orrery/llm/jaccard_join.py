@@ -314,7 +314,7 @@ def candidate_edges(lists: DataFrame, known: DataFrame, threshold: tuple[int, in
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """id, root for every end of an edge; root is the least id of the component. Each round links
     every node's neighbours to its least neighbour (large star, then small star); the tables of a
-    round are kept in the shared folder."""
+    round are kept in the shared folder. An error if max_rounds do not settle it."""
     flow = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     for _ in range(max_rounds):
         both = flow.unionByName(flow.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -328,6 +328,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         flow = new
         if same:
             break
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = flow.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.unionByName(flow.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 

@@ -121,6 +121,13 @@ def test_jaccard(docs_of, prose, monkeypatch):
     assert max(n for *_, n in want.values()) >= 10
 
 
+def test_components_settle_or_fail(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
+    assert {(r.id, r.root) for r in jaccard_join.components(path).collect()} == {(i, 0) for i in range(13)}
+    with pytest.raises(RuntimeError):
+        jaccard_join.components(path, max_rounds=1)
+
+
 def test_one_of_each_class_stays(docs_of, prose):
     texts = copies(prose, 120)
     classes = brute_classes(texts, 5, 80)
