@@ -5,12 +5,16 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no checkpoint folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Arrow batches of kept tables hold so many bytes, so that long texts come few at a time.
+BATCH_BYTES = str(8 << 20)
+#: A key is hot if it has more than one in SHARE of all rows and more than HOT_ROWS; there are fewer
+#: than SHARE hot keys, whatever the table.
+SHARE, HOT_ROWS = 10_000, 1_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of the text contracts: runs without ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -21,20 +25,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share: the checkpoint folder, or the warehouse where the
+    session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return at or LOCAL_CHECKPOINTS
+    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends here, and a lost
     executor costs no recomputation of what went into it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/orrery/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    path = f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes kept tables of which nothing is read any more, since a later table holds the result."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files and "/orrery/" in files[0]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def met(rows: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], weight: str, total: int) -> DataFrame:
+    """rows left-joined with facts by keys (longs). facts: a kept table with one row a key, and in
+    `weight` the number of rows of that key, of `total` rows in all. Facts of hot keys, of which there
+    are fewer than SHARE, are sent to every executor, and their rows are dealt out by the `spread`
+    columns; all others meet by a shuffle. So no key's rows land in one task."""
+    limit = max(HOT_ROWS, total // SHARE)
+    packed = facts.select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)], F.col(weight).alias("_w"), F.struct(*[c for c in facts.columns if c not in keys]).alias("_v"))
+    hot = packed.where(F.col("_w") > limit).select(*[F.col(f"_f{i}").alias(f"_h{i}") for i in range(len(keys))], F.col("_v").alias("_hv"))
+    rest = packed.where(F.col("_w") <= limit).drop("_w")
+    same = [F.col(k) == F.col(f"_h{i}") for i, k in enumerate(keys)]
+    marked = rows.join(F.broadcast(hot), reduce(lambda a, b: a & b, same), "left")
+    at = F.when(F.col("_h0").isNotNull(), F.xxhash64(*spread)).otherwise(F.col(keys[0]))
+    marked = marked.withColumn("_at", at)
+    same = [F.col("_at") == F.col("_f0"), *[F.col(k) == F.col(f"_f{i}") for i, k in enumerate(keys) if i]]
+    found = marked.join(rest, reduce(lambda a, b: a & b, same), "left")
+    return found.select(*rows.columns, F.coalesce("_hv", "_v").alias("_v")).select(*rows.columns, "_v.*")
+
+
 def empty_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -36,18 +36,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import LOWER, UPPER, empty_text, kept, slices, small_or_not
+from orrery.llm.common import LOWER, UPPER, empty_text, forget, kept, met, slices, small_or_not
 
 SHINGLE_WORDS = 4
 THRESHOLD = (85, 100)
-#: Occurrences within a task's rows from which a shingle counts as frequent there, and how many of
-#: the most frequent are sent to the executors (12 bytes each).
-FREQUENT_HERE, MOST_FREQUENT = 3, 500_000
+#: Shingles are counted in portions of COUNTED occurrences; those met FREQUENT_HERE times in a portion
+#: are summed up, and the MOST_FREQUENT of them are sent to the executors (12 bytes each).
+COUNTED, FREQUENT_HERE, MOST_FREQUENT = 500_000, 3, 500_000
 LIST_BLOCK = 4096
-GROUP_BLOCK = 768
+#: Texts, and shingles of all of them, that a block of a candidate group holds on average. Two blocks
+#: meet in a task, whose memory is a small multiple of their shingles.
+GROUP_BLOCK, GROUP_SHINGLES = 2048, 500_000
 #: Rows of a candidate group table that may be sent to every executor; beyond, texts are shuffled.
 BROADCAST_ROWS = 200_000
+#: Hashes of words that a task remembers.
+CACHED_WORDS = 100_000
 SIGNATURE_BITS = (128, 8192)
+#: DivideSkip's cost of merging a row of a list against that of probing: lists are long beyond it.
+MERGE_COST = 1.0
 
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -68,7 +74,7 @@ class Shingler:
     def hashes(self, split: list[bytes]) -> np.ndarray:
         import xxhash
 
-        if len(self.known) > 500_000:
+        if len(self.known) > CACHED_WORDS:
             self.known.clear()
         known, out = self.known, np.empty(len(split), np.uint64)
         for i, w in enumerate(split):
@@ -130,21 +136,23 @@ def folded(sig: bytes, size: int) -> np.ndarray:
 
 
 class Forest:
-    """Union-find over small integers."""
+    """Components of a few thousand rows, as the row of least number in each."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
+        self.part = np.arange(n)
 
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+    def join(self, i: int, others: np.ndarray) -> None:
+        parts = np.unique(self.part[np.append(others, i)])
+        if len(parts) > 1:
+            self.part[np.isin(self.part, parts[1:])] = parts[0]
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
+    def edges(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every id that is not the least of its component, with the least."""
+        order = np.lexsort((ids, self.part))
+        part, ids = self.part[order], ids[order]
+        first = np.append(True, part[1:] != part[:-1])
+        least = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
+        return ids[~first], least[~first]
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -169,7 +177,7 @@ def sized(docs: DataFrame, shingle: tuple[int, bool], threshold: tuple[int, int]
                     [pa.array([ids[i] for i in fresh], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s, threshold) for s in sets], pa.binary())], names=["id", "n", "signature"]
                 )
                 pending += sets
-                if sum(map(len, pending)) > 4_000_000:
+                if sum(map(len, pending)) > COUNTED:
                     _count(pending, counted)
         _count(pending, counted)
         often = [(s, n) for s, n in counted.items() if n >= FREQUENT_HERE]
@@ -227,12 +235,14 @@ def short_lists(docs: DataFrame, frequent, shingle: tuple[int, bool], threshold:
 def shared_lists(lists: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """shingle, id, size of the lists with two texts or more. Lists of the most frequent shingles
     are shared, and may be long: their sizes are counted task by task first, and joined. Any other
-    list has at most one in MOST_FREQUENT of all occurrences, so it is told in one task from the
-    single ones, which are the bulk, and these are shuffled once. There, a text stays in a list only
+    list has fewer than FREQUENT_HERE in COUNTED of all occurrences or is rarer than MOST_FREQUENT
+    others, so it is told in one task from the single ones, which are the bulk, and these are shuffled
+    once. There, a text stays in a list only
     if the next smaller or larger set is near enough in size to link with; else none in it is."""
     a, b = threshold
     common = lists.where("often").select("shingle", "id").distinct()
-    counted = common.join(common.groupBy("shingle").agg(F.count("*").alias("size")), "shingle")
+    sizes = kept(common.groupBy("shingle").agg(F.count("*").alias("size")), "list-sizes")
+    counted = met(common, sizes.withColumn("rows", F.col("size")), ["shingle"], ["id"], "rows", sizes.agg(F.sum("size")).first()[0] or 0).select("shingle", "id", "size")
     single = lists.where("not often").select("shingle", "id", "n").repartition("shingle").distinct()
     by = Window.partitionBy("shingle")
     smaller, larger = F.lag("n").over(by.orderBy("n", "id")), F.lead("n").over(by.orderBy("n", "id"))
@@ -262,36 +272,38 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[
         yield rest, [(0, len(rest[0]))]
 
 
-def tied(ids: np.ndarray, sizes: np.ndarray, sigs: list[bytes], threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """A spanning forest of the documents of one list whose sizes and signatures allow a link."""
+def tied(ids: np.ndarray, sizes: np.ndarray, sigs: list[bytes], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that tie the documents of one list whose sizes and signatures allow a link."""
+    a, b = threshold
     if len(ids) == 2:
         n, m = sorted(sizes.tolist())
         size = min(map(len, sigs))
         differ = int(np.bitwise_count(folded(sigs[0], size) ^ folded(sigs[1], size)).sum())
-        allowed = n * threshold[1] >= m * threshold[0] and (n + m - differ) // 2 >= required(n, m, threshold)
-        return [(int(ids[0]), int(ids[1]))] if allowed else []
+        allowed = n * b >= m * a and (n + m - differ) // 2 >= required(n, m, threshold)
+        ids = np.sort(ids)[: 2 * allowed]
+        return ids[1:], ids[:-1]
     order = np.lexsort((ids, sizes))
     ids, sizes, sigs = ids[order], sizes[order], [sigs[i] for i in order]
-    forest, edges, a, b = Forest(len(ids)), [], *threshold
-    spread = sizes[-1] * a > sizes[0] * b
+    forest = Forest(len(ids))
+    ends = np.searchsorted(sizes * a, sizes * b, "right")
     levels: dict[int, np.ndarray] = {}
     for i in range(len(ids) - 1):
-        end = int(np.searchsorted(sizes * a, sizes[i] * b, "right")) if spread else len(ids)
+        # Only what is not tied to i yet has to be compared with it.
+        others = i + 1 + np.flatnonzero(forest.part[i + 1 : ends[i]] != forest.part[i])
+        if not len(others):
+            continue
         size = len(sigs[i])
         if size not in levels:
             levels[size] = np.array([folded(s, size) if len(s) >= size else np.zeros(size // 8, np.uint64) for s in sigs])
-        level = levels[size]
-        differ = np.bitwise_count(level[i + 1 : end] ^ level[i]).sum(axis=1)
-        overlap = (sizes[i] + sizes[i + 1 : end] - differ) // 2
-        for j in np.flatnonzero(overlap >= required(sizes[i], sizes[i + 1 : end], threshold)).tolist():
-            if forest.join(i, i + 1 + j):
-                edges.append((int(ids[i]), int(ids[i + 1 + j])))
-    return edges
+        differ = np.bitwise_count(levels[size][others] ^ levels[size][i]).sum(axis=1)
+        overlap = (sizes[i] + sizes[others] - differ) // 2
+        forest.join(i, others[overlap >= required(sizes[i], sizes[others], threshold)])
+    return forest.edges(ids)
 
 
 def candidate_edges(lists: DataFrame, known: DataFrame, threshold: tuple[int, int], block: int) -> DataFrame:
-    """a, b: forest edges from every short list of two documents or more."""
-    live = kept(shared_lists(kept(lists, "short-lists"), threshold), "shared-lists").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    """a, b: edges from every shared list. lists: shingle, id, size."""
+    live = lists.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
     meet = live.withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     keyed = meet.select("id", "shingle", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
@@ -299,37 +311,40 @@ def candidate_edges(lists: DataFrame, known: DataFrame, threshold: tuple[int, in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, _, _, ids, sizes, sigs), bounds in runs(batches, 3):
-            edges: list[tuple[int, int]] = []
-            for i, j in bounds:
-                if j - i > 1:
-                    edges += tied(ids[i:j], sizes[i:j], sigs[i:j].tolist(), threshold)
+            edges = [tied(ids[i:j], sizes[i:j], sigs[i:j].tolist(), threshold) for i, j in bounds if j - i > 1]
             if edges:
-                x, y = np.array(edges, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(end)) for end in zip(*edges, strict=True)], names=["a", "b"])
 
     dealt = rows.repartition("shingle", "x", "y").sortWithinPartitions("shingle", "x", "y")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """id, root for every end of an edge; root is the least id of the component. Each round links
-    every node's neighbours to its least neighbour (large star, then small star); the tables of a
-    round are kept in the shared folder. An error if max_rounds do not settle it."""
+def _state(flow: DataFrame) -> tuple:
+    """Number and fingerprint of distinct rows, whatever their order."""
+    return tuple(flow.agg(F.count("*"), F.bit_xor(F.xxhash64(F.lit(1), "a", "b")), F.bit_xor(F.xxhash64(F.lit(2), "b", "a"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, root for every end of an edge; root is the least id of the component. Every node points to
+    smaller ones. A round moves each pointer on to what its target least points to, then ties all that
+    a node points to under the least of them; it ends when a round changes nothing. The tables of a
+    round are kept in the shared folder, and the round's before it deleted. Targets of many pointers
+    are hot keys."""
     flow = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    for _ in range(max_rounds):
-        both = flow.unionByName(flow.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a")
+    state, before = _state(flow), None
+    while state != before:
+        before, total = state, state[0]
+        least = flow.groupBy("a").agg(F.min("b").alias("m"))
+        targets = flow.groupBy("b").agg(F.count("*").alias("n"))
+        targets = kept(targets.join(least, targets["b"] == least["a"], "left").select("b", "n", "m"), "targets")
+        moved = met(flow, targets, ["b"], ["a"], "n", total).select("a", F.coalesce("m", "b").alias("b")).distinct()
+        moved = kept(moved, "moved")
+        floor = kept(moved.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "floors")
+        small = met(moved, floor, ["a"], ["b"], "n", total)
         new = small.select("a", F.col("m").alias("b")).unionByName(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         new = kept(new, "edges")
-        same = new.count() == flow.count() and new.exceptAll(flow).isEmpty()
-        flow = new
-        if same:
-            break
-    else:
-        raise RuntimeError(f"components not settled after {max_rounds} rounds")
+        forget(flow, targets, moved, floor)
+        flow, state = new, _state(new)
     roots = flow.select(F.col("a").alias("id"), F.col("b").alias("root"))
     return roots.unionByName(flow.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
@@ -341,14 +356,14 @@ class Index:
         self.sets, self.threshold = sets, threshold
         self.sizes = np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
-        self.values, first, self.lengths = np.unique(flat[order], return_index=True, return_counts=True)
-        self.first, self.owner = first, owner[order]
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
+        self.values, self.first, self.lengths = np.unique(flat[order], return_index=True, return_counts=True)
 
     def links(self, query: np.ndarray) -> np.ndarray:
-        """Rows whose overlap with the query reaches what their sizes require. The longest lists, as
-        many as the least requirement allows, are left out of the merge and probed."""
+        """Rows whose overlap with the query reaches what their sizes require. The longest lists are
+        left out of the merge, as many as DivideSkip's rule says for the least requirement, and probed
+        for the rows that the merge leaves open."""
         a, b = self.threshold
         q = len(query)
         at = np.minimum(np.searchsorted(self.values, query), max(0, len(self.values) - 1))
@@ -358,40 +373,39 @@ class Index:
         if len(query) < least:
             return np.zeros(0, np.int64)
         order = np.argsort(self.lengths[at], kind="stable")
-        n_long = min(least - 1, max(0, int(least / (1 + 0.01 * np.log2(1 + self.lengths[at].max())))))
+        n_long = min(least - 1, int(least / (1 + MERGE_COST * np.log2(1 + self.lengths[at].max()))))
         short, probes = at[order[: len(order) - n_long]], query[order[len(order) - n_long :]]
         sizes = self.lengths[short]
         spots = np.repeat(self.first[short] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         merged = np.bincount(self.owner[spots], minlength=len(self.sets))
         need = required(q, self.sizes, self.threshold)
-        likely = np.flatnonzero((merged >= need - n_long) & (merged > 0) & (a * q <= b * self.sizes) & (a * self.sizes <= b * q))
-        out = []
-        for i in likely.tolist():
+        fits = (merged > 0) & (a * q <= b * self.sizes) & (a * self.sizes <= b * q)
+        linked = fits & (merged >= need)
+        for i in np.flatnonzero(fits & ~linked & (merged >= need - n_long)).tolist():
             s = self.sets[i]
             spot = np.minimum(np.searchsorted(s, probes), len(s) - 1)
-            if merged[i] + np.count_nonzero(s[spot] == probes) >= need[i]:
-                out.append(i)
-        return np.array(out, np.int64)
-
-
-def verified(docs: DataFrame, groups: DataFrame, copies: DataFrame, shingle: tuple[int, bool], threshold: tuple[int, int], block: int) -> DataFrame:
-    """Within each candidate group, exactly: a, b of forest edges, and (a, null, links) of links per
-    text, where every equal text of the other side counts."""
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    dealt = groups.join(sizes, "root").join(copies, "id").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+            linked[i] = merged[i] + np.count_nonzero(s[spot] == probes) >= need[i]
+        return np.flatnonzero(linked)
+
+
+def verified(docs: DataFrame, groups: DataFrame, shingle: tuple[int, bool], threshold: tuple[int, int]) -> DataFrame:
+    """Within each candidate group, exactly: (a, b, 0) of edges that tie what is linked, and (a, null,
+    links) of links per text, where every equal text of the other side counts. groups: id, root, n,
+    copies."""
+    sizes = kept(groups.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("all")), "group-sizes")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    blocks = F.ceil(F.greatest(F.col("size") / GROUP_BLOCK, F.col("all") / GROUP_SHINGLES)).cast("int")
+    dealt = met(groups.select("id", "root", "copies"), sizes.withColumn("rows", F.col("size")), ["root"], ["id"], "rows", total)
+    dealt = dealt.where("size > 1").withColumn("blocks", F.greatest(blocks, F.lit(1)))
     own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")
-    meet = dealt.withColumn("own", own).select("id", "root", "copies", "own", "blocks")
-    meet = small_or_not(kept(meet, "meetings"), BROADCAST_ROWS)
-    rows = texts_of(docs).join(meet, "id").dropDuplicates(["id"])
+    meet = kept(dealt.withColumn("own", own).select("id", "root", "copies", "own", "blocks"), "meetings")
+    rows = texts_of(docs).join(small_or_not(meet, BROADCAST_ROWS), "id").dropDuplicates(["id"])
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = rows.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "copies", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(*shingle)
         for (_, x, y, owns, every, weights, texts), bounds in runs(batches, 3):
-            a: list[int] = []
-            b: list[int | None] = []
-            links: list[int] = []
             for start, end in bounds:
                 if end - start < 2:
                     continue
@@ -405,20 +419,20 @@ def verified(docs: DataFrame, groups: DataFrame, copies: DataFrame, shingle: tup
                     count[i] += weight[others].sum()
                     if x[start] != y[start]:
                         count[others] += weight[i]
-                    for j in others.tolist():
-                        if forest.join(i, j):
-                            a.append(int(ids[i])), b.append(int(ids[j])), links.append(0)
-                for i in np.flatnonzero(count).tolist():
-                    a.append(int(ids[i])), b.append(None), links.append(int(count[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], names=["a", "b", "links"])
+                    forest.join(i, others)
+                a, b = forest.edges(ids)
+                some = np.flatnonzero(count)
+                ends = [np.concatenate([a, ids[some]]), pa.array(b.tolist() + [None] * len(some), pa.int64()), np.concatenate([np.zeros(len(a), np.int64), count[some]])]
+                yield pa.RecordBatch.from_arrays([pa.array(ends[0]), ends[1], pa.array(ends[2])], names=["a", "b", "links"])
 
     ready = keyed.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
     return ready.mapInArrow(run, "a long, b long, links long")
 
 
-def classes(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """id (hash of the text), n_shingles, root (name of the class), links, copies: one row per
-    distinct text. Links count documents, equal texts among them."""
+def classes(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, int]:
+    """A kept table and the number of documents. id (hash of the text), n_shingles, root (name of the
+    class), links, copies, members (texts of the class), first (of the class: no_id, doc_id, id): one
+    row per distinct text. Links count documents, equal texts among them."""
     shingle = (words, fold)
     measured = kept(sized(docs, shingle, threshold), "sized")
     known = measured.where(F.col("signature").isNotNull()).dropDuplicates(["id"])
@@ -426,38 +440,44 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, thre
     top = often.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toPandas().sort_values("shingle")
     rank = top["n"].rank(method="first").to_numpy(np.int32)
     frequent = docs.sparkSession.sparkContext.broadcast((top["shingle"].to_numpy(np.int64).tobytes(), rank.tobytes()))
-    copies = texts_of(docs).groupBy("id").agg(F.count("*").alias("copies"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    copies = docs.select(F.xxhash64(empty_text()).alias("id"), own.alias("own")).groupBy("id").agg(F.count("*").alias("copies"), F.min("own").alias("own"))
     named = kept(known.join(copies, "id"), "texts")
-    lists = short_lists(docs, frequent, shingle, threshold)
-    groups = kept(components(candidate_edges(lists, named, threshold, LIST_BLOCK)), "groups")
-    found = kept(verified(docs, groups, named.select("id", "copies"), shingle, threshold, GROUP_BLOCK), "links")
+    lists = kept(short_lists(docs, frequent, shingle, threshold), "short-lists")
+    live = kept(shared_lists(lists, threshold), "shared-lists")
+    edges = kept(candidate_edges(live, named, threshold, LIST_BLOCK), "candidates")
+    forget(measured, lists, live)
+    groups = kept(components(edges).join(named.select("id", "n", "copies"), "id"), "groups")
+    found = kept(verified(docs, groups, shingle, threshold), "links")
+    forget(edges, groups)
     roots = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     others = F.when(F.col("n") > 0, F.col("copies") - 1).otherwise(0)
-    return (
-        named.join(roots, "id", "left")
-        .join(links, "id", "left")
-        .select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("root"), (F.coalesce("links", F.lit(0)) + others).alias("links"), "copies")
-    )
+    linked = named.join(roots, "id", "left").join(links, "id", "left")
+    linked = kept(linked.select("id", F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("root"), (F.coalesce("links", F.lit(0)) + others).alias("links"), "copies", "own"), "linked")
+    first = F.min(F.struct("own.no_id", "own.doc_id", "id")).alias("first")
+    firsts = kept(linked.groupBy("root").agg(F.count("*").alias("members"), first), "firsts")
+    n_texts, n_docs = linked.agg(F.count("*"), F.sum("copies")).first()
+    return kept(met(linked.drop("own"), firsts, ["root"], ["id"], "members", n_texts), "classes"), n_docs or 0
 
 
 def join(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links."""
-    found = classes(docs, words, fold, threshold)
-    named = docs.select("doc_id", F.xxhash64(empty_text()).alias("id")).join(found, "id")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
-    alone = F.col("n_shingles") == 0
-    return named.join(least, "root").select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.col("links").alias("n_links"))
+    found, total = classes(docs, words, fold, threshold)
+    named = docs.select("doc_id", F.xxhash64(empty_text()).alias("id"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    judged = met(named, found.select("id", "n_shingles", "links", "copies", "first"), ["id"], ["doc_id"], "copies", total)
+    return judged.select("doc_id", "n_shingles", component.alias("component_id"), F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """docs with one row of each class: that of the smallest id, null last, ties by text. Wordless
     documents stay."""
-    found = classes(docs, words, fold, threshold).where("n_shingles > 0")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(empty_text()).alias("id"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "id")
-    first = docs.select("doc_id", F.xxhash64(empty_text()).alias("id")).join(found, "id").groupBy("root").agg(F.min(order).alias("first"))
-    judged = rows.join(found.join(first, "root").select("id", "first"), "id", "left")
-    stays = F.col("first").isNull() | ((F.col("first.id") == F.col("id")) & F.col("first.doc_id").eqNullSafe(F.col("row.doc_id")))
-    alone = F.when(F.col("first").isNull(), F.monotonically_increasing_id()).alias("alone")
-    return judged.where(stays).select("row", "id", alone).dropDuplicates(["id", "alone"]).select("row.*")
+    found, total = classes(docs, words, fold, threshold)
+    packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(packed, F.xxhash64(empty_text()).alias("id"), F.xxhash64("doc_id").alias("spread"))
+    judged = met(rows, found.select("id", "n_shingles", "copies", "first"), ["id"], ["spread"], "copies", total)
+    alone = F.col("n_shingles") == 0
+    stays = alone | ((F.col("first.id") == F.col("id")) & F.col("first.doc_id").eqNullSafe(F.col("row.doc_id")))
+    some = judged.where(stays).select("row", "id", alone.alias("alone"))
+    return some.where("not alone").dropDuplicates(["id"]).unionByName(some.where("alone")).select("row.*")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orrery.llm import decontaminate, jaccard_join, line_dedup
+from orrery.llm import common, decontaminate, jaccard_join, line_dedup
 from orrery.llm.common import table
 
 
@@ -115,17 +115,23 @@ def test_jaccard(docs_of, prose, monkeypatch):
         if block:
             monkeypatch.setattr(jaccard_join, "LIST_BLOCK", block)
             monkeypatch.setattr(jaccard_join, "GROUP_BLOCK", block)
+            monkeypatch.setattr(common, "HOT_ROWS", block)
             monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
         got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join.join(docs_of(texts).repartition(5)).collect()}
         assert got == want
     assert max(n for *_, n in want.values()) >= 10
 
 
-def test_components_settle_or_fail(spark):
-    path = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long")
-    assert {(r.id, r.root) for r in jaccard_join.components(path).collect()} == {(i, 0) for i in range(13)}
-    with pytest.raises(RuntimeError):
-        jaccard_join.components(path, max_rounds=1)
+def test_components(spark, monkeypatch):
+    """Paths, stars and rings, with hot targets dealt out or not."""
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(70)] + [(100, 101 + i) for i in range(90)] + [(300 + i, 300 + (i + 1) % 40) for i in range(40)]
+    rng.shuffle(pairs)
+    want = {i: 0 for i in range(71)} | {i: 100 for i in range(100, 191)} | {i: 300 for i in range(300, 340)}
+    for hot in (1000, 3):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        got = jaccard_join.components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()
+        assert {r.id: r.root for r in got} == want and len(got) == len(want)
 
 
 def test_one_of_each_class_stays(docs_of, prose):
