@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import doc_key, empty_text, kept, small_or_not
+from orrery.llm.common import doc_key, empty_text, kept, met, small_or_not
 
 #: Lines of fewer characters are only compared for equality: they are single words mostly, which one
 #: edit turns into other words ("A.", "An.").
@@ -73,10 +73,11 @@ def distinct_lines(rows: DataFrame) -> DataFrame:
 
 
 def with_company(distinct: DataFrame) -> DataFrame:
-    """h1 of lines that share a half with another line."""
+    """h1 of lines that share a half with another line. A half of many lines is a hot key."""
     shares = distinct.where(F.col("s0").isNotNull()).select("h1", F.explode(F.array_distinct(F.array("s0", "s1", "s2", "s3"))).alias("share"))
-    common = shares.groupBy("share").agg(F.count("*").alias("n")).where("n > 1").select("share")
-    return shares.join(common, "share", "left_semi").select("h1").distinct()
+    common = kept(shares.groupBy("share").agg(F.count("*").alias("sharers")).where("sharers > 1"), "shared-halves")
+    total = common.agg(F.sum("sharers")).first()[0] or 0
+    return met(shares, common, ["share"], ["h1"], "sharers", total).where(F.col("sharers").isNotNull()).select("h1").distinct()
 
 
 def letter_hash(at: Column, letter: Column) -> Column:
@@ -141,8 +142,10 @@ def drops(docs: DataFrame) -> DataFrame:
     long = rows.where(F.length("line") >= MIN_CHARS).select("h1", "h2", "line")
     texts = long.join(small_or_not(company, BROADCAST_ROWS), "h1").dropDuplicates(["h1", "h2"])
     near = near_pairs(kept(texts.join(distinct.select("h1", "h2", "place"), ["h1", "h2"]), "lines-to-vary")).select("h1", "h2").distinct()
-    verdicts = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near"))
-    found = rows.select("h1", "h2", "k1", "k2", "line_no").join(verdicts.select("h1", "h2", "place", F.coalesce("near", F.lit(False)).alias("near")), ["h1", "h2"])
+    told = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near"))
+    verdicts = kept(told.select("h1", "h2", "n", "place", F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    found = met(rows.select("h1", "h2", "k1", "k2", "line_no"), verdicts, ["h1", "h2"], ["k1", "k2", "line_no"], "n", total).where(F.col("place").isNotNull())
     first = (F.col("k1") == F.col("place.k1")) & (F.col("k2") == F.col("place.k2")) & (F.col("line_no") == F.col("place.line_no"))
     return (
         found.where(~first | F.col("near"))
