@@ -181,9 +181,11 @@ def brute_hits(texts, items):
         words = decontaminate.words_of(text)
         for i, item in items.items():
             w = decontaminate.words_of(item)
-            if len(w) < decontaminate.MIN_ITEM_WORDS:
+            if not w:
                 continue
             near = [(e, p) for p in range(len(words) - len(w) + 1) if (e := edits(words[p : p + len(w)], w)) <= len(w) // 5]
+            if len(w) - len(w) // 5 <= len(words) < len(w) and (e := edits(words, w)) <= len(w) // 5:
+                near = [(e, 0)]
             if near:
                 out[d, i] = min(near)
     return out
@@ -199,6 +201,10 @@ def test_decontamination(docs_of, prose, bench):
             words[at : at + 1] = rng.choice([["zog"], [], [words[at], "zug"], [words[at].upper() + ","]])
         texts.append(" ".join([prose(rng.randint(0, 40), i), *words, prose(rng.randint(0, 40), i + 7)]))
     texts += [None, "", items[2], prose(4000, 77), prose(300, 1) + " " + items[5] + " " + items[0]]
+    for i in range(6):  # documents of fewer words than the item: first, last or inner words missing
+        w = items[i].split()
+        texts += [" ".join(x) for k in (1, 2, len(w) // 5, len(w) // 5 + 1) for x in (w[k:], w[:-k], w[:3] + w[3 + k :])]
+    texts += ["far too, FEW words", "too few", "too few words", "some words too few words more"]
     want = brute_hits(texts, items)
     rows = decontaminate.find(docs_of(texts), table_).collect()
     got = {(r.doc_id, r.item_id): (r.distance, r.start_word) for r in rows}
@@ -206,8 +212,8 @@ def test_decontamination(docs_of, prose, bench):
     assert len(got) >= 0.97 * len(want) and sum(got[k][0] == want[k][0] for k in got) >= 0.97 * len(got)
     verbatim = {k for k, (e, _) in want.items() if e == 0}
     assert verbatim <= set(got)
-    blocks = decontaminate.with_hits(docs_of(texts), table_, block=2).select(F.explode("hits")).count()
-    assert blocks == len(got)
+    blocks = decontaminate.with_hits(docs_of(texts), table_, words=40).select("row.doc_id", F.explode("hits.item_id")).collect()
+    assert verbatim <= set(blocks) <= set(want) and len(set(blocks)) == len(blocks) >= 0.97 * len(want)
     clean = {r.doc_id for r in decontaminate.clean(docs_of(texts), table_).collect()}
     assert clean == set(range(len(texts))) - {d for d, _ in got}
 
@@ -224,8 +230,18 @@ def test_edit_distance_rows():
 
     rng = np.random.default_rng(0)
     a, b = rng.integers(0, 4, (40, 12)), rng.integers(0, 4, (40, 12))
-    want = [min(edits(list(x), list(y)), 6) for x, y in zip(a, b, strict=True)]
-    assert decontaminate.edit_distance(a, b, 5).tolist() == want
+    n, m = rng.integers(7, 13, 40), rng.integers(7, 13, 40)
+    want = [min(edits(list(x[:i]), list(y[:j])), 6) for x, y, i, j in zip(a, b, n, m, strict=True)]
+    assert decontaminate.edit_distance(a, b, n, m, 5).tolist() == want
+
+
+def test_equal_items_and_portions(docs_of, prose, spark, monkeypatch):
+    """Many equal items and small portions give every match once."""
+    monkeypatch.setattr(decontaminate, "STEPS_HELD", 500)
+    monkeypatch.setattr(decontaminate, "PAIRS_HELD", 7)
+    items = decontaminate.Items([(i, prose(30, 5)) for i in range(25)] + [(50, "lone")])
+    found = decontaminate.hits_of([prose(10, 1) + " " + prose(30, 5) + " zog", prose(30, 5)[:-4], "a lone word"], items)
+    assert [[h["item_id"] for h in hits] for hits in found] == [list(range(25)), list(range(25)), [50]]
 
 
 def test_pipeline(spark, small):
