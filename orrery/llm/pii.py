@@ -1,13 +1,20 @@
 """Personal data: pattern spans, and a skip-chain conditional random field that adds to them.
 
-Nodes of the field are the white-space tokens with a digit or an "@". Each node has a label out of
-none, email, ip, card, phone. Chain edges join tokens that stand next to each other; skip edges
-join each token with the next one, however far, that repeats it or resembles it (same letters, same
-last digits, same mail name). Loopy sum-product over both kinds of edge lets a clear mention settle
-an unclear one. Tokens under a pattern span are held at its label; other tokens whose marginal
-reaches `MIN_MARGINAL` become added spans. Weights are trained here, by softmax regression on a
-bounded sample (SAMPLE documents of at most SAMPLE_CHARS characters) with the pattern spans as labels;
-edge weights are the sample's log odds that joined tokens agree.
+Nodes of the field are the pattern spans, each as a whole, and the white-space tokens with a digit or
+an "@" outside of them. Each node has a label out of none, email, ip, card, phone. Its own features are
+its shape and the words around it. Chain edges join nodes that stand next to each other; skip edges
+join each node with the next one, however far, that repeats it or resembles it (same letters, same
+last digits, same mail name). Pattern spans are held at their label. Loopy sum-product over both kinds
+of edge, run until no message moves any more, settles the others; those whose marginal reaches
+`MIN_MARGINAL` become added spans.
+
+All weights, of features, chain and skip edges, are trained together by pseudo-likelihood: each node's
+label given its features and its neighbours' labels, on a bounded sample (SAMPLE documents of at most
+SAMPLE_CHARS characters). Pattern spans are labelled by their kind and other nodes none, but for those
+that a skip edge ties to a pattern span: whether these are mentions is what is asked, so they are left
+open. Pattern spans show their kind by their shape alone; so that edges learn too, each node is also
+shown without its features. Edge weights are drawn towards agreement (AGREEMENT) and the others to 0,
+so that a sample without repeats still has a field.
 
 Defined cases: null text counts as empty; a document without candidates has no spans and the hash
 of the empty string; repeated rows are treated alike, row by row; other columns are ignored.
@@ -17,6 +24,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +38,12 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
 MIN_MARGINAL = 0.9
-ROUNDS = 12
+#: Prior means of the weight of an edge between equal labels.
+AGREEMENT = {"chain": 0.0, "skip": 4.0}
+#: Hashed words before and after a node.
+WORDS, CONTEXT = 2, 64
+#: Messages that move by less have settled.
+SETTLED = 1e-4
 
 # The patterns of the four kinds.
 MAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -41,6 +55,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARKED = re.compile(r"[0-9@]+")
 EDGES_OF_TOKEN = ".,;:!?\"'()[]<>{}#*$%&|"
 
+WHITE = " \t\n\x0b\x0c\r"
+
 Span = tuple[int, int, str]
 
 
@@ -87,16 +103,23 @@ def pattern_spans(text: str) -> list[Span]:
 
 @dataclass
 class Field:
-    """A document's graph: tokens with places and features, held labels, edges."""
+    """A document's graph: nodes with places and features, held labels (0 for those to settle), edges."""
 
     places: list[tuple[int, int]]
     features: np.ndarray
     held: np.ndarray
-    chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    chain: np.ndarray
+    skip: np.ndarray
+
+    def open(self) -> np.ndarray:
+        """Nodes without a label that a skip edge ties to one with a label."""
+        tied = np.zeros(len(self.places), bool)
+        for i, j in (self.skip.T, self.skip.T[::-1]):
+            tied[i[self.held[j] > 0]] = True
+        return tied & (self.held == 0)
 
 
-def token_features(token: str) -> list[float]:
+def shape(token: str) -> list[float]:
     digits = digits_of(token)
     parts = token.split(".")
     n = len(digits)
@@ -107,6 +130,19 @@ def token_features(token: str) -> list[float]:
     ]
 
 
+def surroundings(text: str, a: int, b: int) -> list[float]:
+    """Which hashed words stand within WORDS words before and after a node, as far as 40 characters."""
+    out = [0.0] * (2 * CONTEXT)
+    before = text[max(0, a - 40) : a].rpartition("\n")[2].split()[-WORDS:]
+    after = text[b : b + 40].partition("\n")[0].split()[:WORDS]
+    for side, words in enumerate((before, after)):
+        for w in words:
+            word = w.strip(EDGES_OF_TOKEN).lower()
+            if word.isalpha():
+                out[side * CONTEXT + zlib.crc32(word.encode()) % CONTEXT] = 1.0
+    return out
+
+
 def resemblances(token: str) -> Iterator[tuple[str, str]]:
     yield "same", token.lower()
     digits = digits_of(token)
@@ -117,29 +153,31 @@ def resemblances(token: str) -> Iterator[tuple[str, str]]:
 
 
 def field_of(text: str, spans: list[Span]) -> Field | None:
-    places: list[tuple[int, int]] = []
+    ends = np.maximum.accumulate([s[1] for s in spans]) if spans else np.zeros(0, int)
+    starts = [s[0] for s in spans]
+    nodes = [(a, b, LABELS.index(kind)) for a, b, kind in spans]
+    last_end = -1
     for m in MARKED.finditer(text):
-        if places and m.start() < places[-1][1]:
+        if m.start() < last_end:
             continue
         start, end = m.span()
-        while start and text[start - 1] not in " \t\n\x0b\x0c\r":
+        while start and text[start - 1] not in WHITE:
             start -= 1
-        while end < len(text) and text[end] not in " \t\n\x0b\x0c\r":
+        while end < len(text) and text[end] not in WHITE:
             end += 1
+        last_end = end
         token = text[start:end]
         left = len(token) - len(token.lstrip(EDGES_OF_TOKEN.replace("(", "")))
         right = len(token) - len(token.rstrip(EDGES_OF_TOKEN))
-        if left + right < len(token):
-            places.append((start + left, end - right))
-    if not places:
+        a, b = start + left, end - right
+        # Of the spans that begin before b, the furthest end tells whether any reaches into the token.
+        k = bisect_left(starts, b)
+        if a < b and not (k and ends[k - 1] > a):
+            nodes.append((a, b, 0))
+    if not nodes:
         return None
-    held, k = np.zeros(len(places), np.int64), 0
-    for i, (a, b) in enumerate(places):
-        while k < len(spans) and spans[k][1] <= a:
-            k += 1
-        for s in spans[k : k + 8]:
-            if s[0] < b and s[1] > a and not held[i]:
-                held[i] = LABELS.index(s[2])
+    nodes.sort()
+    places, held = [n[:2] for n in nodes], np.array([n[2] for n in nodes])
     last: dict[tuple[str, str], int] = {}
     skip = set()
     for i, (a, b) in enumerate(places):
@@ -148,35 +186,15 @@ def field_of(text: str, spans: list[Span]) -> Field | None:
                 skip.add((last[key], i))
             last[key] = i
     chain = [(i, i + 1) for i in range(len(places) - 1) if places[i + 1][0] - places[i][1] <= 3]
-    return Field(places, np.array([token_features(text[a:b]) for a, b in places], float), held, chain, sorted(skip))
+    features = np.array([shape(text[a:b]) + surroundings(text, a, b) for a, b in places], float)
+    return Field(places, features, held, np.array(chain, int).reshape(-1, 2), np.array(sorted(skip), int).reshape(-1, 2))
 
 
 @dataclass
 class Weights:
     unary: np.ndarray  # features x labels
-    chain: float
-    skip: float
-
-
-def agreement(pairs: list[tuple[int, int]]) -> float:
-    """Log odds that two joined tokens have one label, with one of each added; never below 0."""
-    same = sum(a == b for a, b in pairs)
-    return float(np.clip(np.log((same + 1) / (len(pairs) - same + 1)), 0, 3))
-
-
-def train(texts: list[str], steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> Weights:
-    fields = [f for t in texts if (f := field_of(t, pattern_spans(t)))]
-    width, n_labels = len(token_features("0")), len(LABELS)
-    unary = np.zeros((width, n_labels))
-    if fields:
-        x = np.vstack([f.features for f in fields])
-        y = np.eye(n_labels)[np.concatenate([f.held for f in fields])]
-        for _ in range(steps):
-            p = softmax(x @ unary)
-            unary += rate * (x.T @ (y - p) / len(x) - decay * unary)
-    labelled = [(f, e) for f in fields for e in f.skip]
-    chained = [(f, e) for f in fields for e in f.chain]
-    return Weights(unary, *(agreement([(f.held[a], f.held[b]) for f, (a, b) in es if f.held[a] or f.held[b]]) for es in (chained, labelled)))
+    chain: np.ndarray  # labels x labels, symmetric
+    skip: np.ndarray
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -184,26 +202,66 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def train(texts: list[str], steps: int = 400, rate: float = 0.5, decay: float = 2e-3) -> Weights:
+    """Ascends the pseudo-likelihood of all labelled nodes, with and without their own features."""
+    fields = [f for t in texts if (f := field_of(t, pattern_spans(t)))]
+    width, n_labels = len(shape("0")) + 2 * CONTEXT, len(LABELS)
+    prior = {k: v * np.eye(n_labels) for k, v in AGREEMENT.items()}
+    w = Weights(np.zeros((width, n_labels)), prior["chain"].copy(), prior["skip"].copy())
+    if not fields:
+        return w
+    x = np.vstack([f.features for f in fields])
+    bare = np.zeros_like(x)
+    bare[:, 0] = 1.0
+    told = ~np.concatenate([f.open() for f in fields])
+    y = np.eye(n_labels)[np.concatenate([f.held for f in fields])] * told[:, None]
+    base = np.cumsum([0, *(len(f.places) for f in fields)])
+    near = {}
+    for kind in ("chain", "skip"):  # the labels that a node's neighbours have, counted
+        edges = np.vstack([getattr(f, kind) + o for f, o in zip(fields, base, strict=False)])
+        near[kind] = np.zeros_like(y)
+        np.add.at(near[kind], edges[:, 0], y[edges[:, 1]])
+        np.add.at(near[kind], edges[:, 1], y[edges[:, 0]])
+    n = max(1, told.sum())
+    for _ in range(steps):
+        grown = -decay * w.unary
+        pull = {k: -decay * (getattr(w, k) - prior[k]) for k in prior}
+        for seen in (x, bare):
+            miss = (y - softmax(seen @ w.unary + near["chain"] @ w.chain + near["skip"] @ w.skip)) * told[:, None]
+            grown = grown + seen.T @ miss / (2 * n)
+            for k in pull:
+                g = near[k].T @ miss / (2 * n)
+                pull[k] = pull[k] + (g + g.T) / 2
+        w.unary += rate * grown
+        for k, g in pull.items():
+            setattr(w, k, getattr(w, k) + rate * g)
+    return w
+
+
 def marginals(field: Field, w: Weights) -> np.ndarray:
-    """Loopy sum-product; linear in tokens and edges a round."""
-    own = np.exp(np.clip(field.features @ w.unary, -30, 30))
+    """Loopy sum-product until every message has settled; linear in nodes and edges a round. Messages
+    are damped more from round to round, so that they settle on any graph."""
+    own = softmax(np.clip(field.features @ w.unary, -30, 30))
     own[field.held > 0] = 1e-9
     own[field.held > 0, field.held[field.held > 0]] = 1.0
-    own /= own.sum(axis=1, keepdims=True)
-    edges = [(a, b, w.chain) for a, b in field.chain] + [(a, b, w.skip) for a, b in field.skip]
-    if not edges:
+    edges = np.vstack([field.chain, field.skip])
+    if not len(edges):
         return own
-    a, b, weight = (np.array(c) for c in zip(*edges, strict=True))
-    source, target = np.concatenate([a, b]), np.concatenate([b, a])
-    bonus = np.tile(np.exp(weight) - 1, 2)[:, None]
-    back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
+    factor = np.exp(np.vstack([np.broadcast_to(m, (len(e), *m.shape)) for m, e in ((w.chain, field.chain), (w.skip, field.skip))]))
+    source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+    factor = np.concatenate([factor, factor.transpose(0, 2, 1)])
+    back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     sent = np.full((len(source), len(LABELS)), 1 / len(LABELS))
-    for _ in range(ROUNDS):
+    moved, rounds, patience = 1.0, 0, 2 * len(own) + 50
+    while moved > SETTLED:
         total = np.log(own)
         np.add.at(total, target, np.log(sent))
-        out = softmax(total[source] - np.log(sent[back]))
-        new = 1 + bonus * out  # agreeing labels weigh exp(weight), others 1
-        sent = 0.5 * sent + 0.5 * new / new.sum(axis=1, keepdims=True)
+        new = np.einsum("es,est->et", softmax(total[source] - np.log(sent[back])), factor)
+        new /= new.sum(axis=1, keepdims=True)
+        step = 0.7 if rounds < patience else 0.7 * patience / rounds
+        moved = step * np.abs(new - sent).max()
+        sent = sent + step * (new - sent)
+        rounds += 1
     total = np.log(own)
     np.add.at(total, target, np.log(sent))
     return softmax(total)
@@ -211,7 +269,7 @@ def marginals(field: Field, w: Weights) -> np.ndarray:
 
 def added_spans(text: str, spans: list[Span], w: Weights) -> list[Span]:
     field = field_of(text, spans)
-    if field is None:
+    if field is None or not (field.held == 0).any():
         return []
     p = marginals(field, w)
     best = p.argmax(axis=1)
