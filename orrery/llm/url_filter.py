@@ -2,11 +2,12 @@
 
 A rule names a host suffix and a path start; the longest that fits a URL decides. URLs that no rule
 fits are judged by boosted trees over lexical features: lengths, depth, digit ratio, character
-entropy, parameter counts, and how often host suffixes and first path segments were blocked among
-the training URLs. The trees are trained here, from labelled URLs: a table of the caller's, or else
-the URLs that rules decide. Suffix statistics count every labelled row. The trees learn from at most
-SAMPLE distinct URLs (those of the smallest hash, so the choice is the same in each run), each with
-the label of most of its rows.
+entropy, parameter counts, and how often the host's suffixes of one and two labels were blocked
+among the labelled URLs. The trees are trained here, from labelled URLs: a table of the caller's, or
+else the URLs that rules decide. Suffix statistics count every labelled row; a training URL sees them
+without the rows of its own fold of hosts, so that no label is among its features and what is learned
+holds for hosts not seen. The trees learn from at most SAMPLE distinct URLs (those of the smallest
+hash, so the choice is the same in each run), each with the label of most of its rows.
 
 All of it is DataFrame columns and Spark's own tree learner.
 
@@ -32,10 +33,12 @@ SAMPLE = 20_000
 TREES, DEPTH = 12, 4
 #: Suffix keys of one kind that may be sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
-KEYS = ("suffix", "suffix2", "segment")
+KEYS = ("suffix", "suffix2")
+#: Folds of hosts; FOLDS stands for all of them.
+FOLDS = 5
 #: Added sightings of the mean when a suffix's share of blocked URLs is taken.
 PRIOR = 20.0
-NUMERIC = ["url_chars", "host_chars", "path_chars", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "percent_codes", "scheme_plain", "suffix_rate", "suffix2_rate", "segment_rate"]
+NUMERIC = ["url_chars", "host_chars", "path_chars", "depth", "labels", "digit_ratio", "hyphens", "entropy", "params", "percent_codes", "scheme_plain", "suffix_rate", "suffix2_rate"]
 
 
 def parts(urls: DataFrame) -> DataFrame:
@@ -81,15 +84,15 @@ def lexical(urls: DataFrame) -> DataFrame:
             "digit_ratio": count("[0-9]") / F.greatest(F.length(url), F.lit(1)), "hyphens": count("-"), "entropy": entropy(url),
             "params": count("[?&][^?&#=]+="), "percent_codes": count("%[0-9A-Fa-f]{2}"), "scheme_plain": F.startswith(url, F.lit("http:")).cast("double"),
             "suffix": F.element_at(labels, -1), "suffix2": F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2))),
-            "segment": F.concat_ws("/", F.element_at(labels, -1), F.regexp_extract(path, r"^/([^/]*)/", 1)),
         }
     )
 
 
 def with_rates(rows: DataFrame, rates: dict[str, DataFrame], mean: float) -> DataFrame:
-    """Adds the blocked share of each suffix key. rates: key and its rate, by kind of key."""
+    """Adds the blocked share of each suffix key, without what rows of its `fold` say. rates: key, fold
+    and rate, by kind of key."""
     for key, own in rates.items():
-        rows = rows.join(own, key, "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(mean)))
+        rows = rows.join(own, [key, "fold"], "left").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(mean)))
     return rows
 
 
@@ -110,18 +113,25 @@ class Judge:
         if not n or not 0 < blocked < n:
             return
         keys = F.explode(F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(k).alias("key")) for k in KEYS])).alias("k")
-        rate = (F.sum("blocked") + PRIOR * self.mean) / (F.sum("n") + PRIOR)
-        rates = kept(lexical(parts(urls)).select("n", "blocked", keys).groupBy("k.key_kind", "k.key").agg(rate.alias("rate")), "suffix-rates")
+        fold = F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+        rows = lexical(parts(urls)).withColumn("fold", fold)
+        sums = rows.select("n", "blocked", "fold", keys).groupBy("k.key_kind", "k.key", "fold").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+        sums = kept(sums, "suffix-sums")
+        every = sums.groupBy("key_kind", "key").agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"))
+        others = sums.join(every, ["key_kind", "key"]).select("key_kind", "key", "fold", (F.col("all_n") - F.col("n")).alias("n"), (F.col("all_blocked") - F.col("blocked")).alias("blocked"))
+        told = others.unionByName(every.select("key_kind", "key", F.lit(FOLDS).alias("fold"), F.col("all_n").alias("n"), F.col("all_blocked").alias("blocked")))
+        rate = (F.col("blocked") + PRIOR * self.mean) / (F.col("n") + PRIOR)
+        rates = kept(told.select("key_kind", "key", "fold", rate.alias("rate")), "suffix-rates")
         for k in KEYS:
-            own = rates.where(F.col("key_kind") == k).select(F.col("key").alias(k), F.col("rate").alias(f"{k}_rate"))
+            own = rates.where(F.col("key_kind") == k).select(F.col("key").alias(k), "fold", F.col("rate").alias(f"{k}_rate"))
             self.rates[k] = small_or_not(own, BROADCAST_ROWS)
-        chosen = urls.orderBy(F.xxhash64("url"), "url").limit(sample).withColumn("label", (2 * F.col("blocked") > F.col("n")).cast("double"))
-        chosen = kept(self.features(lexical(parts(chosen))).select(*NUMERIC, "label"), "tree-urls")
+        chosen = rows.orderBy(F.xxhash64("url"), "url").limit(sample).withColumn("label", (2 * F.col("blocked") > F.col("n")).cast("double"))
+        chosen = kept(with_rates(chosen, self.rates, self.mean).select(*NUMERIC, "label"), "tree-urls")
         if chosen.select("label").distinct().count() > 1:
             self.model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, subsamplingRate=1.0).fit(assembled(chosen))
 
     def features(self, rows: DataFrame) -> DataFrame:
-        return with_rates(rows, self.rates, self.mean)
+        return with_rates(rows.withColumn("fold", F.lit(FOLDS)), self.rates, self.mean)
 
     def judge(self, urls: DataFrame) -> DataFrame:
         """urls with host and path -> the same with model_verdict."""

@@ -37,6 +37,27 @@ def test_quality(spark, odd, small):
     assert kept.columns == docs.columns
 
 
+def test_fertility_figures(spark, odd, small):
+    """Characters per token, byte share and entropy, counted token by token."""
+    import math
+
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet(f"{small}/documents.parquet").unionByName(odd.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").dropDuplicates(["doc_id"]).withColumn("doc_id", F.col("doc_id") + 10**6))
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for row in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", row.text or "")
+        tokens = [t for w in words for t in model.encode(w, out_type=str)]
+        count = Counter(tokens)
+        bits = sum(-c / len(tokens) * math.log2(c / len(tokens)) for c in count.values())
+        r = got[row.doc_id]
+        byte = sum(bool(re.fullmatch("<0x[0-9A-F]{2}>", t)) for t in tokens)
+        want = (sum(map(len, words)) / max(1, len(tokens)), byte / max(1, len(tokens)), bits)
+        assert (r.chars_per_token, r.byte_share, r.token_entropy) == pytest.approx(want, abs=2e-6)
+
+
 def test_bands(docs_of, prose):
     import random
 
@@ -118,12 +139,43 @@ def test_urls(spark, small):
         assert best is None or r.verdict == best[1]
 
 
-def test_trees_on_held_out_urls(spark, small):
+def labelled_urls(n):
+    """URLs of many hosts, blocked by the look of the host or the parameters and not by suffix."""
+    import random
+
+    rng, out = random.Random(6), []
+    for i in range(n):
+        bad = rng.random() < 0.4
+        name = "-".join(f"{rng.choice(['win', 'best', 'go'])}{rng.randrange(10**4)}" for _ in range(3)) if bad and i % 2 else "".join(rng.choice(["ta", "re", "lo", "mi"]) for _ in range(4))
+        query = "?" + "&".join(f"{k}={rng.randrange(10**6)}" for k in "abcde") if bad and not i % 2 else rng.choice(["", "?page=2", "#top"])
+        out.append((f"https://{name}{i % 97}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'fr'])}/{rng.randrange(10**4)}{query}", float(bad)))
+    return out
+
+
+def test_trees_on_held_out_hosts(spark):
+    """Whole hosts are held out, and the label is in no rule."""
+    rows = url_filter.parts(spark.createDataFrame(labelled_urls(3000), "url string, label double")).cache()
+    held = F.pmod(F.xxhash64("host", F.lit(3)), F.lit(4)) == 0
+    judged = url_filter.Judge(rows.where(~held)).judge(rows.where(held))
+    right, blocked = judged.agg(F.avg(((F.col("model_verdict") == "block").cast("double") == F.col("label")).cast("double")), F.avg((F.col("model_verdict") == "block").cast("double"))).first()
+    assert right > 0.95 and 0.3 < blocked < 0.5
+
+
+def test_trees_decide_what_no_rule_does(spark):
+    """On the whole table the verdict of URLs without a rule is the trees': suffixes whose labelled URLs
+    of other hosts were blocked are blocked, those whose were allowed are allowed."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
-    ruled = url_filter.ruled(url_filter.parts(pages)).where("rule is not null").withColumn("label", (F.col("rule_verdict") == "block").cast("double"))
-    judge = url_filter.Judge(ruled.where("page_id % 4 != 0"))
-    right = judge.judge(ruled.where("page_id % 4 = 0")).agg(F.avg(((F.col("model_verdict") == "block").cast("double") == F.col("label")).cast("double"))).first()[0]
-    assert right > 0.97
+    rows = url_filter.verdicts(pages).where("rule is null").groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.avg((F.col("verdict") == "block").cast("double")).alias("blocked")).collect()
+    assert {r.suffix: round(r.blocked) for r in rows} == {"com": 1, "org": 0}
+
+
+def test_urls_odd_rows(spark):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)] * 2 + [(None, "http://example.net/x")], "page_id long, url string")
+    for name in ("host", "path", "rule", "prediction", "fold", "features", "label", "n", "blocked", "suffix", "verdict"):
+        pages = pages.withColumn(name, F.lit(1))
+    rows = url_filter.verdicts(pages).collect()
+    assert len(rows) == 2 * len(URLS) + 1
+    assert len({(r.page_id, r.verdict, r.rule) for r in rows}) == len(URLS) + 1
 
 
 def test_urls_without_labels(spark):
@@ -148,9 +200,14 @@ def test_suffix_rates_of_all_labelled_urls(spark, monkeypatch):
     for bound in (url_filter.BROADCAST_ROWS, 0):
         monkeypatch.setattr(url_filter, "BROADCAST_ROWS", bound)
         judge = url_filter.Judge(labelled, sample=40)
-        got = {r.suffix: r.suffix_rate for r in judge.rates["suffix"].collect()}
+        got = {r.suffix: r.suffix_rate for r in judge.rates["suffix"].where(F.col("fold") == url_filter.FOLDS).collect()}
         assert got == pytest.approx({k: (b + url_filter.PRIOR * mean) / (n + url_filter.PRIOR) for k, (b, n) in want.items()})
-        assert judge.rates["segment"].count() == len({(u.split("/")[2].split(".")[1], u.split("/")[3]) for u, _ in rows})
+        fold = {u: f for u, f in spark.createDataFrame(sorted(set(rows)), "url string, label double").selectExpr("url", f"pmod(xxhash64(split_part(url, '/', 3)), {url_filter.FOLDS})").collect()}
+        for k in want:
+            other = [x for u, x in rows if u.split("/")[2].endswith("." + k) and fold[u] != 0]
+            if any(u.split("/")[2].endswith("." + k) and fold[u] == 0 for u, _ in rows):
+                rate = judge.rates["suffix"].where((F.col("fold") == 0) & (F.col("suffix") == k)).first().suffix_rate
+                assert rate == pytest.approx((sum(other) + url_filter.PRIOR * mean) / (len(other) + url_filter.PRIOR))
         judged.append({(r.url, r.model_verdict) for r in judge.judge(url_filter.ruled(url_filter.parts(labelled))).collect()})
     assert judged[0] == judged[1] == {(u, "block" if x else "allow") for u, x in urls}
 
