@@ -10,7 +10,6 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.distributions import gamma_table
 from orrery.operators import aggregates, drift, tree, walk
 from orrery.operators.knn import knn as brute_knn
 from orrery.operators.tree import CoverTree, TreeParams
@@ -119,8 +118,7 @@ class PointIndex:
         """at and the statistics of a tracker of that window. way: paths of the queries; order: tick,
         qid; ticks: where to look (tick)."""
         found = drift.evidence(drift.sequence(way, order), ticks, window)
-        size = self.built.points.count() + order.count() + 1
-        return drift.kl_stats(drift.node_kl(aggregates.priors(self.built), found, gamma_table(way.sparkSession, size)))
+        return drift.kl_stats(drift.node_kl(aggregates.priors(self.built), found))
 
     def baseline(self, sequences: int = 8, length: int = 0, sample_rate: int = 100, seed: int = 0) -> DataFrame:
         steps = self.built.steps().select("pid", aggregates.node_key(), F.when(F.col("next_center").isNotNull(), F.concat_ws(":", "next_scale", "next_center")).alias("bucket"))

@@ -1,40 +1,40 @@
 """Categorical, Dirichlet and diagonal Gaussian distributions over DataFrames.
 
 A discrete distribution is rows (node, bucket, n); a null bucket is the one for points that stop at
-the node. Counts are integers, so the log gamma and digamma functions are read from a table of
-running sums; digamma's constant cancels wherever it is used.
+the node. Log gamma and digamma are column expressions, so Dirichlet functions join nothing but the
+distributions themselves.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of one block of the gamma table; blocks are summed apart and put together by their totals.
-GAMMA_BLOCK = 4096
+#: Arguments are moved up by so many before the series, which are exact to 1e-11 from there on.
+SHIFT = 8
 
 
-def gamma_table(spark: SparkSession, size: int) -> DataFrame:
-    """n, lg (log gamma of n), h (harmonic number of n - 1) for 1 <= n <= size."""
-    rows = spark.range(1, size + 1).select(
-        F.col("id").alias("n"),
-        F.floor(F.col("id") / GAMMA_BLOCK).alias("block"),
-        F.when(F.col("id") > 1, F.log(F.col("id") - 1.0)).otherwise(0.0).alias("l"),
-        F.when(F.col("id") > 1, 1.0 / (F.col("id") - 1)).otherwise(0.0).alias("r"),
-    )
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("block").agg(F.sum("l").alias("tl"), F.sum("r").alias("tr"))
-    offsets = totals.select("block", F.coalesce(F.sum("tl").over(before), F.lit(0.0)).alias("ol"), F.coalesce(F.sum("tr").over(before), F.lit(0.0)).alias("oh"))
-    upto = Window.partitionBy("block").orderBy("n")
-    return rows.join(offsets, "block").select("n", (F.sum("l").over(upto) + F.col("ol")).alias("lg"), (F.sum("r").over(upto) + F.col("oh")).alias("h"))
+def log_gamma(x: Column) -> Column:
+    """Of a positive number: Stirling's series beyond SHIFT, and the recurrence down from there."""
+    x = x.cast("double")
+    z = x + SHIFT
+    rise = x
+    for i in range(1, SHIFT):
+        rise = rise * (x + i)
+    series = 1 / (12 * z) - 1 / (360 * F.pow(z, 3)) + 1 / (1260 * F.pow(z, 5)) - 1 / (1680 * F.pow(z, 7))
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + series - F.log(rise)
 
 
-def with_gamma(rows: DataFrame, gamma: DataFrame, of: str, out: str) -> DataFrame:
-    """Adds out_lg and out_h at column `of`."""
-    g = gamma.select(F.col("n").alias(of), F.col("lg").alias(f"{out}_lg"), F.col("h").alias(f"{out}_h"))
-    return rows.join(g, of, "left")
+def digamma(x: Column) -> Column:
+    x = x.cast("double")
+    z = x + SHIFT
+    series = 1 / (2 * z) + 1 / (12 * z * z) - 1 / (120 * F.pow(z, 4)) + 1 / (252 * F.pow(z, 6)) - 1 / (240 * F.pow(z, 8))
+    down = 1 / x
+    for i in range(1, SHIFT):
+        down = down + 1 / (x + i)
+    return F.log(z) - series - down
 
 
 def log_or_minus_inf(x: Column) -> Column:
@@ -70,39 +70,44 @@ def posterior(prior: DataFrame, evidence: DataFrame) -> DataFrame:
     return prior.select("node", "bucket", "n").unionByName(evidence.select("node", "bucket", "n")).groupBy("node", "bucket").agg(F.sum("n").alias("n"))
 
 
-def posterior_kl(prior: DataFrame, evidence: DataFrame, gamma: DataFrame, by: list[str] | None = None) -> DataFrame:
+def bucket_term(a: Column, e: Column, total: Column) -> Column:
+    """What a bucket with prior count a and e more in evidence adds to the KL; total: the prior's."""
+    return log_gamma(a + e) - log_gamma(a) - e * (digamma(a) - digamma(total))
+
+
+def with_prior(evidence: DataFrame, prior: DataFrame) -> DataFrame:
+    """evidence rows whose node has a prior, with prior_total and the bucket's own count a (null if the
+    prior lacks the bucket)."""
+    totals = prior.groupBy("node").agg(F.sum("n").cast("long").alias("prior_total"))
+    own = prior.where("n > 0").select(F.col("node").alias("pnode"), F.col("bucket").alias("pbucket"), F.col("n").cast("long").alias("a"))
+    same = (F.col("node") == F.col("pnode")) & F.col("bucket").eqNullSafe(F.col("pbucket"))
+    return evidence.join(totals, "node").join(own, same, "left").drop("pnode", "pbucket")
+
+
+def posterior_kl(prior: DataFrame, evidence: DataFrame, by: list[str] | None = None) -> DataFrame:
     """by..., node, evidence (its count), kl: KL(prior || posterior) of each node's Dirichlet, at least
     0; null if the evidence names a bucket that the prior lacks. Evidence for the stopping bucket of
     a node without one counts in the total alone."""
     by = by or []
-    totals = prior.groupBy("node").agg(F.sum("n").cast("long").alias("prior_total"))
-    own = prior.select(F.col("node").alias("pnode"), F.col("bucket").alias("pbucket"), F.col("n").cast("long").alias("a"))
-    rows = (
-        evidence.where("n > 0")
-        .join(totals, "node")
-        .join(own, (F.col("node") == F.col("pnode")) & F.col("bucket").eqNullSafe(F.col("pbucket")), "left")
-        .select(*by, "node", "bucket", F.col("n").cast("long").alias("e"), "prior_total", F.when(F.col("a") > 0, F.col("a")).alias("a"))
-        .withColumn("ae", F.col("a") + F.col("e"))
-    )
-    rows = with_gamma(with_gamma(with_gamma(rows, gamma, "a", "a"), gamma, "ae", "p"), gamma, "prior_total", "t")
-    term = F.when(F.col("a").isNotNull(), -F.col("a_lg") + F.col("p_lg") - F.col("e") * (F.col("a_h") - F.col("t_h"))).otherwise(0.0)
+    rows = with_prior(evidence.where("n > 0").select(*by, "node", "bucket", F.col("n").cast("long").alias("e")), prior)
+    term = F.when(F.col("a").isNotNull(), bucket_term(F.col("a"), F.col("e"), F.col("prior_total"))).otherwise(0.0)
     unknown = F.max(F.col("a").isNull() & F.col("bucket").isNotNull())
-    sums = rows.groupBy(*by, "node").agg(F.sum("e").alias("seen"), F.max("prior_total").alias("prior_total"), F.max("t_lg").alias("top_lg"), F.sum(term).alias("s"), unknown.alias("unknown"))
-    sums = with_gamma(sums.withColumn("both", F.col("prior_total") + F.col("seen")), gamma, "both", "e")
-    kl = F.greatest(F.lit(0.0), F.col("top_lg") - F.col("e_lg") + F.col("s"))
+    sums = rows.groupBy(*by, "node").agg(F.sum("e").alias("seen"), F.max("prior_total").alias("prior_total"), F.sum(term).alias("s"), unknown.alias("unknown"))
+    kl = F.greatest(F.lit(0.0), log_gamma(F.col("prior_total")) - log_gamma(F.col("prior_total") + F.col("seen")) + F.col("s"))
     return sums.select(*by, "node", F.col("seen").alias("evidence"), F.when(~F.col("unknown"), kl).alias("kl"))
 
 
-def dirichlet_kl(p: DataFrame, q: DataFrame, gamma: DataFrame) -> DataFrame:
+def dirichlet_kl(p: DataFrame, q: DataFrame) -> DataFrame:
     """node, kl: KL(p || q) of Dirichlets with the same buckets; null where buckets differ."""
-    a = p.where("n > 0").select("node", "bucket", F.col("n").cast("long").alias("a"), F.sum("n").over(Window.partitionBy("node")).cast("long").alias("prior_total"))
-    b = q.where("n > 0").select(F.col("node").alias("qnode"), F.col("bucket").alias("qbucket"), F.col("n").cast("long").alias("b"), F.sum("n").over(Window.partitionBy("node")).cast("long").alias("other_total"))
+    a = p.where("n > 0").select("node", "bucket", F.col("n").cast("long").alias("a"))
+    b = q.where("n > 0").select(F.col("node").alias("qnode"), F.col("bucket").alias("qbucket"), F.col("n").cast("long").alias("b"))
     rows = a.join(b, (F.col("node") == F.col("qnode")) & F.col("bucket").eqNullSafe(F.col("qbucket")), "full").withColumn("node", F.coalesce("node", "qnode"))
-    for of, out in (("a", "a"), ("b", "b"), ("prior_total", "ta"), ("other_total", "tb")):
-        rows = with_gamma(rows, gamma, of, out)
-    term = -F.col("a_lg") + F.col("b_lg") + (F.col("a") - F.col("b")) * (F.col("a_h") - F.col("ta_h"))
+    # Sum of (a - b) (digamma a - digamma total), with the total's own part taken out.
+    term = log_gamma(F.col("b")) - log_gamma(F.col("a")) + (F.col("a") - F.col("b")) * digamma(F.col("a"))
     same = F.min(F.col("a").isNotNull() & F.col("b").isNotNull())
-    return rows.groupBy("node").agg(F.when(same, F.greatest(F.lit(0.0), F.max("ta_lg") - F.max("tb_lg") + F.sum(term))).alias("kl"))
+    sums = rows.groupBy("node").agg(same.alias("same"), F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.sum(term).alias("s"))
+    kl = log_gamma(F.col("ta")) - log_gamma(F.col("tb")) + F.col("s") - (F.col("ta") - F.col("tb")) * digamma(F.col("ta"))
+    return sums.select("node", F.when(F.col("same"), F.greatest(F.lit(0.0), kl)).alias("kl"))
 
 
 def gaussian_moments(rows: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
@@ -112,6 +117,19 @@ def gaussian_moments(rows: DataFrame, by: list[str], vec: str = "vec") -> DataFr
     return each.groupBy(*by, "pos").agg(F.count("x").alias("n"), F.sum("x").alias("m1"), F.sum(F.col("x") * F.col("x")).alias("m2"))
 
 
+def gaussian_change(moments: DataFrame, rows: DataFrame, by: list[str], sign: int, vec: str = "vec") -> DataFrame:
+    """by..., pos, n, m1, m2 with the rows' vectors added (sign 1) or taken out again (sign -1)."""
+    more = gaussian_moments(rows, by, vec).select(*by, "pos", *[(sign * F.col(c)).alias(c) for c in ("n", "m1", "m2")])
+    both = moments.select(*by, "pos", "n", "m1", "m2").unionByName(more)
+    return both.groupBy(*by, "pos").agg(*[F.sum(c).alias(c) for c in ("n", "m1", "m2")])
+
+
+def counts_change(counts: DataFrame, more: DataFrame, sign: int) -> DataFrame:
+    """node, bucket, n with counts added or taken out; none falls below 0."""
+    both = counts.select("node", "bucket", "n").unionByName(more.select("node", "bucket", (sign * F.col("n")).alias("n")))
+    return both.groupBy("node", "bucket").agg(F.greatest(F.lit(0), F.sum("n")).alias("n"))
+
+
 def gaussian_mean_var(moments: DataFrame) -> DataFrame:
     mean = F.when(F.col("n") > 0, F.col("m1") / F.col("n")).otherwise(0.0)
     var = F.when(F.col("n") > 0, F.col("m2") / F.col("n") - mean * mean).otherwise(0.0)

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.distributions import gamma_table, posterior_kl, with_gamma
+from orrery.functions.distributions import bucket_term, digamma, log_gamma, posterior_kl, with_prior
 from orrery.sources.points import ranked
+from orrery.sources.tables import settled
 
 #: KL below this counts as none.
 NONZERO = 1e-10
@@ -38,14 +39,14 @@ def evidence(seq: DataFrame, ticks: DataFrame, window: int) -> DataFrame:
         asked = ticks.select(F.col("tick").alias("at"), F.floor(F.col("tick") / window).alias("block"))
         rows = seq.select("tick", "node", "bucket", near).join(asked, "block").where((F.col("tick") <= F.col("at")) & (F.col("tick") > F.col("at") - window))
         return rows.groupBy("at", "node", "bucket").agg(F.count("*").alias("n"))
-    asked = ticks.select(F.col("tick").alias("at"))
-    first = next_asked(seq, asked)
-    parts = first.groupBy("at", "node", "bucket").agg(F.count("*").alias("n"))
-    keys = parts.select("node", "bucket").distinct()
-    grid = keys.crossJoin(F.broadcast(asked))  # asked ticks are a stated, bounded set
-    joined = grid.alias("g").join(parts.alias("p"), (F.col("g.node") == F.col("p.node")) & F.col("g.bucket").eqNullSafe(F.col("p.bucket")) & (F.col("g.at") == F.col("p.at")), "left")
-    upto = Window.partitionBy("node", "bucket").orderBy("at")
-    return joined.select("g.at", "g.node", "g.bucket", F.coalesce("p.n", F.lit(0)).alias("n")).withColumn("n", F.sum("n").over(upto)).where("n > 0")
+    asked = settled(ranked(ticks.select(F.col("tick").alias("at")).distinct(), ["at"], "turn").select("at", "turn"), "asked-ticks")
+    parts = next_asked(seq, asked.select("at")).groupBy("at", "node", "bucket").agg(F.count("*").alias("n")).join(asked, "at")
+    by = Window.partitionBy("node", "bucket").orderBy("turn")
+    last = asked.count()
+    held = parts.select("node", "bucket", F.sum("n").over(by).alias("n"), "turn", (F.coalesce(F.lead("turn").over(by) - 1, F.lit(last))).alias("until"))
+    # A count stays until its next change.
+    spread = held.select("node", "bucket", "n", F.explode(F.sequence("turn", "until")).alias("turn"))
+    return spread.join(asked, "turn").select("at", "node", "bucket", "n")
 
 
 def next_asked(seq: DataFrame, asked: DataFrame) -> DataFrame:
@@ -61,9 +62,25 @@ def next_asked(seq: DataFrame, asked: DataFrame) -> DataFrame:
     return here.join(blocks, "block").withColumn("at", F.coalesce("here", "later")).where("at is not null").select("tick", "node", "bucket", "at")
 
 
-def node_kl(prior: DataFrame, found: DataFrame, gamma: DataFrame) -> DataFrame:
+def node_kl(prior: DataFrame, found: DataFrame) -> DataFrame:
     """at, node, evidence, kl."""
-    return posterior_kl(prior, found, gamma, ["at"])
+    return posterior_kl(prior, found, ["at"])
+
+
+def running_kl(prior: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
+    """by..., node, at, kl at the ticks where a node's evidence changes, and `until`, the tick of its next
+    change (null after the last). parts: by..., at, node, bucket, n of new evidence. A KL is a sum over
+    buckets, so each bucket's change is added up, and no tick is filled in between."""
+    own = Window.partitionBy(*by, "node", "bucket").orderBy("at")
+    rows = with_prior(parts.select(*by, "at", "node", "bucket", F.sum("n").over(own).cast("long").alias("e"), F.col("n").alias("more")), prior)
+    rows = rows.withColumn("term", F.when(F.col("a").isNotNull(), bucket_term(F.col("a"), F.col("e"), F.col("prior_total"))).otherwise(0.0))
+    unknown = F.max(F.col("a").isNull() & F.col("bucket").isNotNull()).alias("unknown")
+    change = (F.col("term") - F.coalesce(F.lag("term").over(own), F.lit(0.0))).alias("change")
+    steps = rows.select("*", change).groupBy(*by, "node", "at").agg(F.sum("more").alias("more"), F.sum("change").alias("change"), F.max("prior_total").alias("top"), unknown)
+    each = Window.partitionBy(*by, "node").orderBy("at")
+    seen = F.sum("more").over(each)
+    kl = F.greatest(F.lit(0.0), log_gamma(F.col("top")) - log_gamma(F.col("top") + seen) + F.sum("change").over(each))
+    return steps.select(*by, "node", "at", F.when(~F.max("unknown").over(each), kl).alias("kl"), F.lead("at").over(each).alias("until"))
 
 
 def kl_stats(kls: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -73,17 +90,17 @@ def kl_stats(kls: DataFrame, by: list[str] | None = None) -> DataFrame:
     return kls.groupBy(*by).agg(F.max(big).alias("max"), F.min(big).alias("min"), F.count(big).alias("nz_count"), F.coalesce(F.sum(big), F.lit(0.0)).alias("moment1_nz"), F.coalesce(F.sum(big * big), F.lit(0.0)).alias("moment2_nz"))
 
 
-def terminal_kl(resting: DataFrame, found: DataFrame, gamma: DataFrame) -> DataFrame:
+def terminal_kl(resting: DataFrame, found: DataFrame) -> DataFrame:
     """at, kl: KL(posterior || prior) of the whole tree's Dirichlet over resting nodes. resting: node,
     singletons. found: evidence rows; those with a null bucket rest."""
     prior = resting.select("node", (F.col("singletons") + 1).cast("long").alias("a"))
     sums = prior.agg(F.sum("a").alias("prior_total"))
-    rows = found.where("bucket is null").groupBy("at", "node").agg(F.sum("n").cast("long").alias("e")).join(prior, "node").withColumn("ae", F.col("a") + F.col("e"))
-    total = rows.groupBy("at").agg(F.sum("e").alias("seen")).crossJoin(F.broadcast(sums)).withColumn("both", F.col("prior_total") + F.col("seen"))
-    total = with_gamma(with_gamma(total, gamma, "both", "t"), gamma, "prior_total", "u")
-    rows = with_gamma(with_gamma(rows, gamma, "ae", "p"), gamma, "a", "q").join(total.select("at", F.col("t_h").alias("th")), "at")
-    part = -F.col("p_lg") + F.col("q_lg") + F.col("e") * (F.col("p_h") - F.col("th"))
-    return rows.groupBy("at").agg(F.sum(part).alias("s")).join(total, "at").select("at", F.greatest(F.lit(0.0), F.col("t_lg") - F.col("u_lg") + F.col("s")).alias("kl"))
+    rows = found.where("bucket is null").groupBy("at", "node").agg(F.sum("n").cast("long").alias("e")).join(prior, "node")
+    # Sum of e (digamma(a + e) - digamma of all), with the part of all taken out.
+    part = log_gamma(F.col("a")) - log_gamma(F.col("a") + F.col("e")) + F.col("e") * digamma(F.col("a") + F.col("e"))
+    total = rows.groupBy("at").agg(F.sum("e").alias("seen"), F.sum(part).alias("s")).crossJoin(F.broadcast(sums))  # one row
+    both = F.col("prior_total") + F.col("seen")
+    return total.select("at", F.greatest(F.lit(0.0), log_gamma(both) - log_gamma(F.col("prior_total")) + F.col("s") - F.col("seen") * digamma(both)).alias("kl"))
 
 
 def probabilities(prior: DataFrame, found: DataFrame) -> DataFrame:
@@ -118,16 +135,13 @@ def baseline(spark: SparkSession, prior: DataFrame, steps: DataFrame, n_points:
     pids = steps.select("pid").distinct().crossJoin(F.broadcast(runs))  # a stated number of runs
     shuffled = ranked(pids.withColumn("_draw", F.xxhash64(F.lit(seed), "run", "pid")), ["run", "_draw", "pid"], "place", 0)
     order = shuffled.select("pid", "run", (F.col("place") - F.col("run") * n_points + 1).alias("tick")).where(F.col("tick") <= size)
-    asked = spark.range(sample_rate, size + 1, sample_rate).select(F.col("id").alias("at"))
     rows = order.join(steps, "pid").withColumn("slot", F.ceil(F.col("tick") / sample_rate) * sample_rate)
-    parts = rows.groupBy("run", F.col("slot").alias("at"), "node", "bucket").agg(F.count("*").alias("n"))
-    grid = parts.select("run", "node", "bucket").distinct().crossJoin(F.broadcast(asked))
-    same = (F.col("g.run") == F.col("p.run")) & (F.col("g.node") == F.col("p.node")) & F.col("g.bucket").eqNullSafe(F.col("p.bucket")) & (F.col("g.at") == F.col("p.at"))
-    upto = Window.partitionBy("run", "node", "bucket").orderBy("at")
-    held = grid.alias("g").join(parts.alias("p"), same, "left").select("g.run", "g.at", "g.node", "g.bucket", F.coalesce("p.n", F.lit(0)).alias("n"))
-    held = held.withColumn("n", F.sum("n").over(upto) * observation_weight).where("n > 0")
-    gamma = gamma_table(spark, n_points * prior_weight + size * observation_weight + 1)
-    stats = kl_stats(posterior_kl(prior.withColumn("n", F.col("n") * prior_weight), held, gamma, ["run", "at"]), ["run", "at"])
+    parts = rows.where(F.col("slot") <= size).groupBy("run", F.col("slot").alias("at"), "node", "bucket").agg((F.count("*") * observation_weight).alias("n"))
+    kls = running_kl(prior.withColumn("n", F.col("n") * prior_weight), parts, ["run"])
+    last = size // sample_rate * sample_rate
+    held = F.sequence(F.col("at"), F.coalesce(F.col("until") - sample_rate, F.lit(last)), F.lit(sample_rate).cast("long"))
+    # A node's value counts at every tick until its next change; the ticks are summed where they are made.
+    stats = kl_stats(kls.select("run", "kl", F.explode(held).alias("at")), ["run", "at"])
     sums = [F.expr(f"avg(coalesce(`{s}`, 0.0D))").alias(f"{s}_mean") for s in STATS] + [F.expr(f"var_pop(coalesce(`{s}`, 0.0D))").alias(f"{s}_var") for s in STATS]
     return stats.groupBy("at").agg(*sums)
 
@@ -135,16 +149,30 @@ def baseline(spark: SparkSession, prior: DataFrame, steps: DataFrame, n_points:
 def interpolate(samples: DataFrame, asked: DataFrame, values: list[str]) -> DataFrame:
     """tick and values: samples (at, values...) read at any tick. At a sample, the sample; between two,
     on the line; beyond the last, on the line of the last two (the last itself if there is one);
-    before the first, zeros. A sample is wanted for each tick, so both are merged in tick order."""
-    both = samples.select(F.col("at").alias("tick"), F.struct("at", *values).alias("s"), F.lit(0).alias("ask")).unionByName(
-        asked.select("tick", F.lit(None).cast(samples.select(F.struct("at", *values).alias("s")).schema["s"].dataType).alias("s"), F.lit(1).alias("ask"))
-    )
-    order = Window.orderBy("tick", "ask")
+    before the first, zeros. Neighbours are looked up within blocks of TICK_BLOCK ticks, and beyond a
+    block's ends in the blocks' own order."""
+    packed = samples.select(F.col("at").alias("tick"), F.struct("at", *values).alias("s"))
+    both = packed.withColumn("ask", F.lit(0)).unionByName(asked.select("tick", F.lit(None).cast(packed.schema["s"].dataType).alias("s"), F.lit(1).alias("ask")))
+    both = settled(both.withColumn("block", F.floor(F.col("tick") / TICK_BLOCK)), "samples-and-ticks")
+    order = Window.partitionBy("block").orderBy("tick", "ask")
     upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
-    prior = F.lag("s").over(Window.orderBy("at"))
-    chain = samples.select(F.struct("at", *values).alias("s"), "at").select("at", prior.alias("before"))
-    rows = both.withColumns({"low": F.last("s", True).over(upto), "high": F.first("s", True).over(after)}).where("ask = 1")
-    rows = rows.join(chain.withColumnRenamed("at", "low_at"), F.col("low.at") == F.col("low_at"), "left")
+    # The last two samples up to a row: of its own block, or of blocks before it.
+    two = F.struct(F.last("s", True).over(upto).alias("low"), F.last("older", True).over(upto).alias("before"))
+    with_older = both.withColumn("older", F.when(F.col("s").isNotNull(), F.last("s", True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
+    here = with_older.withColumns({"two": two, "high": F.first("s", True).over(after)}).where("ask = 1")
+    newest = Window.partitionBy("block").orderBy(F.desc("tick"))
+    tops = both.where("ask = 0").withColumn("r", F.row_number().over(newest))
+    ends = tops.groupBy("block").agg(F.max(F.when(F.col("r") == 1, F.col("s"))).alias("top"), F.max(F.when(F.col("r") == 2, F.col("s"))).alias("second"), F.min(F.struct("tick", "s"))["s"].alias("first"))
+    blocks = both.select("block").distinct().join(ends, "block", "left")
+    before, later = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
+    blocks = blocks.withColumn("earlier", F.coalesce("second", F.last("top", True).over(before)))
+    blocks = blocks.select("block", F.last("top", True).over(before).alias("top_before"), F.last(F.when(F.col("top").isNotNull(), F.struct("earlier")), True).over(before)["earlier"].alias("second_before"), F.first("first", True).over(later).alias("first_after"))
+    rows = here.join(blocks, "block").select(
+        "tick",
+        F.coalesce("two.low", "top_before").alias("low"),
+        F.when(F.col("two.low").isNull(), F.col("second_before")).otherwise(F.coalesce("two.before", "top_before")).alias("before"),
+        F.coalesce("high", "first_after").alias("high"),
+    )
 
     def value(name: str) -> Column:
         low, high, before = F.col("low"), F.col("high"), F.col("before")

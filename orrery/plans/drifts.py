@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions.distributions import gamma_table
 from orrery.operators import aggregates, drift, walk
 from orrery.operators.tree import CoverTree, TreeParams, build, violations
 from orrery.plans.summaries import six, table
@@ -43,8 +42,7 @@ def tracker_running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _node_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = event_sequence(spark, sf_dir)
     prior = event_prior(spark, sf_dir)
-    size = table(spark, sf_dir, "events").count() + WINDOW + 1
-    return drift.node_kl(prior, drift.evidence(seq, ticks(seq), WINDOW), gamma_table(spark, size))
+    return drift.node_kl(prior, drift.evidence(seq, ticks(seq), WINDOW))
 
 
 def tracker_node_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +57,7 @@ def tracker_kl_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event rests at its (node, type); the prior has one more than the counts."""
     seq = event_sequence(spark, sf_dir).select("tick", F.concat_ws("/", "node", "bucket").alias("node"), F.lit(None).cast("string").alias("bucket"))
     prior = event_prior(spark, sf_dir).select(F.concat_ws("/", "node", "bucket").alias("node"), F.col("n").alias("singletons"))
-    size = table(spark, sf_dir, "events").count() + prior.count() + WINDOW + 1
-    return drift.terminal_kl(prior, drift.evidence(seq, ticks(seq), WINDOW), gamma_table(spark, size)).select("at", *six("kl"))
+    return drift.terminal_kl(prior, drift.evidence(seq, ticks(seq), WINDOW)).select("at", *six("kl"))
 
 
 def baseline_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:

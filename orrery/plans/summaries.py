@@ -98,19 +98,15 @@ def category_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dist.category_kl(_counts(spark, sf_dir, "event_id % 10 >= 5"), _counts(spark, sf_dir, "true")).select("node", *six("kl"))
 
 
-def _gamma(spark: SparkSession, *counts: DataFrame) -> DataFrame:
-    return dist.gamma_table(spark, sum(c.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] for c in counts) + 1)
-
-
 def dirichlet_posterior_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     prior, evidence = _counts(spark, sf_dir, "event_id % 10 < 9"), _counts(spark, sf_dir, "event_id % 10 = 9")
-    found = dist.posterior_kl(prior, evidence, _gamma(spark, prior, evidence))
+    found = dist.posterior_kl(prior, evidence)
     return found.select("node", "evidence", *six("kl"))
 
 
 def dirichlet_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, q = _counts(spark, sf_dir, "event_id % 2 = 0"), _counts(spark, sf_dir, "event_id % 2 = 1")
-    return dist.dirichlet_kl(p, q, _gamma(spark, p, q)).select("node", *six("kl"))
+    return dist.dirichlet_kl(p, q).select("node", *six("kl"))
 
 
 def one_hot_to_int(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,13 +60,18 @@ def read_raw(spark: SparkSession, paths: str | list[str], dim: int) -> DataFrame
 
 def read_labels(spark: SparkSession, path: str, column: int, min_valid: int = 1) -> DataFrame:
     """pid, label of a CSV file (.gz too) with a header; the column by position. Missing or unreadable
-    fields, and labels under min_valid, are null. pid is the line's position, so the file is read as
-    one partition; label files are narrow."""
+    fields, and labels under min_valid, are null. pid is the line's position: lines are counted by the
+    blocks in which they are read, and only the blocks are put in order."""
     lines = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
     if not 0 <= column < len(lines.columns):
         raise ValueError(f"the file has no column {column}")
     value = F.expr(f"try_cast(`{lines.columns[column]}` as bigint)")
-    numbered = lines.coalesce(1).select(F.monotonically_increasing_id().alias("pid"), value.alias("label"))
+    block = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    rows = settled(lines.select(*block, F.monotonically_increasing_id().alias("at"), value.alias("label")), "label-lines")
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = rows.join(blocks, ["file", "block"]).select((F.col("at") + F.col("shift")).alias("pid"), "label")
     return numbered.select("pid", F.when(F.col("label") >= min_valid, F.col("label")).alias("label"))
 
 
@@ -91,7 +96,8 @@ def glue(*parts: DataFrame) -> DataFrame:
     out, shift = [], 0
     for part in parts:
         out.append(part.withColumn("pid", F.col("pid") + F.lit(shift)))
-        shift += (part.agg(F.max("pid")).first()[0] or -1) + 1 if not part.isEmpty() else 0
+        last = part.agg(F.max("pid")).first()[0]
+        shift += 0 if last is None else last + 1
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 
 
@@ -134,8 +140,25 @@ def checked(points: DataFrame, dim: int) -> DataFrame:
     return points.withColumn("vec", F.when(good, F.col("vec")).otherwise(F.raise_error(F.lit(f"a vector is not of {dim} components"))))
 
 
+def any_case(pattern: str) -> str:
+    """A glob in which each letter stands for both its cases."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else c for c in pattern)
+
+
+def globbed(spark: SparkSession, pattern: str) -> list[str]:
+    """The files of a path whose last part is a glob of any case, in order of their names. Listed by
+    Spark's own file system, so that any store will do."""
+    folder, _, last = pattern.rpartition("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{any_case(last)}" if folder else any_case(last))
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    names = sorted(str(f.getPath().toString()) for f in found or [])
+    if not names:
+        raise ValueError(f"no files for {pattern}")
+    return names
+
+
 def from_yaml(spark: SparkSession, path: str) -> DataFrame:
-    """points of a data set's YAML file: data_path (glob, relative to the file), data_dim, and with
+    """points of a data set's YAML file: data_path (relative to the file; its last part a glob of any case), data_dim, and with
     labels labels_path and either labels_index (CSV column, or label_csv_index) or labels_dim (raw
     vectors; one component is binary, more are one-hot)."""
     import yaml
@@ -143,10 +166,10 @@ def from_yaml(spark: SparkSession, path: str) -> DataFrame:
     with open(path) as lines:
         config = yaml.safe_load(lines)
     here = os.path.dirname(os.path.abspath(path))
-    points = read_raw(spark, os.path.join(here, config["data_path"]), int(config["data_dim"]))
+    points = read_raw(spark, globbed(spark, os.path.join(here, config["data_path"])), int(config["data_dim"]))
     if not config.get("labels_path"):
         return points
-    where = os.path.join(here, config["labels_path"])
+    where = globbed(spark, os.path.join(here, config["labels_path"]))[0]
     column = config.get("labels_index", config.get("label_csv_index"))
     if column is not None:
         return with_labels(points, read_labels(spark, where, int(column)))

@@ -45,6 +45,32 @@ def test_fixed_and_glued_clouds(spark):
     assert odd.groupBy("label").count().collect()[0][:] == (1, 5)
 
 
+def test_glue_of_single_points(spark):
+    one, two = src.from_rows(spark, [[1.0]]), src.from_rows(spark, [[2.0], [3.0]])
+    assert sorted(r.pid for r in src.glue(one, one, two, two.limit(0), one).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_globs_of_any_case(spark, tmp_path):
+    for i, name in enumerate(["b.DAT", "A.dat", "c.Dat", "d.csv"]):
+        np.full(2, i, "<f4").tofile(tmp_path / name)
+    (tmp_path / "c.yml").write_text("data_path: '*.dAt'\ndata_dim: 2\n")
+    assert [r.vec[0] for r in src.from_yaml(spark, str(tmp_path / "c.yml")).orderBy("pid").collect()] == [1.0, 0.0, 2.0]
+    with pytest.raises(ValueError):
+        src.globbed(spark, str(tmp_path / "*.none"))
+
+
+def test_many_label_lines(spark, tmp_path):
+    """Label files are numbered by their blocks, however they are split."""
+    (tmp_path / "y.csv").write_text("y\n" + "".join(f"{i + 1}\n" for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = src.read_labels(spark, str(tmp_path / "y.csv"), 0)
+        assert all(r.label == r.pid + 1 for r in rows.collect()) and rows.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_knn_edges(spark):
     cloud = src.from_flat(spark, [0.0, 1.0, 1.0, 3.0], 1)
     one = spark.createDataFrame([(7, [1.0]), (8, None)], "qid long, vec array<float>")
