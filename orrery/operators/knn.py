@@ -28,15 +28,15 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries, block by block, as ids and rows; each fits a fixed bound."""
-    chosen = queries.select(F.col("qid").cast("long").alias("qid"), metrics.doubles(F.col("vec")).alias("vec")).where("vec is not null")
+def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK, *extra: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The queries, block by block, as ids, rows and extra number columns; each fits a fixed bound."""
+    chosen = queries.select(F.col("qid").cast("long").alias("qid"), metrics.doubles(F.col("vec")).alias("vec"), *[F.col(c).cast("double").alias(c) for c in extra]).where("vec is not null")
     n = -(-chosen.count() // block)
     for i in range(n):
         part = chosen.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i) if n > 1 else chosen
         rows = part.orderBy("qid").collect()
         if rows:
-            yield np.array([r.qid for r in rows], np.int64), np.array([r.vec for r in rows], np.float64)
+            yield np.array([r.qid for r in rows], np.int64), np.array([r.vec for r in rows], np.float64), *[np.array([r[c] for r in rows]) for c in extra]
 
 
 def _best(points: DataFrame, ids: np.ndarray, rows: np.ndarray, k: int, metric: str, radius: float | None) -> DataFrame:
@@ -85,17 +85,85 @@ def within(points: DataFrame, queries: DataFrame, radius: float, metric: str = "
     return reduce(DataFrame.unionByName, parts).where(F.col("dist") < radius)
 
 
-def distances_to(points: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame:
-    """qid, pid, dist: all of a stated query set to all points, in blocks."""
-    return within(points, queries, float("inf"), metric)
+def layer_best(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """qid, layer, rk, pid, dist: the k nearest points of each layer (points: pid, layer, vec). Each batch
+    keeps its own k best of a query and layer."""
+    spark, parts = points.sparkSession, []
+    chosen = points.select(F.col("pid").cast("long").alias("pid"), F.col("layer").cast("long").alias("layer"), "vec").where("vec is not null")
+    for held in query_blocks(queries):
+        sent = spark.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qids, q = sent.value
+            for batch in batches:
+                pids, layers, vecs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
+                for layer in np.unique(layers):
+                    own, vec = pids[layers == layer], vecs[layers == layer]
+                    for i, qid in enumerate(qids):
+                        exact = metrics.rows_to_point(metric, vec, q[i])
+                        best = np.lexsort((own, exact))[:k]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), x, np.int64)) for x in (qid, layer)] + [pa.array(own[best]), pa.array(exact[best])], names=["qid", "layer", "pid", "dist"])
+
+        parts.append(chosen.mapInArrow(run, "qid long, layer long, pid long, dist double"))
+    if not parts:
+        return spark.createDataFrame([], "qid long, layer long, rk int, pid long, dist double")
+    order = Window.partitionBy("qid", "layer").orderBy("dist", "pid")
+    return reduce(DataFrame.unionByName, parts).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("qid", "layer", "rk", "pid", "dist")
+
+
+def balls_in_reach(balls: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame:
+    """qid, pid of the balls (pid, vec, ball) that come as near to a query (qid, vec, reach) as its reach.
+    Only these pairs leave a batch."""
+    spark, parts = balls.sparkSession, []
+    chosen = balls.select(F.col("pid").cast("long").alias("pid"), "vec", F.col("ball").cast("double").alias("ball"))
+    for held in query_blocks(queries, QUERY_BLOCK, "reach"):
+        sent = spark.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qids, q, reach = sent.value
+            for batch in batches:
+                pids, vecs, ball = batch.column(0).to_numpy(), matrix(batch.column(1)), batch.column(2).to_numpy()
+                if len(pids):
+                    a, b = np.nonzero(metrics.pairwise(metric, q, vecs) <= reach[:, None] + ball + 1e-6)
+                    yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(pids[b])], names=["qid", "pid"])
+
+        parts.append(chosen.mapInArrow(run, "qid long, pid long"))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "qid long, pid long")
 
 
 def assign(points: DataFrame, centers: DataFrame, metric: str = "l2", nested: int | None = None) -> DataFrame:
     """pid, center, dist: each point's nearest center (cid, vec). Equal distances go to the smaller
-    cid, and to `nested` only if nothing else is as near."""
-    found = distances_to(points, centers.select(F.col("cid").alias("qid"), "vec"), metric)
-    place = F.struct("dist", (F.col("qid") == F.lit(nested if nested is not None else -1)).alias("last"), "qid")
-    return found.groupBy("pid").agg(F.min(place).alias("best")).select("pid", F.col("best.qid").alias("center"), F.col("best.dist").alias("dist"))
+    cid, and to `nested` only if nothing else is as near. The choice is made in the batch: one row a
+    point and block of centers."""
+    spark, parts = points.sparkSession, []
+    chosen = points.select(F.col("pid").cast("long").alias("pid"), "vec").where("vec is not null")
+    for held in query_blocks(centers.select(F.col("cid").alias("qid"), "vec")):
+        sent = spark.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            cids, c = sent.value
+            order = np.lexsort((cids, cids == nested))
+            cids, c = cids[order], c[order]
+            for batch in batches:
+                pids, vecs = batch.column(0).to_numpy(), matrix(batch.column(1))
+                if not len(pids):
+                    continue
+                near = metrics.pairwise(metric, c, vecs)
+                best, owner = np.full(len(pids), np.inf), np.zeros(len(pids), np.int64)
+                likely = near <= near.min(axis=0) + 1e-6
+                for i in np.flatnonzero(likely.any(axis=1)):
+                    spots = np.flatnonzero(likely[i])
+                    exact = metrics.rows_to_point(metric, vecs[spots], c[i])
+                    nearer = exact < best[spots]
+                    best[spots[nearer]], owner[spots[nearer]] = exact[nearer], cids[i]
+                yield pa.RecordBatch.from_arrays([pa.array(pids), pa.array(owner), pa.array(best)], names=["pid", "center", "dist"])
+
+        parts.append(chosen.mapInArrow(run, "pid long, center long, dist double"))
+    if len(parts) < 2:
+        return parts[0] if parts else spark.createDataFrame([], "pid long, center long, dist double")
+    place = F.struct("dist", (F.col("center") == F.lit(nested if nested is not None else -1)).alias("last"), "center")
+    best = reduce(DataFrame.unionByName, parts).groupBy("pid").agg(F.min(place).alias("best"))
+    return best.select("pid", "best.center", "best.dist")
 
 
 def first_cover(points: DataFrame, centers: DataFrame, radius: float, metric: str = "l2") -> DataFrame:

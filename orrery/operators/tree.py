@@ -13,6 +13,7 @@ subtree and all, in one task each. Both give the same tree.
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -21,10 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import metrics
-from orrery.sources.tables import settled
+from orrery.sources.tables import forget, settled
 
-#: Centers drawn for a large node in one round.
-BATCH = 32
+#: Centers drawn for a large node in the first round; each round draws twice as many, up to the last.
+FIRST_BATCH, LAST_BATCH = 32, 512
+#: Numbers that a broadcast table of nodes or centers may hold.
+BROADCAST_NUMBERS = 4_000_000
 PATH = "array<struct<scale:int,center:bigint,dist:double>>"
 
 
@@ -171,20 +174,23 @@ class CoverTree:
         return self.paths.select("scale", "center").distinct().join(where, "center").select("scale", "center", "vec")
 
     def write(self, path: str) -> None:
-        """Points, paths and parameters under one folder; partitioned by scale, so a level is read
-        alone."""
-        spark = self.points.sparkSession
-        self.points.write.mode("overwrite").parquet(f"{path}/points")
-        self.paths.write.mode("overwrite").partitionBy("scale").parquet(f"{path}/paths")
-        spark.createDataFrame([tuple(asdict(self.params).values())], list(asdict(self.params))).write.mode("overwrite").json(f"{path}/params")
+        """Points, paths and parameters as a new version under one folder; paths are partitioned by
+        scale, so a level is read alone. A version is named by one file, written last, so readers see
+        the version before or this one, and never a mix."""
+        spark, version = self.points.sparkSession, f"v{time.time_ns():020d}"
+        self.points.write.parquet(f"{path}/{version}/points")
+        self.paths.write.partitionBy("scale").parquet(f"{path}/{version}/paths")
+        params = spark.createDataFrame([(version, *asdict(self.params).values())], ["version", *asdict(self.params)])
+        params.coalesce(1).write.mode("append").json(f"{path}/published")
 
     @staticmethod
     def read(spark, path: str) -> CoverTree:
+        """The version published last."""
         kinds = {f: type(v) for f, v in asdict(TreeParams()).items()}
-        row = spark.read.json(f"{path}/params").first()
+        row = spark.read.json(f"{path}/published").orderBy(F.desc("version")).first()
         params = TreeParams(**{f: kind(row[f]) for f, kind in kinds.items()})
-        paths = spark.read.parquet(f"{path}/paths").select("pid", "depth", "scale", "center", "dist")
-        return CoverTree(params, spark.read.parquet(f"{path}/points"), paths)
+        paths = spark.read.parquet(f"{path}/{row.version}/paths").select("pid", "depth", "scale", "center", "dist")
+        return CoverTree(params, spark.read.parquet(f"{path}/{row.version}/points"), paths)
 
 
 def hash_order(seed: int) -> Column:
@@ -213,10 +219,10 @@ def build(points: DataFrame, params: TreeParams | None = None) -> CoverTree:
     done = []
     while True:
         sizes = front.groupBy("scale", "center").agg(F.count("*").alias("n"), F.max("dist").alias("radius"))
-        front = front.join(sizes, ["scale", "center"])
-        small = front.where(F.col("n") <= params.group_points)
-        done.append(finished(small, params))
-        large = front.where(F.col("n") > params.group_points)
+        sizes = settled(sizes.where(F.col("n") > params.group_points), "large-sizes")
+        front = front.join(bounded(sizes, 4), ["scale", "center"], "left")
+        done.append(finished(front.where("n is null"), params))
+        large = front.where("n is not null")
         leaf = (F.col("n") <= params.leaf_cutoff) | (F.col("scale") < params.min_res_index)
         done.append(large.where(leaf).select("pid", "path"))
         open_nodes = settled(large.where(~leaf), "large-nodes")
@@ -231,6 +237,13 @@ def build(points: DataFrame, params: TreeParams | None = None) -> CoverTree:
     return CoverTree(params, points, settled(paths, "paths"))
 
 
+def bounded(rows: DataFrame, numbers: int) -> DataFrame:
+    """A settled table marked for broadcast if its rows, of so many numbers each, are few enough. Large
+    nodes are at most one for group_points points; the root alone has them all, and is not shuffled by
+    its name."""
+    return F.broadcast(rows) if rows.count() * numbers <= BROADCAST_NUMBERS else rows
+
+
 def finished(front: DataFrame, params: TreeParams) -> DataFrame:
     """pid, path of the points of nodes that a task can hold."""
 
@@ -249,8 +262,8 @@ def finished(front: DataFrame, params: TreeParams) -> DataFrame:
 
 def split_large(rows: DataFrame, params: TreeParams) -> tuple[DataFrame, DataFrame]:
     """The next level's rows, and (pid, path) of the points that rest here. Each round draws the
-    first BATCH uncovered points of every node in hash order; those that an earlier one of them
-    covers are no centers, as if drawn one by one."""
+    first uncovered points of every node in hash order; those that an earlier one of them covers are
+    no centers, as if drawn one by one, so batches of any size give the same tree."""
     nearest, base = params.partition_type == "nearest", F.lit(params.scale_base)
     tight = F.when(F.col("radius") > 0, F.ceil(F.log(F.col("radius")) / math.log(params.scale_base)).cast("int")).otherwise(params.min_res_index)
     state = rows.withColumn("below", F.least(F.col("scale") - 1, F.greatest(tight, F.lit(params.min_res_index))))
@@ -268,15 +281,17 @@ def split_large(rows: DataFrame, params: TreeParams) -> tuple[DataFrame, DataFra
         return batch.iloc[picked][["scale", "center", "pid", "ord", "vec"]].rename(columns={"pid": "cid", "vec": "cvec"})
 
     measure = metrics.COLUMNS[params.metric]
+    size, width = FIRST_BATCH, state.select(F.size("vec")).first()[0]
     while True:
         first = Window.partitionBy("scale", "center").orderBy("ord", "pid")
-        batch = state.where(~F.col("covered")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= BATCH)
+        batch = state.where(~F.col("covered")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= size)
+        size = min(2 * size, LAST_BATCH)
         drawn = batch.select("scale", "center", "pid", "ord", "vec", "reach").groupBy("scale", "center").applyInPandas(draw, "scale int, center long, cid long, ord long, cvec array<double>")
         drawn = settled(drawn, "centers")
         if drawn.isEmpty():
             break
-        sets = drawn.groupBy("scale", "center").agg(F.collect_list(F.struct("ord", "cid", "cvec")).alias("drawn"))
-        seen = state.join(sets, ["scale", "center"], "left")
+        sets = settled(drawn.groupBy("scale", "center").agg(F.collect_list(F.struct("ord", "cid", "cvec")).alias("drawn")), "center-sets")
+        seen = state.join(bounded(sets, LAST_BATCH * (2 + width)), ["scale", "center"], "left")
 
         def distance(c: Column) -> Column:
             return F.when(c["cid"] == F.col("pid"), 0.0).otherwise(measure(F.col("vec"), c["cvec"]))
@@ -290,7 +305,8 @@ def split_large(rows: DataFrame, params: TreeParams) -> tuple[DataFrame, DataFra
             by_draw = F.transform(F.filter("found", lambda c: c["dist"] < F.col("reach")), lambda c: F.struct(c["ord"].alias("ord"), c["cid"].alias("cid"), c["dist"].alias("dist")))
             earliest = F.array_min(by_draw)
             best = F.when(F.col("covered"), F.col("best")).otherwise(F.when(earliest.isNotNull(), F.struct(earliest["dist"].alias("dist"), earliest["ord"].alias("ord"), earliest["cid"].alias("cid"))))
-        state = settled(seen.withColumn("best", best).withColumn("covered", F.col("covered") | covers).drop("drawn", "found"), "split")
+        before, state = state, settled(seen.withColumn("best", best).withColumn("covered", F.col("covered") | covers).drop("drawn", "found"), "split")
+        forget(before, drawn, sets)
 
     nested = F.col("best").isNull() | ((F.col("dist") < F.col("best.dist")) if nearest else (F.col("dist") < F.col("reach")))
     state = state.withColumns({"child": F.when(nested, F.col("center")).otherwise(F.col("best.cid")), "child_dist": F.when(nested, F.col("dist")).otherwise(F.col("best.dist"))})
@@ -298,8 +314,8 @@ def split_large(rows: DataFrame, params: TreeParams) -> tuple[DataFrame, DataFra
     kids = kids.withColumn("keep", F.col("own") | (F.col("size") > 1) | F.lit(not params.use_singletons))
     by = Window.partitionBy("scale", "center")
     only = (F.sum(F.col("keep").cast("int")).over(by) == 1) & (F.max(F.when(F.col("own"), F.col("size"))).over(by) == 1)
-    kids = kids.withColumn("keep", F.col("keep") & ~only).select("scale", "center", "child", "keep")
-    state = state.join(kids, ["scale", "center", "child"])
+    kids = settled(kids.withColumn("keep", F.col("keep") & ~only).select("scale", "center", "child", "keep"), "kids")
+    state = state.join(bounded(kids, 4), ["scale", "center", "child"])
     step = F.struct(F.col("below").alias("scale"), F.col("child").alias("center"), F.col("child_dist").alias("dist"))
     deeper = state.where("keep").select("pid", "vec", "ord", F.col("below").alias("scale"), F.col("child").alias("center"), F.col("child_dist").alias("dist"), F.concat("path", F.array(step)).cast(PATH).alias("path"))
     return settled(deeper, "front"), state.where(~F.col("keep")).select("pid", "path")

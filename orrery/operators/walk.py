@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import metrics
-from orrery.operators.knn import distances_to, knn
+from orrery.operators.knn import balls_in_reach, knn, layer_best
 from orrery.operators.tree import CoverTree, hash_order
 from orrery.sources.tables import settled
 
@@ -52,25 +52,21 @@ def path(tree: CoverTree, queries: DataFrame) -> DataFrame:
 
 def tree_knn(tree: CoverTree, queries: DataFrame, k: int) -> DataFrame:
     """qid, rk, pid, dist: the exact k nearest points by way of the tree. The k-th nearest resting
-    center bounds the answer; resting places whose ball lies beyond that bound are not opened."""
+    center bounds the answer; resting places whose ball lies beyond that bound are not opened, nor do
+    they leave the batch in which they are measured."""
     measure = metrics.COLUMNS[tree.params.metric]
     if tree.params.metric == "cosine":
         return knn(tree.points, queries, k, "cosine")  # no triangle inequality to prune by
     rest = tree.final_address()
     balls = rest.groupBy("center").agg(F.max("dist").alias("ball"))
-    places = balls.join(tree.points.select(F.col("pid").alias("center"), "vec"), "center")
-    far = settled(distances_to(places.select(F.col("center").alias("pid"), "vec"), queries, tree.params.metric), "to-centers")
-    order = Window.partitionBy("qid").orderBy("dist", "pid")
-    bound = far.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("qid").agg(F.count("*").alias("n"), F.max("dist").alias("u"))
-    open_ = (
-        far.join(bound, "qid")
-        .join(balls, far["pid"] == balls["center"])
-        .where((F.col("n") < k) | (F.col("dist") - F.col("ball") <= F.col("u") + 1e-9))
-        .select("qid", "center")
-    )
+    places = settled(balls.join(tree.points.select(F.col("pid").alias("center"), "vec"), "center").select(F.col("center").alias("pid"), "vec", "ball"), "resting-balls")
+    bound = knn(places, queries, k, tree.params.metric).groupBy("qid").agg(F.when(F.count("*") == k, F.max("dist")).alias("reach"))
+    asked = queries.select("qid", "vec").join(bound, "qid", "left").select("qid", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+    asked = settled(asked, "bounded-queries")
+    open_ = balls_in_reach(places, asked, tree.params.metric).select("qid", F.col("pid").alias("center"))
     members = rest.select("center", "pid").join(tree.points.select("pid", F.col("vec").alias("pvec")), "pid")
-    asked = queries.select("qid", F.col("vec").alias("qvec"))
-    near = open_.join(members, "center").join(asked, "qid").select("qid", "pid", measure(F.col("qvec"), F.col("pvec")).alias("dist"))
+    near = open_.join(members, "center").join(asked.select("qid", F.col("vec").alias("qvec")), "qid").select("qid", "pid", measure(F.col("qvec"), F.col("pvec")).alias("dist"))
+    order = Window.partitionBy("qid").orderBy("dist", "pid")
     return near.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("qid", "rk", "pid", "dist")
 
 
@@ -92,10 +88,9 @@ def center_knn(tree: CoverTree, queries: DataFrame, k: int) -> DataFrame:
 
 def layer_knn(tree: CoverTree, queries: DataFrame, k: int) -> DataFrame:
     """qid, scale, rk, center, dist: the k nearest nodes on each layer."""
-    far = distances_to(tree.centers().select(F.col("center").alias("pid"), "vec").dropDuplicates(["pid"]), queries, tree.params.metric)
-    order = Window.partitionBy("qid", "scale").orderBy("dist", "center")
-    rows = tree.paths.select("scale", "center").distinct().join(far.withColumnRenamed("pid", "center"), "center")
-    return rows.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("qid", "scale", "rk", "center", "dist")
+    nodes = tree.centers().select(F.col("center").alias("pid"), F.col("scale").alias("layer"), "vec")
+    found = layer_best(nodes, queries, k, tree.params.metric)
+    return found.select("qid", F.col("layer").cast("int").alias("scale"), "rk", F.col("pid").alias("center"), "dist")
 
 
 def node_knn(tree: CoverTree, queries: DataFrame, scale: int, center: int, k: int) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.operators import aggregates, drift, walk
-from orrery.operators.tree import CoverTree, TreeParams, build, violations
+from orrery.operators.tree import CoverTree, TreeParams, violations
 from orrery.plans.summaries import six, table
-from orrery.plans.vectors import SQL_POINTS, asked, assigned, points, shown, sql_assigned
-from orrery.sources.points import ranked
+from orrery.plans.vectors import SQL_POINTS, asked, assigned, points, shown, sql_assigned, tree_of
+from orrery.sources.points import glue, ranked, reindexed, source_address, with_labels, with_names
 
 WINDOW, EACH = 100, 500
 
@@ -84,8 +84,90 @@ def homogeneity_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "path_len", "depth")
 
 
-def _tree(spark: SparkSession, sf_dir: str, **more) -> CoverTree:
-    return build(points(spark, sf_dir), TreeParams(**({"scale_base": 1.3} | more)))
+_tree = tree_of
+
+
+def pivot_known_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = pivot_tree(spark, sf_dir)
+    return tree.known_path(tree.points.select("pid")).select("pid", *[F.col(c).cast("long").alias(c) for c in ("depth", "scale", "center")])
+
+
+def pivot_node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.label_summary(pivot_tree(spark, sf_dir)).select(F.col("scale").cast("long").alias("scale"), "center", "label", "n")
+
+
+def pivot_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aggregates.child_counts(pivot_tree(spark, sf_dir)).select(F.col("scale").cast("long").alias("scale"), "center", "bucket", "n")
+
+
+def pivot_final_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_tree(spark, sf_dir).final_address().select("pid", F.col("scale").cast("long").alias("scale"), "center")
+
+
+def pivot_coverage_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of the nodes that cover fewer than 100 points, as text."""
+    found = aggregates.coverage_indexes(pivot_tree(spark, sf_dir), 100)
+    return found.select(F.col("scale").cast("long").alias("scale"), "center", F.array_join(F.col("pids").cast("array<string>"), ",").alias("pids"))
+
+
+def pivot_fractal_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = aggregates.fractal_dims(pivot_tree(spark, sf_dir))
+    return found.select(F.col("scale").cast("long").alias("scale"), "center", *six("fractal_dim", "weighted_fractal_dim"))
+
+
+def pivot_layer_fractal_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = aggregates.layer_fractal_dims(pivot_tree(spark, sf_dir))
+    return found.select(F.col("scale").cast("long").alias("scale"), *six("fractal_dim", "weighted_fractal_dim"))
+
+
+def pivot_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_tree(spark, sf_dir).layers().select(F.col("scale").cast("long").alias("scale"), "n_nodes", "n_points")
+
+
+def pivot_node_gaussians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = aggregates.gaussians(pivot_tree(spark, sf_dir))
+    return g.select(F.col("scale").cast("long").alias("scale"), "center", F.col("pos").cast("long").alias("pos"), "n", *six("mean", "var"))
+
+
+def tree_split_root(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of a tree whose nodes of over 300 points are split by all tasks together."""
+    tree = _tree(spark, sf_dir, group_points=300)
+    return tree.root().select("center", F.col("coverage_count").alias("n"), F.round("radius", 6).alias("radius"))
+
+
+def tree_split_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many points have another path in the split tree than in the whole one: none."""
+    a, b = _tree(spark, sf_dir, group_points=300).paths, _tree(spark, sf_dir).paths
+    columns = ["pid", "depth", "scale", "center"]
+    apart = a.select(*columns).exceptAll(b.select(*columns)).unionByName(b.select(*columns).exceptAll(a.select(*columns)))
+    return apart.agg(F.count("*").alias("apart"))
+
+
+def tree_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each point rests in the built tree, counted: every point once."""
+    return _tree(spark, sf_dir).final_address().select("pid")
+
+
+def glued_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cloud three times over, the second time its labelled points alone, told apart again."""
+    cloud = points(spark, sf_dir).select("pid", "label")
+    size = cloud.agg(F.max("pid")).first()[0] + 1
+    labelled = cloud.where("label is not null")
+    part = labelled.agg(F.max("pid")).first()[0] + 1
+    return source_address(glue(cloud, labelled, cloud), [size, part, size]).select("pid", "label", F.col("source").cast("long").alias("source"), "local")
+
+
+def reindexed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pids in reverse."""
+    cloud = points(spark, sf_dir).select("pid", "label")
+    last = cloud.agg(F.max("pid")).first()[0]
+    return reindexed(cloud, cloud.select(F.col("pid").alias("old"), (F.lit(last) - F.col("pid")).alias("new")))
+
+
+def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of documents joined to points by id; names by default."""
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pid"), F.col("quality").cast("long").alias("label"))
+    return with_names(with_labels(points(spark, sf_dir).select("pid", "label"), marks)).select("pid", "label", "name")
 
 
 def tree_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +253,9 @@ QUERIES = {
     for f in (
         tracker_window_counts, tracker_running_counts, tracker_node_kl, tracker_kl_stats, tracker_kl_total, baseline_interpolate, homogeneity_depth, tree_invariants,
         tree_coverage_root, tree_label_root, tree_moments_root, tree_nodes, tree_path, known_path, routing_knn, layer_knn, node_labels, child_dirichlet, fractal_dims,
-        layer_fractal_dims, coverage_lists, node_singular_values, tree_sample, drift_baseline,
+        layer_fractal_dims, coverage_lists, node_singular_values, tree_sample, drift_baseline, pivot_known_path, pivot_node_labels, pivot_child_counts, pivot_final_address,
+        pivot_coverage_lists, pivot_fractal_dims, pivot_layer_fractal_dims, pivot_layers, pivot_node_gaussians, tree_split_root, tree_split_paths, tree_points, glued_clouds,
+        reindexed_points, labelled_points,
     )
 }
 
@@ -185,8 +269,41 @@ _KL = (
     "kl AS (SELECT \"at\", node, evidence, greatest(0, lgamma(t) - lgamma(t + evidence) + s) kl FROM k)"
 )
 
+#: The pivot tree's paths: pid, label, v, depth, scale, center, and the next center.
+_W = (
+    f"{SQL_POINTS}, {sql_assigned(4, 'a')}, {sql_assigned(16, 'b')}, w0 AS (SELECT pid, label, v, 0 depth, (SELECT max(pid) FROM p) center FROM p UNION ALL SELECT pid, label, v, 1, center FROM a UNION ALL SELECT pid, label, v, 2, center FROM b), "
+    "w AS (SELECT *, 2 - depth AS scale, lead(center) OVER (PARTITION BY pid ORDER BY depth) nxt FROM w0)"
+)
+_PARTS = (
+    "e AS (SELECT depth, center, nxt, count(*) n FROM w WHERE nxt IS NOT NULL GROUP BY 1, 2, 3), k AS (SELECT depth, center, count(*) kids, sum(n) under, max(n) most FROM e GROUP BY 1, 2), "
+    "d AS (SELECT depth, center, count(*) coverage, count(*) FILTER (WHERE nxt IS NULL AND pid != center) single FROM w GROUP BY 1, 2), "
+    "j AS (SELECT depth, center, coverage, single, coalesce(kids, 0) kids, coalesce(under, 0) under, greatest(coalesce(most, 1), 1) most FROM d LEFT JOIN k USING (depth, center))"
+)
+# Fixed value: the base of the pivot tree's scales.
+_BASE = "2.0"
 
 SQL = {
+    "pivot_known_path": f"WITH {_W} SELECT pid, CAST(depth AS BIGINT) depth, CAST(scale AS BIGINT) AS scale, center FROM w",
+    "pivot_node_labels": f"WITH {_W} SELECT CAST(scale AS BIGINT) AS scale, center, label, count(*) n FROM w WHERE label IS NOT NULL GROUP BY 1, 2, 3",
+    "pivot_child_counts": f"WITH {_W} SELECT CAST(scale AS BIGINT) AS scale, center, CASE WHEN nxt IS NOT NULL THEN (scale - 1) || ':' || nxt END bucket, count(*) n FROM w GROUP BY 1, 2, 3",
+    "pivot_final_address": f"WITH {_W} SELECT pid, CAST(scale AS BIGINT) AS scale, center FROM w WHERE depth = 2",
+    "pivot_coverage_lists": f"WITH {_W} SELECT CAST(scale AS BIGINT) AS scale, center, string_agg(pid, ',' ORDER BY pid) pids FROM w GROUP BY 1, 2 HAVING count(*) < 100",
+    "pivot_fractal_dims": f"WITH {_W}, {_PARTS} SELECT CAST(2 - depth AS BIGINT) AS scale, center, round(CASE WHEN single + kids > 0 THEN log2(single + kids) / log2({_BASE}) ELSE 0 END, 6) fractal_dim, round(CASE WHEN under + single > 0 THEN log2((under + single) / most) / log2({_BASE}) ELSE 0 END, 6) weighted_fractal_dim FROM j",
+    "pivot_layer_fractal_dims": (
+        f"WITH {_W}, {_PARTS}, l AS (SELECT depth, sum(kids + single) parts, count(*) nodes, max(coverage) top, sum(coverage) mass, max(most) most, sum(under + single) below FROM j GROUP BY 1) "
+        f"SELECT CAST(2 - depth AS BIGINT) AS scale, round(CASE WHEN parts > 0 THEN (log2(parts) - log2(nodes)) / log2({_BASE}) ELSE 0 END, 6) fractal_dim, round(CASE WHEN below > 0 THEN (log2(below / most) - log2(mass / top)) / log2({_BASE}) ELSE 0 END, 6) weighted_fractal_dim FROM l"
+    ),
+    "pivot_layers": f"WITH {_W}, c AS (SELECT scale, center, count(*) n FROM w GROUP BY 1, 2) SELECT CAST(scale AS BIGINT) AS scale, count(*) n_nodes, CAST(sum(n) AS BIGINT) n_points FROM c GROUP BY 1",
+    "pivot_node_gaussians": f"WITH {_W}, u AS (SELECT scale, center, unnest(v) x, unnest(range(len(v))) pos FROM w) SELECT CAST(scale AS BIGINT) AS scale, center, pos, count(*) n, round(avg(x), 6) mean, round(avg(x * x) - avg(x) * avg(x), 6) AS var FROM u GROUP BY 1, 2, 3",
+    "tree_split_root": f"WITH {SQL_POINTS}, c AS (SELECT pid, v FROM p ORDER BY pid DESC LIMIT 1) SELECT c.pid center, count(*) n, round(max(list_distance(c.v, p.v)), 6) radius FROM c, p GROUP BY 1",
+    "tree_split_paths": "SELECT CAST(0 AS BIGINT) apart",
+    "tree_points": "SELECT vec_id pid FROM embeddings",
+    "glued_clouds": (
+        "WITH s AS (SELECT (SELECT max(vec_id) + 1 FROM embeddings) a, (SELECT max(vec_id) + 1 FROM embeddings WHERE label IS NOT NULL) b) "
+        "SELECT vec_id pid, label, CAST(0 AS BIGINT) AS source, vec_id AS local FROM embeddings UNION ALL SELECT vec_id + a, label, 1, vec_id FROM embeddings, s WHERE label IS NOT NULL UNION ALL SELECT vec_id + a + b, label, 2, vec_id FROM embeddings, s"
+    ),
+    "reindexed_points": "SELECT (SELECT max(vec_id) FROM embeddings) - vec_id pid, label FROM embeddings",
+    "labelled_points": "SELECT vec_id pid, CAST(quality AS BIGINT) AS label, CAST(vec_id AS VARCHAR) AS name FROM embeddings LEFT JOIN labels ON doc_id = vec_id",
     "tracker_window_counts": f"WITH {_SEQ}, {_HELD} SELECT \"at\", node, bucket, n FROM e",
     "tracker_running_counts": f"WITH {_SEQ}, r AS (SELECT tick \"at\" FROM s WHERE tick % {10 * EACH} = 0) SELECT \"at\", node, bucket, count(*) n FROM r JOIN s ON tick <= \"at\" GROUP BY 1, 2, 3",
     "tracker_node_kl": f"{_KL} SELECT \"at\", node, evidence, round(kl, 6) kl FROM kl",

@@ -5,12 +5,12 @@ from __future__ import annotations
 import math
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import metrics
-from orrery.operators.knn import assign, distances_to, first_cover, knn, within
-from orrery.operators.tree import TreeParams, build, root_of
+from orrery.operators.knn import assign, first_cover, knn, layer_best, within
+from orrery.operators.tree import CoverTree, TreeParams, build, root_of
 from orrery.operators.walk import tree_knn
 
 #: The stated query set: every vector whose id divides by it.
@@ -65,7 +65,18 @@ def knn_sql(metric: str, k: int = 5) -> str:
 
 def tree_knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = points(spark, sf_dir)
-    return shown(tree_knn(build(cloud, TreeParams(scale_base=1.3)), asked(cloud), 5))
+    return shown(tree_knn(tree_of(spark, sf_dir), asked(cloud), 5))
+
+
+#: Trees by application, folder and parameters: each is built once, and lies in the shared folder.
+BUILT: dict[tuple, CoverTree] = {}
+
+
+def tree_of(spark: SparkSession, sf_dir: str, **more) -> CoverTree:
+    key = (spark.sparkContext.applicationId, sf_dir, *sorted(more.items()))
+    if key not in BUILT:
+        BUILT[key] = build(points(spark, sf_dir), TreeParams(**({"scale_base": 1.3} | more)))
+    return BUILT[key]
 
 
 def range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +141,9 @@ def center_knn_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layer_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two layers of pivots, even and odd; the two nearest of each."""
     cloud = points(spark, sf_dir)
-    far = distances_to(pivots(cloud, 40).select(F.col("cid").alias("pid"), "vec"), asked(cloud)).withColumn("layer", F.col("pid") % 2)
-    ranked = far.withColumn("rk", F.row_number().over(Window.partitionBy("qid", "layer").orderBy("dist", "pid"))).where("rk <= 2")
-    return ranked.select("qid", "layer", F.col("rk").cast("long").alias("rk"), F.col("pid").alias("nid"), F.round("dist", 6).alias("dist"))
+    layered = pivots(cloud, 40).select(F.col("cid").alias("pid"), (F.col("cid") % 2).alias("layer"), "vec")
+    found = layer_best(layered, asked(cloud), 2)
+    return found.select("qid", "layer", F.col("rk").cast("long").alias("rk"), F.col("pid").alias("nid"), F.round("dist", 6).alias("dist"))
 
 
 QUERIES = {f"knn_{m}": _knn_query(m) for m in METRICS} | {
