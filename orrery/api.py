@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import aggregates, drift, tree, walk
@@ -22,6 +22,7 @@ class PointIndex:
     def __init__(self, params: TreeParams | None = None):
         self.params = params or TreeParams()
         self.tree: CoverTree | None = None
+        self.own: dict[str, tuple[list[str], tuple[Column, ...]]] = {}
 
     def set(self, **changes) -> PointIndex:
         """scale_base, leaf_cutoff, min_res_index, use_singletons, partition_type, rng_seed, metric."""
@@ -74,6 +75,30 @@ class PointIndex:
     def singletons(self, scale: int, center: int) -> DataFrame:
         return self.built.singletons().where((F.col("scale") == scale) & (F.col("center") == center)).join(self.built.points, "pid")
 
+    def layer_children(self, scale: int) -> DataFrame:
+        """The child nodes of every node on a layer."""
+        return self.built.edges().where(F.col("scale") == scale)
+
+    def layer_singletons(self, scale: int) -> DataFrame:
+        return self.built.singletons().where(F.col("scale") == scale)
+
+    def layer_points(self, scale: int) -> DataFrame:
+        """The layer's centers, as points."""
+        return self.built.centers().where(F.col("scale") == scale)
+
+    def cover_gaussian(self, scale: int, center: int) -> DataFrame:
+        """pos, n, mean, var over all points under a node."""
+        return self.gaussians(True).where((F.col("scale") == scale) & (F.col("center") == center)).select("pos", "n", "mean", "var")
+
+    def add_aggregate(self, name: str, columns: list[str], *aggregates_: Column) -> PointIndex:
+        """Names aggregates of point columns, for every node."""
+        self.own[name] = (columns, aggregates_)
+        return self
+
+    def aggregate(self, name: str) -> DataFrame:
+        columns, own = self.own[name]
+        return aggregates.node_aggregate(self.built, columns, *own)
+
     def label_summary(self) -> DataFrame:
         return aggregates.label_maps(self.built)
 
@@ -114,11 +139,13 @@ class PointIndex:
 
     # Drift
 
+    def tracker(self, window: int = 0) -> Tracker:
+        return Tracker(self, window)
+
     def track(self, way: DataFrame, order: DataFrame, ticks: DataFrame, window: int = 0) -> DataFrame:
         """at and the statistics of a tracker of that window. way: paths of the queries; order: tick,
         qid; ticks: where to look (tick)."""
-        found = drift.evidence(drift.sequence(way, order), ticks, window)
-        return drift.kl_stats(drift.node_kl(aggregates.priors(self.built), found))
+        return self.tracker(window).push(way, order).stats(ticks)
 
     def baseline(self, sequences: int = 8, length: int = 0, sample_rate: int = 100, seed: int = 0) -> DataFrame:
         steps = self.built.steps().select("pid", aggregates.node_key(), F.when(F.col("next_center").isNotNull(), F.concat_ws(":", "next_scale", "next_center")).alias("bucket"))
@@ -135,3 +162,42 @@ class PointIndex:
         index.tree = CoverTree.read(spark, path)
         index.params = index.tree.params
         return index
+
+
+class Tracker:
+    """A window over the paths pushed so far, held against the tree's priors. Each question names the
+    ticks (tick) at which it is asked."""
+
+    def __init__(self, index: PointIndex, window: int = 0):
+        self.index, self.window = index, window
+        self.seq: DataFrame | None = None
+
+    def push(self, way: DataFrame, order: DataFrame) -> Tracker:
+        """Adds paths (qid, depth, scale, center) at ticks (order: tick, qid)."""
+        more = drift.sequence(way, order)
+        self.seq = more if self.seq is None else self.seq.unionByName(more)
+        return self
+
+    def evidence(self, ticks: DataFrame) -> DataFrame:
+        """at, node, bucket, n."""
+        if self.seq is None:
+            raise RuntimeError("push a path first")
+        return drift.evidence(self.seq, ticks, self.window)
+
+    def probabilities(self, ticks: DataFrame) -> DataFrame:
+        return drift.probabilities(aggregates.priors(self.index.built), self.evidence(ticks))
+
+    def node_kl(self, ticks: DataFrame) -> DataFrame:
+        return drift.node_kl(aggregates.priors(self.index.built), self.evidence(ticks))
+
+    def stats(self, ticks: DataFrame) -> DataFrame:
+        return drift.kl_stats(self.node_kl(ticks))
+
+    def total_kl(self, ticks: DataFrame) -> DataFrame:
+        """at, kl of the whole tree, over the nodes where queries rest."""
+        nodes = self.index.built.nodes().select(aggregates.node_key(), F.col("n_singletons").alias("singletons"))
+        return drift.terminal_kl(nodes, self.evidence(ticks))
+
+    def normalised(self, ticks: DataFrame, base: DataFrame) -> DataFrame:
+        """The statistics less their baseline's means, over its deviations."""
+        return drift.normalised(self.stats(ticks), base)

@@ -72,20 +72,32 @@ def cosine_distance(a: Column, b: Column) -> Column:
 COLUMNS: dict[str, Callable[[Column, Column], Column]] = {"l2": l2, "l1": l1, "l1_sqrt": l1_sqrt, "linf": linf, "cosine": cosine_distance}
 
 
+def _cosine_rows(rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((point * point).sum())
+    return 1.0 - rows @ point / np.maximum(norms, COSINE_FLOOR)
+
+
+#: The same distances, of each row of a matrix to one point.
+ROWS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "l2": lambda rows, point: np.sqrt(((rows - point) ** 2).sum(axis=1)),
+    "l1": lambda rows, point: np.abs(rows - point).sum(axis=1),
+    "l1_sqrt": lambda rows, point: np.sqrt(np.abs(rows - point).sum(axis=1)),
+    "linf": lambda rows, point: np.abs(rows - point).max(axis=1, initial=0.0),
+    "cosine": _cosine_rows,
+}
+
+
+def register(name: str, column: Callable[[Column, Column], Column], rows: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+    """Adds a metric of the user's, as a column of two vectors and for the rows of a matrix; both must
+    give the same figures. Trees and neighbour searches by the tree need the triangle inequality."""
+    COLUMNS[name], ROWS[name] = column, rows
+
+
 def rows_to_point(name: str, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
     """Distance of each row to one point; the same figures as the columns give."""
-    d = rows - point
-    if name == "l2":
-        return np.sqrt((d * d).sum(axis=1))
-    if name in ("l1", "l1_sqrt"):
-        s = np.abs(d).sum(axis=1)
-        return np.sqrt(s) if name == "l1_sqrt" else s
-    if name == "linf":
-        return np.abs(d).max(axis=1, initial=0.0)
-    if name == "cosine":
-        norms = np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((point * point).sum())
-        return 1.0 - rows @ point / np.maximum(norms, COSINE_FLOOR)
-    raise ValueError(f"unknown metric {name}")
+    if name not in ROWS:
+        raise ValueError(f"unknown metric {name}")
+    return ROWS[name](rows, point)
 
 
 def pairwise(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:

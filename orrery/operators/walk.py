@@ -71,14 +71,27 @@ def tree_knn(tree: CoverTree, queries: DataFrame, k: int) -> DataFrame:
 
 
 def routing_knn(tree: CoverTree, queries: DataFrame, k: int) -> DataFrame:
-    """qid, rk, pid, dist: the k nearest among the centers met on each query's path (its nodes and their
-    children). Singletons are never opened, so the answer is approximate."""
-    measure = metrics.COLUMNS[tree.params.metric]
-    way = path(tree, queries)
-    met = way.join(tree.edges(), ["scale", "center"]).select("qid", F.col("child_center").alias("pid")).unionByName(way.select("qid", F.col("center").alias("pid"))).distinct()
-    near = met.join(tree.points.select("pid", F.col("vec").alias("pvec")), "pid").join(queries.select("qid", F.col("vec").alias("qvec")), "qid")
+    """qid, rk, pid, dist: the k nearest node centers, found by going down the tree. On each level the
+    nodes are opened whose ball may reach nearer than the k-th best center so far; singletons never
+    are, so the answer is approximate as to points. One join a level; it ends when nothing is open."""
+    measure, base = metrics.COLUMNS[tree.params.metric], F.lit(tree.params.scale_base)
+    kids = settled(children(tree), "children")
+    top = tree.root().select("scale", "center").join(tree.points.select(F.col("pid").alias("center"), F.col("vec").alias("cvec")), "center")
+    front = queries.select(F.col("qid").cast("long").alias("qid"), metrics.doubles(F.col("vec")).alias("vec")).crossJoin(F.broadcast(top))  # one row
+    front = settled(front.select("qid", "vec", "scale", "center", measure(F.col("vec"), F.col("cvec")).alias("dist")), "routes")
+    best = front.select("qid", F.col("center").alias("pid"), "dist")
     order = Window.partitionBy("qid").orderBy("dist", "pid")
-    return near.select("qid", "pid", measure(F.col("qvec"), F.col("pvec")).alias("dist")).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("qid", "rk", "pid", "dist")
+    while True:
+        step = front.join(kids, ["scale", "center"]).select("qid", "vec", F.col("child_scale").alias("scale"), F.col("child_center").alias("center"), measure(F.col("vec"), F.col("cvec")).alias("dist"))
+        step = settled(step, "routes")
+        if step.isEmpty():
+            break
+        met = best.unionByName(step.select("qid", F.col("center").alias("pid"), "dist")).dropDuplicates(["qid", "pid"])
+        best = settled(met.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).drop("rk"), "best-centers")
+        bound = best.groupBy("qid").agg(F.count("*").alias("n"), F.max("dist").alias("u"))
+        within_reach = (F.col("n") < k) | (F.col("dist") - F.pow(base, F.col("scale")) < F.col("u"))
+        front = step.join(bound, "qid").where(within_reach).select("qid", "vec", "scale", "center", "dist")
+    return best.withColumn("rk", F.row_number().over(order)).select("qid", "rk", "pid", "dist")
 
 
 def center_knn(tree: CoverTree, queries: DataFrame, k: int) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orrery import plans
@@ -50,5 +51,17 @@ def test_facade(spark, small, tmp_path):
     order = some.selectExpr("qid", "qid div 20 + 1 as tick")
     stats = index.track(index.path(some), order, order.where("tick % 5 = 0").select("tick"), 4)
     assert stats.count() > 0
+    ticks = order.where("tick % 5 = 0").select("tick")
+    tracker = index.tracker(4).push(index.path(some), order)
+    assert tracker.stats(ticks).count() == stats.count() == ticks.count()
+    assert tracker.probabilities(ticks).where("prob > 1 or prob <= 0").count() == 0
+    assert tracker.total_kl(ticks).where("kl < 0").count() == 0
+    assert tracker.normalised(ticks, index.baseline(sequences=2, sample_rate=5)).count() > 0
+    top = index.root().select("scale", "center").first()
+    assert index.layer_points(top.scale).count() == 1 and index.layer_children(top.scale).count() == index.children(*top).count()
+    assert index.cover_gaussian(*top).where("n = 500").count() == 64
+    assert index.layer_singletons(top.scale).count() == index.singletons(*top).count()
+    most = index.add_aggregate("most", ["label"], F.max("label").alias("most")).aggregate("most")
+    assert most.count() == index.nodes().count()
     index.save(str(tmp_path / "i"))
     assert PointIndex.load(spark, str(tmp_path / "i")).nodes().count() == index.nodes().count()

@@ -1,116 +1,229 @@
+"""Cover trees against their definition, point by point."""
+
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from orrery.functions import metrics
 from orrery.operators import aggregates, walk
-from orrery.operators.knn import knn
+from orrery.operators.knn import assign, knn, layer_best
 from orrery.operators.tree import CoverTree, TreeParams, build, violations
-from orrery.sources.points import from_flat
-
-
-def cloud(spark, xs, labels=None):
-    return from_flat(spark, xs, 1, labels)
-
-
-def queries(spark, xs):
-    return spark.createDataFrame([(i, [float(x)]) for i, x in enumerate(xs)], "qid long, vec array<float>")
-
-
-def shape(tree):
-    return sorted((r.scale, r.center, r.coverage_count, r.is_leaf) for r in tree.nodes().collect())
-
-
-@pytest.fixture(scope="module")
-def basic(spark):
-    points = cloud(spark, [0.499, 0.49, 0.48, -0.49, 0.0], [0, 0, 0, 1, 1])
-    return build(points, TreeParams(min_res_index=-9))
-
-
-def test_shape_with_singletons(spark):
-    tree = build(cloud(spark, [0.49, 0.491, -0.49, 0.0]), TreeParams(min_res_index=-9, partition_type="first"))
-    found = {(s, c): (n, leaf) for s, c, n, leaf in shape(tree)}
-    assert found[-1, 3] == (4, False) and found[-2, 3] == (1, True)
-    assert (-2, 2) not in found
-    assert sum(s == -2 for s, _ in found) == 2
-
-
-def test_shape_without_singletons(spark):
-    tree = build(cloud(spark, [0.49, 0.491, -0.49, 0.0]), TreeParams(min_res_index=-9, partition_type="first", use_singletons=False))
-    assert (-2, 2, 1, True) in shape(tree)
+from orrery.sources.points import from_rows
+
+
+def clusters(seed, n, dim=3, spread=0.05):
+    rng = np.random.default_rng(seed)
+    return (rng.normal(size=(6, dim))[rng.integers(0, 6, n)] + spread * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def cloud(spark, rows, labels=None):
+    return from_rows(spark, [r.tolist() for r in rows], labels)
+
+
+def asked(spark, rows):
+    return spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "qid long, vec array<float>")
+
+
+def ways(tree):
+    out = defaultdict(list)
+    for r in sorted(tree.paths.collect(), key=lambda r: (r.pid, r.depth)):
+        out[r.pid].append((r.scale, r.center, r.dist))
+    return out
+
+
+def check(rows, tree):
+    """Every path begins at the root, the last point; steps go down in scale to balls that hold the
+    point; distances are true; every center holds itself; children of a node are apart; children take
+    all points but lone ones."""
+    p, own = tree.params, ways(tree)
+    rows = np.asarray(rows, np.float64)
+    assert sorted(own) == list(range(len(rows)))
+    kids, rests = defaultdict(set), defaultdict(list)
+    for pid, way in own.items():
+        assert way[0][1] == len(rows) - 1
+        for (s, c, _), (t, d, far) in zip(way, way[1:], strict=False):
+            assert t < s and far < p.scale_base**t + 1e-9
+            kids[s, c].add((t, d))
+        for _, c, far in way:
+            assert far == pytest.approx(np.linalg.norm(rows[pid] - rows[c]), abs=1e-6)
+        rests[way[-1][:2]].append(pid)
+    for (s, c), below in kids.items():
+        assert any(d == c for _, d in below)
+        for t, d in below:
+            assert (t, d) in {x[:2] for x in own[d]}
+            assert all(np.linalg.norm(rows[d] - rows[e]) >= p.scale_base**t - 1e-6 for _, e in below if e != d)
+        if not p.use_singletons:
+            assert not rests[s, c]
+    sizes = {n: sum(n in [x[:2] for x in w] for w in own.values()) for n in {x[:2] for w in own.values() for x in w}}
+    for n, size in sizes.items():
+        if n not in kids:
+            alone = size <= p.leaf_cutoff or n[0] < p.min_res_index
+            assert alone or all(len(own[q]) and own[q][-1][:2] == n for q in rests[n])
+    return sizes
 
 
 @pytest.mark.parametrize("kind", ["first", "nearest"])
-def test_no_leaf_cutoff(spark, kind):
-    tree = build(cloud(spark, [0.49, 0.491, -0.49, 0.0]), TreeParams(min_res_index=-9, leaf_cutoff=0, partition_type=kind))
-    found = shape(tree)
-    assert len(found) == 4 and (-1, 3, 4, False) in found and (-2, 3, 1, True) in found
+@pytest.mark.parametrize("more", [{}, {"use_singletons": False}, {"leaf_cutoff": 9}, {"scale_base": 1.4, "min_res_index": -4}])
+def test_definition(spark, kind, more):
+    rows = clusters(len(more) + 2, 130)
+    params = TreeParams(partition_type=kind, **more)
+    tree = build(cloud(spark, rows), params)
+    sizes = check(rows, tree)
+    nodes = {(r.scale, r.center): r for r in tree.nodes().collect()}
+    assert {n: r.coverage_count for n, r in nodes.items()} == sizes
+    if kind == "nearest":
+        split = build(cloud(spark, rows), TreeParams(partition_type=kind, group_points=25, **more))
+        assert {p: [x[:2] for x in w] for p, w in ways(split).items()} == {p: [x[:2] for x in w] for p, w in ways(tree).items()}
 
 
-def test_root_is_last(spark):
-    tree = build(cloud(spark, [*np.linspace(0.51, 0.99, 19), 0.0]), TreeParams(leaf_cutoff=0))
-    root = tree.root().first()
-    assert (root.scale, root.center, root.is_leaf) == (0, 19, False)
-
-
-def test_neighbours_and_paths(spark, basic):
-    two = walk.tree_knn(basic, queries(spark, [0.1]), 2).orderBy("rk").collect()
-    assert [r.pid for r in two] == [4, 2]
-    way = walk.path(basic, queries(spark, [0.495, 0.0])).orderBy("qid", "depth").collect()
-    first = [r.scale for r in way if r.qid == 0]
-    assert 3 <= len(first) <= 4 and first == sorted(set(first), reverse=True)
-    known = basic.known_path(spark.createDataFrame([(4,), (99,)], "pid long")).orderBy("pid", "depth").collect()
-    assert [(r.scale, r.center) for r in way if r.qid == 1] == [(r.scale, r.center) for r in known if r.pid == 4]
-    assert [r.depth for r in known if r.pid == 99] == [None]
-
-
-def test_summaries(spark, basic):
-    root = aggregates.label_maps(basic).join(basic.root().select("scale", "center"), ["scale", "center"]).first()
-    assert root.labels == {0: 3, 1: 2} and root.nones == 0
-    g = aggregates.gaussians(basic).join(basic.root().select("scale", "center"), ["scale", "center"]).first()
-    xs = np.float64(np.float32([0.499, 0.49, 0.48, -0.49, 0.0]))
-    assert g.n == 5 and g.m1 == pytest.approx(xs.sum()) and g.m2 == pytest.approx((xs**2).sum())
-    lists = {(r.scale, r.center): len(r.pids) for r in aggregates.coverage_indexes(basic, 100).collect()}
-    assert lists == {(r.scale, r.center): r.coverage_count for r in basic.nodes().collect()}
-    assert aggregates.fractal_dims(basic).count() == basic.nodes().count()
+@pytest.fixture(scope="module")
+def rows():
+    return clusters(11, 240, dim=2, spread=0.2)
 
 
-@pytest.mark.parametrize("kind", ["first", "nearest"])
-@pytest.mark.parametrize("single", [True, False])
-def test_sound_whichever_way_built(spark, small, kind, single):
-    points = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("vec"))
-    tree = build(points, TreeParams(scale_base=1.2, partition_type=kind, use_singletons=single))
-    assert all(r.n == 0 for r in violations(tree).collect())
-    if single:
-        apart = build(points, TreeParams(scale_base=1.2, partition_type=kind, group_points=150))
-        same = [sorted(r[:4] for r in t.paths.collect()) for t in (tree, apart)]
-        assert same[0] == same[1]
+@pytest.fixture(scope="module")
+def tree(spark, rows):
+    return build(cloud(spark, rows, [int(x > 0) if i % 7 else None for i, x in enumerate(rows[:, 0])]), TreeParams(scale_base=1.5))
 
 
-def test_tree_knn_is_exact(spark, small):
+def test_split_tree_is_sound(spark, small):
     points = spark.read.parquet(f"{small}/embeddings.parquet").select(F.col("vec_id").alias("pid"), F.col("embedding").alias("vec"))
-    asked = points.where("pid % 50 = 0").select(F.col("pid").alias("qid"), "vec")
-    tree = build(points, TreeParams(scale_base=1.3))
-    both = [sorted((r.qid, r.rk, r.pid) for r in found.collect()) for found in (walk.tree_knn(tree, asked, 7), knn(points, asked, 7))]
-    assert both[0] == both[1]
-    routed = walk.routing_knn(tree, asked, 3)
-    assert routed.groupBy("qid").count().where("count > 3").count() == 0
+    both = [build(points, TreeParams(scale_base=1.2, partition_type="first", group_points=n)) for n in (20_000, 120)]
+    assert all(r.n == 0 for r in violations(both[1]).collect())
+    same = [sorted(r[:4] for r in t.paths.collect()) for t in both]
+    assert same[0] == same[1]
+
+
+def test_neighbours(spark, rows, tree):
+    queries = clusters(12, 15, dim=2, spread=0.3)
+    far = np.linalg.norm(queries[:, None, :].astype(float) - rows[None, :, :].astype(float), axis=2)
+    want = {(q, k + 1): p for q in range(15) for k, p in enumerate(np.lexsort((np.arange(len(rows)), far[q]))[:6])}
+    for search in (walk.tree_knn, lambda t, q, k: knn(t.points, q, k)):
+        assert {(r.qid, r.rk): r.pid for r in search(tree, asked(spark, queries), 6).collect()} == want
+    routed = walk.routing_knn(tree, asked(spark, queries), 4).collect()
+    assert all(r.dist == pytest.approx(far[r.qid, r.pid], abs=1e-6) for r in routed)
+    centers = {r.center for r in tree.nodes().collect()}
+    best = {q: min(sorted(centers), key=lambda c: (far[q, c], c)) for q in range(15)}
+    nearest = {(q, k + 1): c for q in range(15) for k, c in enumerate(sorted(centers, key=lambda c: (far[q, c], c))[:4])}
+    assert {(r.qid, r.rk): r.pid for r in routed} == nearest
+    points = {(q, p) for (q, rk), p in want.items() if rk <= 4}
+    # Of the nearest points all are found that are centers, and no singleton is.
+    assert {(r.qid, r.pid) for r in routed} & points == {(q, p) for q, p in points if p in centers}
+    near = {r.qid: r.pid for r in walk.center_knn(tree, asked(spark, queries), 1).collect()}
+    assert near == best
+    layers = defaultdict(set)
+    for r in tree.nodes().collect():
+        layers[r.scale].add(r.center)
+    for r in walk.layer_knn(tree, asked(spark, queries), 1).collect():
+        assert r.center == min(sorted(layers[r.scale]), key=lambda c: (far[r.qid, c], c))
+
+
+def test_layer_best_and_assign(spark, rows):
+    points = cloud(spark, rows).withColumn("layer", F.col("pid") % 3).repartition(4)
+    got = {(r.qid, r.layer, r.rk): r.pid for r in layer_best(points, asked(spark, rows[:5]), 2).collect()}
+    assert all(got[q, q % 3, 1] == q for q in range(5)) and len(got) == 30
+    centers = spark.createDataFrame([(i, [float(x) for x in rows[i]]) for i in range(600 - 590)], "cid long, vec array<float>")
+    nearest = {r.pid: r.center for r in assign(points, centers).collect()}
+    far = np.linalg.norm(rows[:, None, :].astype(float) - rows[None, :10, :].astype(float), axis=2)
+    assert nearest == {i: int(np.lexsort((np.arange(10), far[i]))[0]) for i in range(len(rows))}
+
+
+def test_paths(spark, rows, tree):
+    """An unseen point goes to the nearest covering child, step by step; an indexed one goes its own way."""
+    queries = np.concatenate([clusters(13, 9, dim=2), rows[:9]])
+    kids = defaultdict(list)
+    for r in tree.edges().collect():
+        kids[r.scale, r.center].append((r.child_scale, r.child_center))
+    root = tree.root().first()
+    got = defaultdict(list)
+    for r in walk.path(tree, asked(spark, queries)).orderBy("qid", "depth").collect():
+        got[r.qid].append((r.scale, r.center))
+    for q, vec in enumerate(queries.astype(float)):
+        way = [(root.scale, root.center)]
+        while kids[way[-1]]:
+            here = way[-1]
+            d = {k: np.linalg.norm(vec - rows[k[1]].astype(float)) for k in kids[here]}
+            best = min(d, key=lambda k: (round(d[k], 9), k[1] == here[1]))
+            if d[best] >= tree.params.scale_base ** best[0]:
+                break
+            way.append(best)
+        assert got[q] == way
+    own = ways(tree)
+    known = defaultdict(list)
+    for r in tree.known_path(spark.createDataFrame([(4,), (999,)], "pid long")).orderBy("depth").collect():
+        known[r.pid].append((r.scale, r.center) if r.depth is not None else None)
+    assert known[4] == [x[:2] for x in own[4]] and known[999] == [None]
+
+
+def test_aggregates(spark, rows, tree):
+    own = ways(tree)
+    under = defaultdict(list)
+    for pid, way in own.items():
+        for s, c, _ in way:
+            under[s, c].append(pid)
+    labels = {r.pid: r.label for r in tree.points.collect()}
+    for r in aggregates.label_maps(tree).collect():
+        mine = [labels[p] for p in under[r.scale, r.center]]
+        assert dict(r.labels) == {x: mine.count(x) for x in set(mine) - {None}} and r.nones == mine.count(None)
+    for r in aggregates.gaussians(tree).where("pos = 1").collect():
+        xs = rows[under[r.scale, r.center], 1].astype(float)
+        assert (r.n, r.mean, r["var"]) == (len(xs), pytest.approx(xs.mean(), abs=1e-6), pytest.approx(xs.var(), abs=1e-6))
+    lists = {(r.scale, r.center): r.pids for r in aggregates.coverage_indexes(tree, 50).collect()}
+    assert lists == {n: sorted(p) for n, p in under.items() if len(p) < 50}
+    kids = defaultdict(lambda: defaultdict(int))
+    for way in own.values():
+        for a, b in zip(way, way[1:] + [None], strict=True):
+            kids[a[:2]][f"{b[0]}:{b[1]}" if b else None] += 1
+    got = defaultdict(dict)
+    for r in aggregates.child_counts(tree).collect():
+        got[r.scale, r.center][r.bucket] = r.n
+    assert got == kids
+    for r in aggregates.fractal_dims(tree).collect():
+        parts = kids[r.scale, r.center]
+        rests = [p for p in under[r.scale, r.center] if own[p][-1][:2] == (r.scale, r.center) and p != r.center]
+        n = len([k for k in parts if k]) + len(rests)
+        assert r.fractal_dim == pytest.approx(np.log(n) / np.log(1.5) if n else 0.0)
+    for r in aggregates.singular_values(tree, 20, 100).where("k = 0").collect():
+        x = rows[under[r.scale, r.center]].astype(float)
+        assert r.value == pytest.approx(np.linalg.svd(x - x.mean(axis=0))[1][0], rel=1e-5)
+    drawn = aggregates.sample(tree, 25, seed=3).collect()
+    rest = {w[-1][:2] for w in own.values()}
+    assert len(drawn) == 25 and all((r.scale, r.center) in rest and len(r.vec) == 2 for r in drawn)
 
 
 def test_one_point_and_equal_points(spark):
-    assert shape(build(cloud(spark, [1.0]), TreeParams())) == [(-11, 0, 1, True)]
-    same = build(cloud(spark, [1.0, 1.0, 1.0]), TreeParams())
-    assert shape(same) == [(-11, 2, 3, True)]
-    with pytest.raises(ValueError):
-        build(cloud(spark, []), TreeParams())
-
+    def nodes(rows):
+        return [(r.scale, r.center, r.coverage_count, r.is_leaf) for r in build(cloud(spark, np.array(rows)), TreeParams()).nodes().collect()]
 
-def test_write_and_read(spark, basic, tmp_path):
-    basic.write(str(tmp_path / "tree"))
-    again = CoverTree.read(spark, str(tmp_path / "tree"))
-    assert again.params == basic.params and shape(again) == shape(basic)
-
-
-def test_sampling_rests_on_nodes(spark, basic):
-    drawn = aggregates.sample(basic, 20, seed=3).collect()
-    nodes = {(r.scale, r.center) for r in basic.final_address().collect()}
-    assert len(drawn) == 20 and all((r.scale, r.center) in nodes and len(r.vec) == 1 for r in drawn)
+    assert nodes([[2.5, 1.0]]) == [(-11, 0, 1, True)]
+    assert nodes([[2.5, 1.0]] * 5) == [(-11, 4, 5, True)]
+    with pytest.raises(ValueError):
+        build(cloud(spark, np.zeros((0, 2))), TreeParams())
+    for wrong in ({"scale_base": 1.0}, {"partition_type": "other"}):
+        with pytest.raises(ValueError):
+            TreeParams(**wrong)
+
+
+def test_published_versions(spark, tree, rows, tmp_path):
+    """A reader gets the last version that was published whole."""
+    at = str(tmp_path / "tree")
+    tree.write(at)
+    again = CoverTree.read(spark, at)
+    assert again.params == tree.params and ways(again) == ways(tree)
+    other = build(cloud(spark, rows[:50]), TreeParams())
+    other.write(at)
+    assert len(ways(CoverTree.read(spark, at))) == 50 and len(ways(again)) == len(rows)
+
+
+def test_own_metric(spark, rows):
+    """A metric of the user's in searches and trees."""
+    weighted = np.array([1.0, 3.0])
+    metrics.register("weighted", lambda a, b: F.aggregate(F.zip_with(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.array(F.lit(1.0), F.lit(3.0)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x), lambda r, p: np.abs(r - p) @ weighted)
+    points = cloud(spark, rows)
+    far = (np.abs(rows[:4, None, :].astype(float) - rows[None, :, :].astype(float)) * weighted).sum(axis=2)
+    want = {(q, k + 1): p for q in range(4) for k, p in enumerate(np.lexsort((np.arange(len(rows)), far[q]))[:3])}
+    tree = build(points, TreeParams(metric="weighted"))
+    for found in (knn(points, asked(spark, rows[:4]), 3, "weighted"), walk.tree_knn(tree, asked(spark, rows[:4]), 3)):
+        assert {(r.qid, r.rk): r.pid for r in found.collect()} == want
