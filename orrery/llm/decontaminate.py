@@ -12,9 +12,9 @@ differences. Keys of SAMPLED steps each, from WALKS walks, are looked up among t
 that share a key are verified by exact edit distance. Items of fewer than EDITED_FROM words may have no
 edit; they are looked up whole.
 
-Items are prepared once, on the driver, and sent to the executors in blocks of items of like lengths
-with at most ITEM_WORDS words, each block one pass over the rows, so what is broadcast is bounded
-whatever the benchmark's size. A single longer item is a block of its own. Windows are embedded and
+Items are prepared once, on the driver, and sent to the executors in blocks of about WORDS_HELD words,
+each block one pass over the rows, so what is broadcast is bounded whatever the benchmark's size. A
+single longer item is a block of its own. Windows are embedded and
 verified in portions of bounded size, whatever the items' lengths and the number of equal items.
 
 Words are runs of ASCII letters, digits and anything beyond ASCII, with A-Z lower-cased. Defined cases:
@@ -39,8 +39,8 @@ from orrery.llm.common import kept, slices
 MAX_EDIT_SHARE = 0.2
 #: Words from which an item may be edited at all.
 EDITED_FROM = 5
-#: Words of a block of items.
-ITEM_WORDS = 1_000_000
+#: Words of a block of items, each counted as long as the block's longest may be.
+WORDS_HELD = 1_000_000
 #: Walk steps held at once, and pairs of windows and items.
 STEPS_HELD, PAIRS_HELD = 4_000_000, 200_000
 #: Keys of so many steps each, from so many walks. On passages edited up to the bound, these 72 keys
@@ -263,26 +263,33 @@ def hits_of(texts: list[str | None], items: Items) -> list[list[dict]]:
     return out
 
 
-def blocks(benchmark: DataFrame, words: int = ITEM_WORDS) -> Iterator[list[tuple[int, str | None]]]:
-    """The items in blocks of like lengths (powers of two) and of about `words` words at most, dealt
-    by hash."""
+def blocks(benchmark: DataFrame, held: int = WORDS_HELD) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in blocks of about `held` words, all counted as long as the longest may be. Lengths are
+    taken together by powers of two, short ones first, as long as they fit; what does not fit one
+    block is dealt to several by hash."""
     n = F.regexp_count("text", F.lit(r"[0-9A-Za-z\x80-\x{10FFFF}]+"))
     chosen = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", n.alias("n")).where("n > 0")
-    chosen = chosen.withColumn("bits", F.floor(F.log2(F.greatest("n", F.lit(EDITED_FROM)).cast("double"))))
-    for bits, total in sorted(chosen.groupBy("bits").agg(F.sum("n")).collect()):
-        k = -(-total // words)
+    chosen = chosen.withColumn("top", F.pow(F.lit(2), F.floor(F.log2(F.greatest("n", F.lit(EDITED_FROM)).cast("double"))) + 1).cast("long"))
+    groups: list[list[int]] = []  # least top, largest top, items
+    for top, items in sorted(chosen.groupBy("top").agg(F.count("*")).collect()):
+        if groups and (groups[-1][2] + items) * top <= held:
+            groups[-1][1:] = [top, groups[-1][2] + items]
+        else:
+            groups.append([top, top, items])
+    for low, top, items in groups:
+        k = -(-items * top // held)
         for i in range(k):
-            part = chosen.where((F.col("bits") == bits) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i))
+            part = chosen.where(F.col("top").between(low, top) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(k)) == i))
             rows = part.orderBy("item_id", "text").collect()
             if rows:
                 yield [(r.item_id, r.text) for r in rows]
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), words: int = ITEM_WORDS) -> DataFrame:
+def with_hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("doc_id",), held: int = WORDS_HELD) -> DataFrame:
     """The carried columns as a struct `row`, and an array `hits`. A narrow pass for each block of
     items; no row leaves its task."""
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").alias("text"), F.array().cast(HIT).alias("hits"))
-    for rows in blocks(benchmark, words):
+    for rows in blocks(benchmark, held):
         found = _pass(found, docs.sparkSession.sparkContext.broadcast(Items(rows)))
     return found.select("row", "hits")
 

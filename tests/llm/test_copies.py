@@ -212,7 +212,7 @@ def test_decontamination(docs_of, prose, bench):
     assert len(got) >= 0.97 * len(want) and sum(got[k][0] == want[k][0] for k in got) >= 0.97 * len(got)
     verbatim = {k for k, (e, _) in want.items() if e == 0}
     assert verbatim <= set(got)
-    blocks = decontaminate.with_hits(docs_of(texts), table_, words=40).select("row.doc_id", F.explode("hits.item_id")).collect()
+    blocks = decontaminate.with_hits(docs_of(texts), table_, held=200).select("row.doc_id", F.explode("hits.item_id")).collect()
     assert verbatim <= set(blocks) <= set(want) and len(set(blocks)) == len(blocks) >= 0.97 * len(want)
     clean = {r.doc_id for r in decontaminate.clean(docs_of(texts), table_).collect()}
     assert clean == set(range(len(texts))) - {d for d, _ in got}
