@@ -6,7 +6,8 @@ dealt in equal blocks of `BLOCK` words: blocks go to sources by the highest quot
 target / (2 s + 1), and a source's blocks go to its shards in the same way. Each shard's documents
 stand in a seeded order, cut into blocks; its quota is filled with the blocks of that order, whole
 passes first when the quota exceeds the shard. All counts are integers and depend on the rows and the
-seed alone, so reruns agree.
+seed alone, so reruns agree. A source of many shards deals its blocks to runs of `FAN` shards first and
+each run to its shards, so that no window holds all shards of a source.
 
 Highest quotients are found without a loop: a divisor that deals too few blocks and one that deals
 too many are at most one seat a source apart on average, and only the seats between them are ranked.
@@ -21,12 +22,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import SPACED_WORD, kept
+from orrery.llm.common import SPACED_WORD, forget, kept, met
 
 BLOCK = 16
 MAX_REPEATS = 3
-#: Words to a shard; a source has as many shards as its size needs, so a hot source is spread out.
+#: Words (or documents, if these are more) to a shard; a source has as many shards as its size needs, so
+#: a hot source is spread out.
 SHARD_WORDS = 500_000
+#: Shards of a source that are dealt to together.
+FAN = 1024
+#: Sources that may be sent to every executor; beyond, documents meet their sources by a shuffle.
+BROADCAST_ROWS = 200_000
 SEED = 17
 
 
@@ -60,7 +66,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 def apportion(rows: DataFrame, group: list[str], key: list[str], votes: str, seats: str, out: str) -> DataFrame:
     """Sainte-Lague: within each group, deal `seats` seats to rows by their votes. Adds `out`.
     Ties go to the first key. Groups are windows, so a group must be of bounded size (sources of
-    a mix, shards of a source)."""
+    a mix, runs of shards, shards of a run)."""
     every = Window.partitionBy(*group)
     total, n = F.sum(votes).over(every), F.count("*").over(every)
     counted = rows.withColumns({"_total": total, "_n": n, "_seats": F.col(seats).cast("double")})
@@ -93,19 +99,30 @@ def allot(docs: DataFrame, weigh=cyclic_weights, block: int = BLOCK, shard_words
 
     weigh: adds `weight` to a table source, source_size. What crosses the network is a few numbers a
     document; texts stay where they are read."""
-    sized = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("place"))
+    names = [F.xxhash64(F.lit(i), "source", F.col("source").isNull()).alias(f"s{i}") for i in (1, 2)]
+    sized = docs.select("doc_id", "source", *names, size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("place"))
     sized = kept(sized, "sizes")
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aimed = targets(weigh(by_source)).withColumn("blocks", F.sum("source_size").over(Window.partitionBy()) / F.lit(block))
+    by_source = kept(sized.groupBy("source", "s1", "s2").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")), "source-sizes")
+    aimed = targets(weigh(by_source.select("source", "source_size"))).withColumn("blocks", F.sum("source_size").over(Window.partitionBy()) / F.lit(block))
     quotas = apportion(aimed.withColumn("blocks", F.floor(F.col("blocks") + 0.5)), [], ["source"], "target", "blocks", "quota")
-    quotas = quotas.withColumn("n_shards", F.ceil(F.greatest(F.col("source_size"), F.lit(1)) / F.lit(shard_words)).cast("long"))
-    placed = (
-        sized.alias("d")
-        .join(quotas.alias("q"), F.col("d.source").eqNullSafe(F.col("q.source")))
-        .select("d.*", "source_size", "target", "quota", F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("n_shards")).alias("shard"))
-    )
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
-    dealt = apportion(shards, ["source"], ["shard"], "shard_size", "quota", "shard_quota").select("source", "shard", "shard_size", "shard_quota")
+    n_shards = F.ceil(F.greatest("source_size", "n_docs") / F.lit(shard_words)).cast("long").alias("n_shards")
+    quotas = by_source.alias("b").join(quotas.alias("q"), F.col("b.source").eqNullSafe(F.col("q.source")))
+    quotas = kept(quotas.select("s1", "s2", "b.source_size", "n_docs", "target", "quota").select("*", n_shards), "quotas")
+    n_sources, n_docs = quotas.agg(F.count("*"), F.sum("n_docs")).first()
+    if n_sources <= BROADCAST_ROWS:
+        placed = sized.join(F.broadcast(quotas), ["s1", "s2"])
+    else:
+        placed = met(sized, quotas, ["s1", "s2"], ["place"], "n_docs", n_docs)
+    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "place"), F.col("n_shards"))
+    placed = placed.select("doc_id", "source", "size", "place", "source_size", "target", "quota", shard.alias("shard"))
+    run = F.floor(F.col("shard") / F.lit(FAN)).alias("run")
+    shards = kept(placed.groupBy("source", "shard", run).agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota")), "shards")
+    totals = shards.groupBy("source", "run").agg(F.sum("shard_size").alias("run_size"), F.first("quota").alias("quota"))
+    totals = apportion(totals, ["source"], ["run"], "run_size", "quota", "run_quota")
+    on = [F.col("s.source").eqNullSafe(F.col("r.source")), F.col("s.run") == F.col("r.run")]
+    shards = shards.alias("s").join(totals.alias("r"), on).select("s.source", "s.run", "s.shard", "s.shard_size", "r.run_quota")
+    dealt = apportion(shards, ["source", "run"], ["shard"], "shard_size", "run_quota", "shard_quota").select("source", "shard", "shard_size", "shard_quota")
+    forget(by_source)
     order = Window.partitionBy("d.source", "d.shard").orderBy("d.place", F.col("d.doc_id").asc_nulls_last(), "d.size").rowsBetween(Window.unboundedPreceding, -1)
     words = F.least(F.col("shard_quota") * block, F.col("shard_size") * MAX_REPEATS)
     passes = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")

@@ -240,6 +240,24 @@ def test_mixing(spark, docs_of, prose):
     assert all(abs(took[s] - aim[s]) <= 2 * mixing.BLOCK for s in sizes)
 
 
+@pytest.mark.parametrize("name, value", [("FAN", 2), ("BROADCAST_ROWS", 1)])
+def test_mixing_at_scale(spark, docs_of, prose, monkeypatch, name, value):
+    """Many shards are dealt to run by run, many sources met by a shuffle; totals and reruns hold."""
+    rows = [(i, prose(10 + i % 90, i), ["a", "b", None][min(2, i % 10 // 4)]) for i in range(300)] + [(1000 + i, None, "empty") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plain = {r.doc_id: (r.source, r.size, r.source_size, r.target, r.taken) for r in mixing.allot(docs, shard_words=800).collect()}
+    monkeypatch.setattr(mixing, name, value)
+    got = {r.doc_id: (r.source, r.size, r.source_size, r.target, r.taken) for r in mixing.allot(docs.repartition(4), shard_words=800).collect()}
+    assert len(got) == len(rows) and {k: v[:4] for k, v in got.items()} == {k: v[:4] for k, v in plain.items()}
+    if name == "BROADCAST_ROWS":
+        assert got == plain
+    took, aim = defaultdict(int), {v[0]: v[3] for v in got.values()}
+    for source, size, _, _, taken in got.values():
+        took[source] += taken
+        assert 0 <= taken <= 3 * size
+    assert all(abs(took[s] - aim[s]) <= 2 * mixing.BLOCK for s in aim)
+
+
 def test_apportionment(spark):
     """Against dealing seat by seat."""
     votes = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.5, "e": 0.0}
