@@ -105,6 +105,13 @@ class Items:
         order = np.argsort(keys, axis=None, kind="stable")
         self.sorted_keys, self.owner = keys.ravel()[order], order // keys.shape[1] if len(coded) else order
 
+    @classmethod
+    def of(cls, parts: dict) -> Items:
+        """A block as it was, from its `vars`: plain values, which are sent without this class."""
+        items = cls.__new__(cls)
+        vars(items).update(parts)
+        return items
+
     def keys(self, table: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """rows x (WALKS * KEYS) hashes of sampled steps of each row's embedding. table: word codes,
         padded after each row's length."""
@@ -290,18 +297,19 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, carry: tuple[str, ...] = ("
     items; no row leaves its task."""
     found = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.col("text").alias("text"), F.array().cast(HIT).alias("hits"))
     for rows in blocks(benchmark, held):
-        found = _pass(found, docs.sparkSession.sparkContext.broadcast(Items(rows)))
+        found = _pass(found, docs.sparkSession.sparkContext.broadcast(vars(Items(rows))))
     return found.select("row", "hits")
 
 
-def _pass(found: DataFrame, items) -> DataFrame:
+def _pass(found: DataFrame, sent) -> DataFrame:
     arrow = to_arrow_schema(found.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items.of(sent.value)
         for batch in batches:
             texts, before = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for part in slices(texts):
-                new = [a + b for a, b in zip(before[part], hits_of(texts[part], items.value), strict=True)]
+                new = [a + b for a, b in zip(before[part], hits_of(texts[part], items), strict=True)]
                 same = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([same.column(0), same.column(1), pa.array(new, arrow.field(2).type)], names=["row", "text", "hits"])
 

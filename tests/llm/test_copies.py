@@ -1,5 +1,6 @@
 """Line dedup, Jaccard join, decontamination, the pipeline."""
 
+import pickle
 import random
 import re
 from collections import Counter
@@ -225,6 +226,14 @@ def test_decontamination_odd_rows(odd, bench):
     assert decontaminate.clean(odd, bench[0].limit(0)).count() == odd.count()
 
 
+def test_items_are_sent_as_plain_values():
+    items = decontaminate.Items([(1, "one two three four five six"), (2, "seven eight")])
+    sent = pickle.dumps(vars(items))
+    assert b"orrery" not in sent
+    texts = ["zero one two three four six", "seven eight"]
+    assert decontaminate.hits_of(texts, decontaminate.Items.of(pickle.loads(sent))) == decontaminate.hits_of(texts, items) != [[], []]
+
+
 def test_edit_distance_rows():
     import numpy as np
 
