@@ -5,7 +5,8 @@ pairs on their hash (and on the words, which rules out collisions). A hit votes
 "place in the document minus place in the template". Votes are counted by diagonal; neighbouring
 diagonals of a template, as left by an inserted or missing word, merge into one span; a span is
 verified by the share of the template's pairs that it holds, in place. Short phrases must be whole
-and on one diagonal.
+and on one diagonal; notices of few pairs must be whole, so the names of licenses that stand inside
+longer notices are templates too.
 
 The templates are a fixed list in this module, so the table sent to each executor has a fixed size.
 What is shuffled is one row a document and one a vote; texts stay where they are read.
@@ -53,6 +54,10 @@ NOTICES = [
     ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
     ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
     ("All rights reserved", "reserved"),
+    ("GNU Lesser General Public License", "lgpl"),
+    ("GNU Affero General Public License", "agpl"),
+    ("Mozilla Public License", "mpl"),
+    ("Eclipse Public License", "epl"),
 ]
 
 
