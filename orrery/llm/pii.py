@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.common import kept
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
@@ -279,7 +281,8 @@ def added_spans(text: str, spans: list[Span], w: Weights) -> list[Span]:
 
 def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: Weights | None = None) -> DataFrame:
     """One row per document: the carried columns and `spans`, array<struct<start,end,kind,added>>,
-    by start, then kind. A narrow pass; the field of a document is built within its row."""
+    by start, then kind. A narrow pass; the field of a document is built within its row. The result is
+    kept as a table, as Arrow batches of kept tables are bounded by bytes: long texts come few at a time."""
     if weights is None:
         likely = docs.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("h"))
         # Hashes first, so that tasks send the driver numbers and only the chosen texts follow.
@@ -300,7 +303,7 @@ def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: Weights
 
         return texts.map(of)
 
-    return docs.select(*carry, spans("text").alias("spans"))
+    return kept(docs.select(*carry, spans("text").alias("spans")), "personal-data")
 
 
 def joined(spans: str) -> Column:
