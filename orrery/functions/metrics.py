@@ -87,12 +87,26 @@ ROWS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
 }
 
 
+BUILT_IN = frozenset(COLUMNS)
+
+
 def register(name: str, column: Callable[[Column, Column], Column], rows: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
     """Adds a metric of the user's, as a column of two vectors and for the rows of a matrix; both must
-    give the same figures. Trees and neighbour searches by the tree need the triangle inequality."""
+    give the same figures. Trees and neighbour searches by the tree need the triangle inequality. A
+    name that is taken must be unregistered first."""
+    if name in COLUMNS:
+        raise ValueError(f"metric {name} is there already")
     COLUMNS[name], ROWS[name] = column, rows
 
 
+def unregister(name: str) -> None:
+    """Takes a metric of the user's out again."""
+    if name in BUILT_IN:
+        raise ValueError(f"metric {name} is built in")
+    COLUMNS.pop(name, None)
+    ROWS.pop(name, None)
+
+
 def rows_to_point(name: str, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
     """Distance of each row to one point; the same figures as the columns give."""
     if name not in ROWS:

@@ -217,10 +217,20 @@ def test_published_versions(spark, tree, rows, tmp_path):
     assert len(ways(CoverTree.read(spark, at))) == 50 and len(ways(again)) == len(rows)
 
 
-def test_own_metric(spark, rows):
-    """A metric of the user's in searches and trees."""
-    weighted = np.array([1.0, 3.0])
-    metrics.register("weighted", lambda a, b: F.aggregate(F.zip_with(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.array(F.lit(1.0), F.lit(3.0)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x), lambda r, p: np.abs(r - p) @ weighted)
+@pytest.fixture
+def weighted():
+    """A metric of two components, there for one test only."""
+    weights = np.array([1.0, 3.0])
+    metrics.register("weighted", lambda a, b: F.aggregate(F.zip_with(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.array(F.lit(1.0), F.lit(3.0)), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x), lambda r, p: np.abs(r - p) @ weights)
+    yield weights
+    metrics.unregister("weighted")
+
+
+def test_own_metric(spark, rows, weighted):
+    """A metric of the user's in searches and trees; taken names and built-in ones are kept."""
+    for wrong in (lambda: metrics.register("weighted", metrics.l1, metrics.ROWS["l1"]), lambda: metrics.unregister("l1")):
+        with pytest.raises(ValueError):
+            wrong()
     points = cloud(spark, rows)
     far = (np.abs(rows[:4, None, :].astype(float) - rows[None, :, :].astype(float)) * weighted).sum(axis=2)
     want = {(q, k + 1): p for q in range(4) for k, p in enumerate(np.lexsort((np.arange(len(rows)), far[q]))[:3])}
