@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import decontaminate, jaccard_join, licenses, line_dedup, mixing, pii, quality, secret_scan, sql, tokens, url_filter
+from orrery.llm import decontaminate, hard_negatives, jaccard_join, licenses, line_dedup, mixing, pii, quality, secret_scan, sort_means, sql, tokens, url_filter, warc
 from orrery.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.suffix_sums(tokens.histogram(table(spark, sf_dir, "documents")))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label").cast("long")
+    noisy = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", noisy.alias("label"), F.col("embedding").alias("vec"))
+    return hard_negatives.mine(rows, vec_id % 100 == 0)
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    return sort_means.report(*sort_means.cluster(rows))
+
+
+def op13_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("uri"), F.col("html").alias("payload"))
+    read = warc.round_trip(spark, rows)
+    return read.select(F.col("id").alias("page_id"), F.col("n_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_license_scans": op1_license_scans,
@@ -68,6 +86,9 @@ def queries() -> dict[str, Query]:
         "op8_personal_data": op8_personal_data,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_token_counts": op10_token_counts,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_centroid_clusters": op12_centroid_clusters,
+        "op13_warc_archives": op13_warc_archives,
     }
 
 

@@ -89,5 +89,53 @@ SELECT n.doc_id, n.n n_shingles, least(n.doc_id, coalesce(least_id, n.doc_id)) c
 FROM n LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id)"""
 
 
+def hard_negatives_sql() -> str:
+    return """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) v
+      FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id anchor_id, b.vec_id other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) score FROM e a JOIN e b ON a.vec_id != b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (SELECT p.anchor_id, p.other_id positive_id, n.other_id negative_id, p.score positive_score, n.score negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) r
+      FROM p JOIN s n ON p.anchor_id = n.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 10"""
+
+
+def centroid_clusters_sql() -> str:
+    """Five rounds and the last assignment, each a step of its own; every pair is measured."""
+    distance = "CAST(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS BIGINT)"
+    steps = []
+    for i in range(6):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT vec_id, any_value(v) v, arg_min(cid, ({distance}, cid)) cid, min({distance}) distance FROM e, c{i} GROUP BY vec_id)")
+        if i < 5:
+            parts = f"SELECT cid, unnest(range(64)) pos, unnest(v) x FROM a{i}"
+            floors = f"SELECT cid, list(floor(total / n) ORDER BY pos) c FROM (SELECT cid, pos, sum(x) total, count(*) n FROM ({parts}) GROUP BY 1, 2) GROUP BY 1"
+            steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.cid, coalesce(m.c, c{i}.c) c FROM c{i} LEFT JOIN ({floors}) m USING (cid))")
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) v FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 cid, v c FROM e QUALIFY cid < 40),
+{", ".join(steps)},
+t AS (SELECT cid, sum(distance) total FROM a5 GROUP BY 1)
+SELECT vec_id, CAST(cid AS INTEGER) AS cluster, distance, CAST(total AS BIGINT) cluster_inertia, CAST((SELECT sum(total) FROM t) AS BIGINT) inertia,
+       sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) centroid_sha256
+FROM a5 JOIN t USING (cid) JOIN c5 USING (cid)"""
+
+
+def warc_archives_sql() -> str:
+    return """
+WITH p AS (SELECT page_id, coalesce(html, '') html FROM pages),
+f AS (SELECT page_id, html, strlen(html) n, sha256(html) digest, min(page_id) OVER (PARTITION BY html) least FROM p)
+SELECT page_id, n payload_bytes, digest payload_digest, CASE WHEN n >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END record_type,
+       CASE WHEN n >= 100 AND page_id > least THEN least END refers_to FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scans": license_scans(), "op2_secret_scans": secret_scans(), "op5_line_dedup": line_dedup_sql(), "op9_jaccard_join": jaccard_join_sql()}
+    return {
+        "op1_license_scans": license_scans(),
+        "op2_secret_scans": secret_scans(),
+        "op5_line_dedup": line_dedup_sql(),
+        "op9_jaccard_join": jaccard_join_sql(),
+        "op11_hard_negatives": hard_negatives_sql(),
+        "op12_centroid_clusters": centroid_clusters_sql(),
+        "op13_warc_archives": warc_archives_sql(),
+    }
