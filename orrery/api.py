@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.operators import aggregates, drift, tree, walk
+from orrery.operators.cells import knn_join
 from orrery.operators.knn import knn as brute_knn
 from orrery.operators.tree import CoverTree, TreeParams
 from orrery.sources.points import from_yaml, tree_params_from_yaml
@@ -110,6 +111,10 @@ class PointIndex:
     def knn(self, queries: DataFrame, k: int = 10) -> DataFrame:
         return walk.tree_knn(self.built, queries, k)
 
+    def knn_join(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """The same answers by pivots' cells, without the tree; for queries as many as the points."""
+        return knn_join(self.built.points, queries, k, self.built.params.metric)
+
     def brute_knn(self, queries: DataFrame, k: int = 10) -> DataFrame:
         return brute_knn(self.built.points, queries, k, self.built.params.metric)
 

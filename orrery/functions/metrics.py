@@ -122,6 +122,12 @@ def pairwise(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([rows_to_point(name, b, p) for p in a]) if len(a) else np.zeros((0, len(b)))
 
 
+def slack(a: np.ndarray, b: np.ndarray) -> float:
+    """What a figure of `pairwise` may be off by: its product form loses half the digits of the norms."""
+    longest = [float(np.sqrt((x * x).sum(axis=1)).max(initial=0.0)) for x in (a, b)]
+    return 1e-9 + 1e-7 * sum(longest)
+
+
 def sparse_sq_l2(ai: Column, av: Column, bi: Column, bv: Column) -> Column:
     """Of two sparse vectors, as index and value arrays; absent entries are 0."""
     a, b = F.map_from_arrays(ai, doubles(av)), F.map_from_arrays(bi, doubles(bv))

@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 from orrery.functions import metrics
 
 QUERY_BLOCK = 512
-#: Candidates of a batch kept beyond k, so that rounding in the fast form loses none.
-SLACK = 8
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -39,29 +37,37 @@ def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK, *extra: str) -> I
             yield np.array([r.qid for r in rows], np.int64), np.array([r.vec for r in rows], np.float64), *[np.array([r[c] for r in rows]) for c in extra]
 
 
+def best_of(metric: str, qids: np.ndarray, q: np.ndarray, pids: np.ndarray, vecs: np.ndarray, k: int, radius: float | None = None) -> pa.RecordBatch:
+    """qid, pid, dist: of the points of a batch each query's k best, or all within a radius."""
+    near, loose = metrics.pairwise(metric, q, vecs), 2 * metrics.slack(q, vecs)
+    if radius is not None:
+        a, b = np.nonzero(near <= radius + loose)
+    else:
+        n = min(k, len(pids))
+        edge = np.partition(near, n - 1, axis=1)[:, n - 1]
+        # What ties with the last one kept, whatever its place in the batch, is measured too.
+        a, b = np.nonzero(near <= edge[:, None] + loose)
+    exact = np.empty(len(a))
+    ends = np.searchsorted(a, np.arange(len(qids) + 1))
+    for i in range(len(qids)):
+        here = slice(ends[i], ends[i + 1])
+        if ends[i + 1] > ends[i]:
+            exact[here] = metrics.rows_to_point(metric, vecs[b[here]], q[i])
+    if radius is None:
+        order = np.lexsort((pids[b], exact, a))
+        first = (np.arange(len(a)) - ends[a[order]]) < k
+        a, b, exact = a[order][first], b[order][first], exact[order][first]
+    return pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(pids[b].astype(np.int64)), pa.array(exact)], names=["qid", "pid", "dist"])
+
+
 def _best(points: DataFrame, ids: np.ndarray, rows: np.ndarray, k: int, metric: str, radius: float | None) -> DataFrame:
     held = points.sparkSession.sparkContext.broadcast((ids, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = held.value
         for batch in batches:
-            pids, vecs = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1))
-            if not len(pids):
-                continue
-            near = metrics.pairwise(metric, q, vecs)
-            if radius is not None:
-                a, b = np.nonzero(near <= radius + 1e-6)
-            else:
-                n = min(k + SLACK, len(pids))
-                b = np.argpartition(near, n - 1, axis=1)[:, :n].ravel()
-                a = np.repeat(np.arange(len(qids)), n)
-                # What ties with the last one kept, whatever its place in the batch, is kept too.
-                edge = near[a, b].reshape(-1, n).max(axis=1)
-                a, b = np.nonzero(near <= edge[:, None] + 1e-9)
-            exact = np.empty(len(a))
-            for i in np.unique(a):
-                exact[a == i] = metrics.rows_to_point(metric, vecs[b[a == i]], q[i])
-            yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(pids[b].astype(np.int64)), pa.array(exact)], names=["qid", "pid", "dist"])
+            if batch.num_rows:
+                yield best_of(metric, qids, q, batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1)), k, radius)
 
     chosen = points.select(F.col("pid").cast("long").alias("pid"), "vec").where("vec is not null")
     return chosen.mapInArrow(run, "qid long, pid long, dist double")
@@ -98,11 +104,8 @@ def layer_best(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
             for batch in batches:
                 pids, layers, vecs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), matrix(batch.column(2))
                 for layer in np.unique(layers):
-                    own, vec = pids[layers == layer], vecs[layers == layer]
-                    for i, qid in enumerate(qids):
-                        exact = metrics.rows_to_point(metric, vec, q[i])
-                        best = np.lexsort((own, exact))[:k]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), x, np.int64)) for x in (qid, layer)] + [pa.array(own[best]), pa.array(exact[best])], names=["qid", "layer", "pid", "dist"])
+                    best = best_of(metric, qids, q, pids[layers == layer], vecs[layers == layer], k)
+                    yield pa.RecordBatch.from_arrays([best.column(0), pa.array(np.full(best.num_rows, layer)), best.column(1), best.column(2)], names=["qid", "layer", "pid", "dist"])
 
         parts.append(chosen.mapInArrow(run, "qid long, layer long, pid long, dist double"))
     if not parts:
@@ -111,26 +114,6 @@ def layer_best(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2"
     return reduce(DataFrame.unionByName, parts).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("qid", "layer", "rk", "pid", "dist")
 
 
-def balls_in_reach(balls: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame:
-    """qid, pid of the balls (pid, vec, ball) that come as near to a query (qid, vec, reach) as its reach.
-    Only these pairs leave a batch."""
-    spark, parts = balls.sparkSession, []
-    chosen = balls.select(F.col("pid").cast("long").alias("pid"), "vec", F.col("ball").cast("double").alias("ball"))
-    for held in query_blocks(queries, QUERY_BLOCK, "reach"):
-        sent = spark.sparkContext.broadcast(held)
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qids, q, reach = sent.value
-            for batch in batches:
-                pids, vecs, ball = batch.column(0).to_numpy(), matrix(batch.column(1)), batch.column(2).to_numpy()
-                if len(pids):
-                    a, b = np.nonzero(metrics.pairwise(metric, q, vecs) <= reach[:, None] + ball + 1e-6)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[a]), pa.array(pids[b])], names=["qid", "pid"])
-
-        parts.append(chosen.mapInArrow(run, "qid long, pid long"))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "qid long, pid long")
-
-
 def assign(points: DataFrame, centers: DataFrame, metric: str = "l2", nested: int | None = None) -> DataFrame:
     """pid, center, dist: each point's nearest center (cid, vec). Equal distances go to the smaller
     cid, and to `nested` only if nothing else is as near. The choice is made in the batch: one row a

@@ -14,7 +14,8 @@ from __future__ import annotations
 
 import math
 import time
-from dataclasses import asdict, dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -124,6 +125,13 @@ class CoverTree:
     params: TreeParams
     points: DataFrame
     paths: DataFrame
+    laid: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def kept(self, name: str, make: Callable):
+        """What `make` gives, made once for this tree."""
+        if name not in self.laid:
+            self.laid[name] = make()
+        return self.laid[name]
 
     def nodes(self) -> DataFrame:
         """scale, center, parent_scale, parent_center, depth, coverage_count, radius, n_singletons,

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import metrics
+from orrery.operators.cells import knn_join
 from orrery.operators.knn import assign, first_cover, knn, layer_best, within
 from orrery.operators.tree import CoverTree, TreeParams, build, root_of
-from orrery.operators.walk import tree_knn
+from orrery.operators.walk import center_knn, tree_knn
 
 #: The stated query set: every vector whose id divides by it.
 EVERY = 20
@@ -79,6 +80,17 @@ def tree_of(spark: SparkSession, sf_dir: str, **more) -> CoverTree:
     return BUILT[key]
 
 
+def knn_join_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point's four nearest, itself the first: the queries are the whole table."""
+    cloud = points(spark, sf_dir)
+    return shown(knn_join(cloud, cloud.select(F.col("pid").alias("qid"), "vec"), 4))
+
+
+def center_knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest centers among all nodes of the built tree."""
+    return shown(center_knn(tree_of(spark, sf_dir), asked(points(spark, sf_dir)), 3))
+
+
 def range_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = points(spark, sf_dir)
     return within(cloud, asked(cloud), 1.1).select("qid", F.col("pid").alias("nid"), F.round("dist", 6).alias("dist"))
@@ -148,11 +160,12 @@ def layer_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f"knn_{m}": _knn_query(m) for m in METRICS} | {
     f.__name__: f
-    for f in (tree_knn_l2, range_query, pairwise_min_distance, adjacency_topn, root_stats, pivot_assign_nearest, pivot_assign_first, center_knn_pivots, layer_topk)
+    for f in (tree_knn_l2, knn_join_l2, center_knn_l2, range_query, pairwise_min_distance, adjacency_topn, root_stats, pivot_assign_nearest, pivot_assign_first, center_knn_pivots, layer_topk)
 }
 
 SQL = {f"knn_{m}": knn_sql(m) for m in METRICS} | {
     "tree_knn_l2": knn_sql("l2"),
+    "knn_join_l2": knn_sql("l2", 4).replace(SQL_QUERIES, "q AS (SELECT pid qid, v FROM p)"),
     "range_query": f"WITH {SQL_POINTS}, {SQL_QUERIES} SELECT qid, pid nid, round({sql_distance('l2')}, 6) dist FROM q, p WHERE {sql_distance('l2')} < 1.1",
     "pairwise_min_distance": f"WITH {SQL_POINTS}, {SQL_QUERIES}, d AS (SELECT qid, pid, {sql_distance('l2')} dist FROM q, p WHERE qid != pid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, pid) rk FROM d) SELECT qid, pid nid, round(dist, 6) dist FROM r WHERE rk = 1",
     "adjacency_topn": f"WITH {SQL_POINTS}, {SQL_QUERIES}, d AS (SELECT qid, pid, {sql_distance('l2')} dist FROM q, p WHERE qid != pid) SELECT qid, pid nid, round(dist, 6) dist FROM (SELECT * FROM d ORDER BY dist, qid, pid LIMIT 100)",

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import metrics
-from orrery.operators import aggregates, walk
+from orrery.operators import aggregates, cells, walk
 from orrery.operators.knn import assign, knn, layer_best
-from orrery.operators.tree import CoverTree, TreeParams, build, violations
+from orrery.operators.tree import CoverTree, TreeParams, build, hash_order, violations
 from orrery.sources.points import from_rows
 
 
@@ -157,6 +157,80 @@ def test_paths(spark, rows, tree):
     assert known[4] == [x[:2] for x in own[4]] and known[999] == [None]
 
 
+@pytest.mark.parametrize("kind", ["first", "nearest"])
+def test_paths_by_pages(spark, rows, kind, monkeypatch):
+    """Small pages, each asked by several blocks of queries, and tiers that some paths skip."""
+    monkeypatch.setattr(walk, "PAGE_RATIO", 4)
+    monkeypatch.setattr(walk, "SHARE", 6)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 3)
+    tree = build(cloud(spark, rows), TreeParams(scale_base=1.4, partition_type=kind, rng_seed=3))
+    kids = defaultdict(list)
+    for r in tree.edges().collect():
+        kids[r.scale, r.center].append((r.child_scale, r.child_center))
+    drawn = {r.pid: r.ord for r in tree.points.select("pid", hash_order(3).alias("ord")).collect()}
+    queries = np.concatenate([clusters(13, 8, dim=2), rows[:8], np.array([[90.0, 90.0]])])
+    got = defaultdict(list)
+    for r in walk.path(tree, asked(spark, queries)).orderBy("qid", "depth").collect():
+        assert r.dist == pytest.approx(np.linalg.norm(queries[r.qid].astype(float) - rows[r.center].astype(float)), abs=1e-6) and r.depth == len(got[r.qid])
+        got[r.qid].append((r.scale, r.center))
+    root = tree.root().first()
+    for q, vec in enumerate(queries.astype(float)):
+        way = [(root.scale, root.center)]
+        while kids[way[-1]]:
+            here = way[-1]
+            d = {k: np.linalg.norm(vec - rows[k[1]].astype(float)) for k in kids[here]}
+            if kind == "first":
+                d = {k: x for k, x in d.items() if x < 1.4 ** k[0]}
+                best = min(d, key=lambda k: (k[1] != here[1], drawn[k[1]]), default=None)
+            else:
+                best = min(d, key=lambda k: (round(d[k], 9), k[1] == here[1]))
+                best = best if d[best] < 1.4 ** best[0] else None
+            if best is None:
+                break
+            way.append(best)
+        assert got[q] == way
+    assert walk.laid_pages(tree).agg(F.max("tier")).first()[0] >= 2
+
+
+def near_by(rows, queries, k):
+    far = np.linalg.norm(queries[:, None, :].astype(float) - rows[None, :, :].astype(float), axis=2)
+    return {(q, i + 1): p for q in range(len(queries)) for i, p in enumerate(np.lexsort((np.arange(len(rows)), far[q]))[:k])}
+
+
+def test_search_opens_few_cells(spark, monkeypatch):
+    """On clustered points most cells are never met, whether they are subtrees or pivots' cells."""
+    rows, queries = clusters(21, 400, dim=4, spread=0.05), clusters(21, 30, dim=4, spread=0.05)
+    tree = build(cloud(spark, rows), TreeParams(scale_base=1.5))
+    routes, members, sizes = walk.laid_cells(tree, cell_points=20)
+    assert members.count() == len(rows) and sizes.agg(F.sum("n")).first()[0] == len(rows)
+    below = routes.below()
+    kth = np.sort(np.linalg.norm(queries[:, None, :].astype(float) - rows[None].astype(float), axis=2), axis=1)[:, 2]
+    a, cell = cells.open_cells(routes, below, "l2", queries.astype(float), kth, 3)
+    assert len(cell) < 0.5 * len(queries) * sizes.count()
+    monkeypatch.setattr(cells, "CELL_POINTS", 7)
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 4)
+    for found in (walk.tree_knn(tree, asked(spark, queries), 3, cell_points=20), cells.knn_join(cloud(spark, rows), asked(spark, queries), 3, cell_points=20)):
+        assert {(r.qid, r.rk): r.pid for r in found.collect()} == near_by(rows, queries, 3)
+
+
+@pytest.mark.parametrize("metric", ["l1", "linf", "l1_sqrt"])
+def test_join_of_points_with_themselves(spark, metric):
+    """All points against all, with a group of equal ones, far-off and huge vectors; other metrics too."""
+    rows = np.concatenate([clusters(5, 150, dim=3), np.full((90, 3), 0.5, np.float32), np.float32([[1e6, 0, 0], [1e6, 1, 0], [-3e5, 2, 2]])])
+    far = np.stack([metrics.rows_to_point(metric, rows.astype(float), r) for r in rows.astype(float)])
+    want = {(q, i + 1): p for q in range(len(rows)) for i, p in enumerate(np.lexsort((np.arange(len(rows)), far[q]))[:4])}
+    found = cells.knn_join(cloud(spark, rows), asked(spark, rows), 4, metric, cell_points=25)
+    assert {(r.qid, r.rk): r.pid for r in found.collect()} == want
+
+
+def test_join_edges(spark):
+    points = cloud(spark, np.float32([[0.0], [1.0], [1.0], [3.0]]))
+    one = spark.createDataFrame([(7, [1.0]), (8, None)], "qid long, vec array<float>")
+    assert [(r.rk, r.pid) for r in cells.knn_join(points, one, 10).orderBy("rk").collect()] == [(1, 1), (2, 2), (3, 0), (4, 3)]
+    assert cells.knn_join(points, one.limit(0), 3).count() == 0
+    assert cells.knn_join(points.limit(0), one, 3).count() == 0
+
+
 def test_aggregates(spark, rows, tree):
     own = ways(tree)
     under = defaultdict(list)
