@@ -196,7 +196,9 @@ class Tracker:
         return drift.node_kl(aggregates.priors(self.index.built), self.evidence(ticks))
 
     def stats(self, ticks: DataFrame) -> DataFrame:
-        return drift.kl_stats(self.node_kl(ticks))
+        if self.seq is None:
+            raise RuntimeError("push a path first")
+        return drift.tracked_stats(aggregates.priors(self.index.built), self.seq, ticks, self.window)
 
     def total_kl(self, ticks: DataFrame) -> DataFrame:
         """at, kl of the whole tree, over the nodes where queries rest."""

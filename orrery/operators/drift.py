@@ -2,15 +2,25 @@
 
 A sequence is rows (tick, depth, node, bucket): the path of the query that came at each tick, with the
 child it went to (null where it stopped). A tracker with window w sees at tick t the last w queries
-(all for w = 0). Statistics are asked for at stated ticks only, so work is ticks times window.
+(all for w = 0).
+
+Everything follows from signed changes: a row adds 1 at its tick and, with a window, takes 1 away w ticks
+later. Counts, and KLs as sums over buckets, are running sums of changes, added up by blocks of ticks
+so that a node that all paths pass is no single task. A node's KL holds from one change to the next;
+statistics over nodes at every asked tick come from these spans, cut into aligned spans of 1, 2, 4, ...
+ticks that are summed up first. So work is linear in the changes, times the logarithm of the ticks,
+however long the window is.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.distributions import bucket_term, digamma, log_gamma, posterior_kl, with_prior
+from orrery.operators.tree import bounded
 from orrery.sources.points import ranked
 from orrery.sources.tables import settled
 
@@ -29,23 +39,40 @@ def sequence(way: DataFrame, order: DataFrame) -> DataFrame:
     return order.join(steps, "qid").select("tick", "node", "bucket")
 
 
-def evidence(seq: DataFrame, ticks: DataFrame, window: int) -> DataFrame:
-    """at, node, bucket, n: what a tracker holds at each asked tick. With a window, a row goes to the
-    asked ticks it is in the window of, found by equality on blocks of the window's length; without,
-    counts between asked ticks are added up."""
-    if window:
-        block = F.floor(F.col("tick") / window)
-        near = F.explode(F.array(block, block + 1)).alias("block")
-        asked = ticks.select(F.col("tick").alias("at"), F.floor(F.col("tick") / window).alias("block"))
-        rows = seq.select("tick", "node", "bucket", near).join(asked, "block").where((F.col("tick") <= F.col("at")) & (F.col("tick") > F.col("at") - window))
-        return rows.groupBy("at", "node", "bucket").agg(F.count("*").alias("n"))
+def changes(seq: DataFrame, ticks: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """turn, node, bucket, n: what is added (or, below 0, taken away) since the asked tick before; and
+    the asked ticks, counted (at, turn from 1)."""
     asked = settled(ranked(ticks.select(F.col("tick").alias("at")).distinct(), ["at"], "turn").select("at", "turn"), "asked-ticks")
-    parts = next_asked(seq, asked.select("at")).groupBy("at", "node", "bucket").agg(F.count("*").alias("n")).join(asked, "at")
-    by = Window.partitionBy("node", "bucket").orderBy("turn")
-    last = asked.count()
-    held = parts.select("node", "bucket", F.sum("n").over(by).alias("n"), "turn", (F.coalesce(F.lead("turn").over(by) - 1, F.lit(last))).alias("until"))
-    # A count stays until its next change.
-    spread = held.select("node", "bucket", "n", F.explode(F.sequence("turn", "until")).alias("turn"))
+    rows = seq.select("tick", "node", "bucket", F.lit(1).cast("long").alias("n"))
+    if window:
+        rows = rows.unionByName(seq.select((F.col("tick") + window).alias("tick"), "node", "bucket", F.lit(-1).cast("long").alias("n")))
+    parts = next_asked(rows, asked.select("at")).groupBy("at", "node", "bucket").agg(F.sum("n").alias("n")).where("n != 0")
+    return settled(parts.join(asked, "at").select("turn", "node", "bucket", "n"), "changes"), asked
+
+
+def running(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """rows with the running sums of values in order of turn (one row a key and turn), and `until`, the
+    key's next turn. Added up within blocks of TICK_BLOCK turns, and over blocks by their sums."""
+    rows = rows.withColumn("_block", F.floor(F.col("turn") / TICK_BLOCK))
+    within, over = Window.partitionBy(*keys, "_block").orderBy("turn"), Window.partitionBy(*keys).orderBy("_block")
+    blocks = rows.groupBy(*keys, "_block").agg(F.min("turn").alias("_first"), *[F.sum(v).alias(v) for v in values])
+    before = over.rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_b"), F.lead("_first").over(over).alias("_next"), *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_{v}") for v in values])
+    here = rows.withColumns({"_until": F.lead("turn").over(within)} | {v: F.sum(v).over(within) for v in values})
+    same = F.col("_block") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    found = here.join(carried, same)
+    own = [c for c in rows.columns if c not in values and c != "_block"]
+    return found.select(*own, *[(F.col(v) + F.col(f"_{v}")).alias(v) for v in values], F.coalesce("_until", "_next").alias("until"))
+
+
+def evidence(seq: DataFrame, ticks: DataFrame, window: int) -> DataFrame:
+    """at, node, bucket, n: what a tracker holds at each asked tick; a row for each count over 0. The rows
+    are what was asked for; kl statistics do not need them (see `tracked_stats`)."""
+    parts, asked = changes(seq, ticks, window)
+    held = running(parts, ["node", "bucket"], ["n"]).where("n > 0")
+    spread = held.select("node", "bucket", "n", F.explode(F.sequence("turn", F.coalesce(F.col("until") - 1, F.lit(asked.count())))).alias("turn"))
     return spread.join(asked, "turn").select("at", "node", "bucket", "n")
 
 
@@ -53,13 +80,14 @@ def next_asked(seq: DataFrame, asked: DataFrame) -> DataFrame:
     """seq with `at`, the first asked tick not before the row's; rows after the last one go. Looked up
     within blocks of TICK_BLOCK ticks, and for the rest of a block's rows in the blocks' own order."""
     block = F.floor(F.col("tick") / TICK_BLOCK).alias("block")
-    marks = asked.select(F.col("at").alias("tick"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("bucket"), F.lit(1).alias("ask"))
-    both = seq.select("tick", "node", "bucket", F.lit(0).alias("ask")).unionByName(marks).select("*", block)
-    after = Window.partitionBy("block").orderBy("tick", "ask").rowsBetween(0, Window.unboundedFollowing)
+    marks = asked.select(F.col("at").alias("tick"), F.lit(1).alias("ask"))
+    both = seq.withColumn("ask", F.lit(0)).unionByName(marks, allowMissingColumns=True).select("*", block)
+    # Read backwards, so that a frame grows by a row and is not added up anew for each.
+    after = Window.partitionBy("block").orderBy(F.desc("tick"), F.desc("ask")).rowsBetween(Window.unboundedPreceding, 0)
     here = both.withColumn("here", F.min(F.when(F.col("ask") == 1, F.col("tick"))).over(after)).where("ask = 0")
     later = Window.orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     blocks = both.groupBy("block").agg(F.min(F.when(F.col("ask") == 1, F.col("tick"))).alias("m")).select("block", F.min("m").over(later).alias("later"))
-    return here.join(blocks, "block").withColumn("at", F.coalesce("here", "later")).where("at is not null").select("tick", "node", "bucket", "at")
+    return here.join(blocks, "block").withColumn("at", F.coalesce("here", "later")).where("at is not null").select(*seq.columns, "at")
 
 
 def node_kl(prior: DataFrame, found: DataFrame) -> DataFrame:
@@ -68,19 +96,58 @@ def node_kl(prior: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def running_kl(prior: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
-    """by..., node, at, kl at the ticks where a node's evidence changes, and `until`, the tick of its next
-    change (null after the last). parts: by..., at, node, bucket, n of new evidence. A KL is a sum over
-    buckets, so each bucket's change is added up, and no tick is filled in between."""
-    own = Window.partitionBy(*by, "node", "bucket").orderBy("at")
-    rows = with_prior(parts.select(*by, "at", "node", "bucket", F.sum("n").over(own).cast("long").alias("e"), F.col("n").alias("more")), prior)
-    rows = rows.withColumn("term", F.when(F.col("a").isNotNull(), bucket_term(F.col("a"), F.col("e"), F.col("prior_total"))).otherwise(0.0))
-    unknown = F.max(F.col("a").isNull() & F.col("bucket").isNotNull()).alias("unknown")
-    change = (F.col("term") - F.coalesce(F.lag("term").over(own), F.lit(0.0))).alias("change")
-    steps = rows.select("*", change).groupBy(*by, "node", "at").agg(F.sum("more").alias("more"), F.sum("change").alias("change"), F.max("prior_total").alias("top"), unknown)
-    each = Window.partitionBy(*by, "node").orderBy("at")
-    seen = F.sum("more").over(each)
-    kl = F.greatest(F.lit(0.0), log_gamma(F.col("top")) - log_gamma(F.col("top") + seen) + F.sum("change").over(each))
-    return steps.select(*by, "node", "at", F.when(~F.max("unknown").over(each), kl).alias("kl"), F.lead("at").over(each).alias("until"))
+    """by..., node, turn, until, evidence, kl at the turns where a node's evidence changes; it holds before the
+    turn `until` (null: to the end). parts: by..., turn, node, bucket, n of changes, of either sign. A
+    KL is a sum over buckets, so each bucket's change is added up, and no turn is filled in
+    between. Null while there is evidence for a bucket that the prior lacks."""
+    summed = running(parts.select(*by, "turn", "node", "bucket", "n", F.col("n").alias("more")), [*by, "node", "bucket"], ["n"]).drop("until")
+    rows = with_prior(summed.withColumn("e", F.col("n").cast("long")), prior)
+    known = F.col("a").isNotNull()
+
+    def term(e: Column) -> Column:
+        return F.when(known, bucket_term(F.col("a"), e, F.col("prior_total"))).otherwise(0.0)
+
+    rows = rows.withColumns({"change": term(F.col("e")) - term(F.col("e") - F.col("more")), "strange": F.when(~known & F.col("bucket").isNotNull(), F.col("more")).otherwise(0)})
+    steps = rows.groupBy(*by, "node", "turn").agg(F.sum("more").alias("evidence"), F.sum("change").alias("change"), F.sum("strange").alias("strange"), F.max("prior_total").alias("top"))
+    sums = running(settled(steps, "kl-changes"), [*by, "node"], ["evidence", "change", "strange"])
+    kl = F.greatest(F.lit(0.0), log_gamma(F.col("top")) - log_gamma(F.col("top") + F.col("evidence")) + F.col("change"))
+    return sums.select(*by, "node", "turn", "until", "evidence", F.when(F.col("evidence") == 0, 0.0).when(F.col("strange") == 0, kl).alias("kl"))
+
+
+def spans(lo: Column, hi: Column, levels: int) -> Column:
+    """The aligned spans (level, index) of 2**level turns that make up the turns from lo to before hi."""
+
+    def at(level: Column) -> Column:
+        size = F.pow(F.lit(2.0), level)
+        first, end = F.ceil(lo / size), F.floor(hi / size)
+        left = F.when((first < end) & (first % 2 == 1), F.struct(level.alias("level"), first.alias("index")))
+        right = F.when((first < end) & (end % 2 == 1), F.struct(level.alias("level"), (end - 1).alias("index")))
+        return F.filter(F.array(left, right), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
+
+
+def held_stats(kls: DataFrame, last: int, by: list[str] | None = None) -> DataFrame:
+    """by..., turn and the statistics over nodes whose KL counts, at every turn up to `last` at which some
+    node holds evidence. kls: rows of running_kl."""
+    by, levels = by or [], max(1, int(last + 1).bit_length())
+    big = F.when(F.col("kl") > NONZERO, F.col("kl"))
+    cut = kls.where("evidence > 0").select(*by, "kl", F.explode(spans(F.col("turn"), F.coalesce("until", F.lit(last + 1)), levels)).alias("s")).select(*by, "kl", "s.*")
+    sums = settled(cut.groupBy(*by, "level", "index").agg(F.max(big).alias("max"), F.min(big).alias("min"), F.count(big).alias("nz"), F.sum(big).alias("m1"), F.sum(big * big).alias("m2")), "span-sums")
+    turns = kls.sparkSession.range(1, last + 1).select(F.col("id").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    turns = turns.withColumn("index", F.floor(F.col("turn") / F.pow(F.lit(2.0), F.col("level"))))
+    # Wide spans are few and are sent out; a narrow one has few turns.
+    wide = F.col("level") >= int(math.log2(TICK_BLOCK))
+    met = turns.where(wide).join(bounded(settled(sums.where(wide), "wide-spans"), 8), ["level", "index"]).unionByName(turns.where(~wide).join(sums.where(~wide), ["level", "index"]))
+    total = {n: F.coalesce(F.sum(c), F.lit(0.0)) for n, c in (("moment1_nz", "m1"), ("moment2_nz", "m2"))}
+    return met.groupBy(*by, "turn").agg(F.max("max").alias("max"), F.min("min").alias("min"), F.sum("nz").alias("nz_count"), *[c.alias(n) for n, c in total.items()])
+
+
+def tracked_stats(prior: DataFrame, seq: DataFrame, ticks: DataFrame, window: int) -> DataFrame:
+    """at and the statistics of a tracker at each asked tick, without its evidence spread out."""
+    parts, asked = changes(seq, ticks, window)
+    stats = held_stats(running_kl(prior, parts, []), asked.count())
+    return stats.join(asked, "turn").select("at", *STATS)
 
 
 def kl_stats(kls: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -135,13 +202,11 @@ def baseline(spark: SparkSession, prior: DataFrame, steps: DataFrame, n_points:
     pids = steps.select("pid").distinct().crossJoin(F.broadcast(runs))  # a stated number of runs
     shuffled = ranked(pids.withColumn("_draw", F.xxhash64(F.lit(seed), "run", "pid")), ["run", "_draw", "pid"], "place", 0)
     order = shuffled.select("pid", "run", (F.col("place") - F.col("run") * n_points + 1).alias("tick")).where(F.col("tick") <= size)
-    rows = order.join(steps, "pid").withColumn("slot", F.ceil(F.col("tick") / sample_rate) * sample_rate)
-    parts = rows.where(F.col("slot") <= size).groupBy("run", F.col("slot").alias("at"), "node", "bucket").agg((F.count("*") * observation_weight).alias("n"))
-    kls = running_kl(prior.withColumn("n", F.col("n") * prior_weight), parts, ["run"])
-    last = size // sample_rate * sample_rate
-    held = F.sequence(F.col("at"), F.coalesce(F.col("until") - sample_rate, F.lit(last)), F.lit(sample_rate).cast("long"))
-    # A node's value counts at every tick until its next change; the ticks are summed where they are made.
-    stats = kl_stats(kls.select("run", "kl", F.explode(held).alias("at")), ["run", "at"])
+    rows = order.join(steps, "pid").withColumn("turn", F.ceil(F.col("tick") / sample_rate))
+    last = size // sample_rate
+    parts = rows.where(F.col("turn") <= last).groupBy("run", "turn", "node", "bucket").agg((F.count("*") * observation_weight).alias("n"))
+    kls = running_kl(prior.withColumn("n", F.col("n") * prior_weight), settled(parts, "changes"), ["run"])
+    stats = held_stats(kls, last, ["run"]).withColumn("at", F.col("turn") * sample_rate)
     sums = [F.expr(f"avg(coalesce(`{s}`, 0.0D))").alias(f"{s}_mean") for s in STATS] + [F.expr(f"var_pop(coalesce(`{s}`, 0.0D))").alias(f"{s}_var") for s in STATS]
     return stats.groupBy("at").agg(*sums)
 
@@ -155,11 +220,12 @@ def interpolate(samples: DataFrame, asked: DataFrame, values: list[str]) -> Data
     both = packed.withColumn("ask", F.lit(0)).unionByName(asked.select("tick", F.lit(None).cast(packed.schema["s"].dataType).alias("s"), F.lit(1).alias("ask")))
     both = settled(both.withColumn("block", F.floor(F.col("tick") / TICK_BLOCK)), "samples-and-ticks")
     order = Window.partitionBy("block").orderBy("tick", "ask")
-    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("block").orderBy(F.desc("tick"), F.desc("ask")).rowsBetween(Window.unboundedPreceding, 0)
     # The last two samples up to a row: of its own block, or of blocks before it.
     two = F.struct(F.last("s", True).over(upto).alias("low"), F.last("older", True).over(upto).alias("before"))
     with_older = both.withColumn("older", F.when(F.col("s").isNotNull(), F.last("s", True).over(order.rowsBetween(Window.unboundedPreceding, -1))))
-    here = with_older.withColumns({"two": two, "high": F.first("s", True).over(after)}).where("ask = 1")
+    here = with_older.withColumns({"two": two, "high": F.last("s", True).over(after)}).where("ask = 1")
     newest = Window.partitionBy("block").orderBy(F.desc("tick"))
     tops = both.where("ask = 0").withColumn("r", F.row_number().over(newest))
     ends = tops.groupBy("block").agg(F.max(F.when(F.col("r") == 1, F.col("s"))).alias("top"), F.max(F.when(F.col("r") == 2, F.col("s"))).alias("second"), F.min(F.struct("tick", "s"))["s"].alias("first"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.operators import aggregates, drift, walk
+from orrery.operators import aggregates, drift, plugins, walk
 from orrery.operators.tree import CoverTree, TreeParams, violations
 from orrery.plans.summaries import six, table
 from orrery.plans.vectors import SQL_POINTS, asked, assigned, points, shown, sql_assigned, tree_of
 from orrery.sources.points import glue, ranked, reindexed, source_address, with_labels, with_names
 
-WINDOW, EACH = 100, 500
+WINDOW, EACH, LONG_WINDOW = 100, 500, 5000
 
 
 def event_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,16 @@ def tracker_node_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracker_kl_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.kl_stats(_node_kl(spark, sf_dir)).select("at", "nz_count", *six("max", "min", "moment1_nz", "moment2_nz"))
+    seq = event_sequence(spark, sf_dir)
+    stats = drift.tracked_stats(event_prior(spark, sf_dir), seq, ticks(seq), WINDOW)
+    return stats.select("at", "nz_count", *six("max", "min", "moment1_nz", "moment2_nz"))
+
+
+def tracker_every_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics after every single event, of a window of 5,000 events."""
+    seq = event_sequence(spark, sf_dir)
+    stats = drift.tracked_stats(event_prior(spark, sf_dir), seq, seq.select("tick"), LONG_WINDOW)
+    return stats.select("at", "nz_count", *six("max", "min", "moment1_nz", "moment2_nz"))
 
 
 def tracker_kl_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +138,35 @@ def pivot_node_gaussians(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("scale").cast("long").alias("scale"), "center", F.col("pos").cast("long").alias("pos"), "n", *six("mean", "var"))
 
 
+def residue_tree(spark: SparkSession, sf_dir: str) -> CoverTree:
+    """A nested tree of three levels over all points: the last point, and pids by their rest by 4 and by 16."""
+    cloud = points(spark, sf_dir)
+    rows = cloud.select("pid").crossJoin(F.broadcast(cloud.agg(F.max("pid").alias("c0")))).withColumns({"c1": F.col("pid") % 4, "c2": F.col("pid") % 16})
+    level = F.explode(F.array(*[F.struct(F.lit(i).alias("depth"), F.lit(2 - i).alias("scale"), F.col(f"c{i}").alias("center")) for i in range(3)])).alias("p")
+    return CoverTree(TreeParams(), cloud, rows.select("pid", level).select("pid", "p.*", F.lit(0.0).alias("dist")))
+
+
+def node_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each node: its height, the leaf that one reaches by always going to the fullest child, and, of these
+    chained, the height by the share of labelled points that rest there."""
+    fullest = F.max_by(F.col("kid.leaf"), F.struct("n", -F.col("kid_center")))
+    shape = plugins.NodePlugin("shape", {"height": F.coalesce(F.col("most") + 1, F.lit(0)), "leaf": F.coalesce("best", "center")}, kids={"most": F.max("kid.height"), "best": fullest})
+    marked = plugins.NodePlugin("marked", {"n": F.coalesce("own", F.lit(0)) + F.coalesce("under", F.lit(0)), "tall": F.col("shape.height") * (F.coalesce("own", F.lit(0)) + F.coalesce("under", F.lit(0)))}, rests={"own": F.count("label")}, kids={"under": F.sum("kid.n")})
+    found = plugins.fold(residue_tree(spark, sf_dir), [shape, marked], ["label"])
+    return found.select(F.col("scale").cast("long").alias("scale"), "center", F.col("shape.height").cast("long").alias("height"), "shape.leaf", F.col("marked.n").alias("labelled"), F.col("marked.tall").cast("long").alias("tall"))
+
+
+def top_pids(m: int) -> plugins.Summary:
+    """The m largest pids, kept as a sorted list."""
+    return plugins.Summary(list, lambda state, rows: sorted([*state, *rows["pid"]], reverse=True)[:m], lambda a, b: sorted([*a, *b], reverse=True)[:m], lambda state: (",".join(map(str, state)),), "pids string")
+
+
+def pivot_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest pids under each node, by a summary of the user's."""
+    found = plugins.node_summary(pivot_tree(spark, sf_dir), ["label"], top_pids(5))
+    return found.select(F.col("scale").cast("long").alias("scale"), "center", "pids")
+
+
 def tree_split_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The root of a tree whose nodes of over 300 points are split by all tasks together."""
     tree = _tree(spark, sf_dir, group_points=300)
@@ -251,11 +289,11 @@ def drift_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        tracker_window_counts, tracker_running_counts, tracker_node_kl, tracker_kl_stats, tracker_kl_total, baseline_interpolate, homogeneity_depth, tree_invariants,
+        tracker_window_counts, tracker_running_counts, tracker_node_kl, tracker_kl_stats, tracker_every_tick, tracker_kl_total, baseline_interpolate, homogeneity_depth, tree_invariants,
         tree_coverage_root, tree_label_root, tree_moments_root, tree_nodes, tree_path, known_path, routing_knn, layer_knn, node_labels, child_dirichlet, fractal_dims,
         layer_fractal_dims, coverage_lists, node_singular_values, tree_sample, drift_baseline, pivot_known_path, pivot_node_labels, pivot_child_counts, pivot_final_address,
         pivot_coverage_lists, pivot_fractal_dims, pivot_layer_fractal_dims, pivot_layers, pivot_node_gaussians, tree_split_root, tree_split_paths, tree_points, glued_clouds,
-        reindexed_points, labelled_points,
+        reindexed_points, labelled_points, node_folds, pivot_summary,
     )
 }
 
@@ -295,6 +333,16 @@ SQL = {
     ),
     "pivot_layers": f"WITH {_W}, c AS (SELECT scale, center, count(*) n FROM w GROUP BY 1, 2) SELECT CAST(scale AS BIGINT) AS scale, count(*) n_nodes, CAST(sum(n) AS BIGINT) n_points FROM c GROUP BY 1",
     "pivot_node_gaussians": f"WITH {_W}, u AS (SELECT scale, center, unnest(v) x, unnest(range(len(v))) pos FROM w) SELECT CAST(scale AS BIGINT) AS scale, center, pos, count(*) n, round(avg(x), 6) mean, round(avg(x * x) - avg(x) * avg(x), 6) AS var FROM u GROUP BY 1, 2, 3",
+    "node_folds": (
+        f"WITH {SQL_POINTS}, w0 AS (SELECT pid, label, 0 depth, (SELECT max(pid) FROM p) center FROM p UNION ALL SELECT pid, label, 1, pid % 4 FROM p UNION ALL SELECT pid, label, 2, pid % 16 FROM p), "
+        "w AS (SELECT *, lead(center) OVER (PARTITION BY pid ORDER BY depth) nxt FROM w0), c AS (SELECT depth, center, count(*) n FROM w GROUP BY 1, 2), t AS (SELECT DISTINCT depth, center, nxt FROM w WHERE nxt IS NOT NULL), "
+        "l2 AS (SELECT center, center leaf FROM c WHERE depth = 2), "
+        "l1 AS (SELECT t.center, arg_max(l2.leaf, (c.n, -c.center)) leaf FROM t JOIN c ON c.depth = 2 AND c.center = t.nxt JOIN l2 ON l2.center = t.nxt WHERE t.depth = 1 GROUP BY 1), "
+        "l0 AS (SELECT t.center, arg_max(l1.leaf, (c.n, -c.center)) leaf FROM t JOIN c ON c.depth = 1 AND c.center = t.nxt JOIN l1 ON l1.center = t.nxt WHERE t.depth = 0 GROUP BY 1), "
+        "l AS (SELECT 0 depth, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2), m AS (SELECT depth, center, count(label) labelled FROM w GROUP BY 1, 2) "
+        "SELECT CAST(2 - depth AS BIGINT) AS scale, center, CAST(2 - depth AS BIGINT) AS height, leaf, labelled, CAST((2 - depth) * labelled AS BIGINT) tall FROM l JOIN m USING (depth, center)"
+    ),
+    "pivot_summary": f"WITH {_W}, r AS (SELECT scale, center, pid, row_number() OVER (PARTITION BY scale, center ORDER BY pid DESC) k FROM w) SELECT CAST(scale AS BIGINT) AS scale, center, string_agg(pid, ',' ORDER BY pid DESC) pids FROM r WHERE k <= 5 GROUP BY 1, 2",
     "tree_split_root": f"WITH {SQL_POINTS}, c AS (SELECT pid, v FROM p ORDER BY pid DESC LIMIT 1) SELECT c.pid center, count(*) n, round(max(list_distance(c.v, p.v)), 6) radius FROM c, p GROUP BY 1",
     "tree_split_paths": "SELECT CAST(0 AS BIGINT) apart",
     "tree_points": "SELECT vec_id pid FROM embeddings",
@@ -308,6 +356,12 @@ SQL = {
     "tracker_running_counts": f"WITH {_SEQ}, r AS (SELECT tick \"at\" FROM s WHERE tick % {10 * EACH} = 0) SELECT \"at\", node, bucket, count(*) n FROM r JOIN s ON tick <= \"at\" GROUP BY 1, 2, 3",
     "tracker_node_kl": f"{_KL} SELECT \"at\", node, evidence, round(kl, 6) kl FROM kl",
     "tracker_kl_stats": f"{_KL} SELECT \"at\", count(*) FILTER (WHERE kl > 1e-10) nz_count, round(max(kl) FILTER (WHERE kl > 1e-10), 6) AS max, round(min(kl) FILTER (WHERE kl > 1e-10), 6) AS min, round(coalesce(sum(kl) FILTER (WHERE kl > 1e-10), 0), 6) moment1_nz, round(coalesce(sum(kl * kl) FILTER (WHERE kl > 1e-10), 0), 6) moment2_nz FROM kl GROUP BY 1",
+    "tracker_every_tick": (
+        f"WITH {_SEQ}, {_PRIOR}, {_HARM}, g AS (SELECT tick, node, bucket, a, count(*) FILTER (WHERE here) OVER (PARTITION BY node, bucket ORDER BY tick ROWS BETWEEN {LONG_WINDOW - 1} PRECEDING AND CURRENT ROW) n "
+        "FROM (SELECT tick, p.node, p.bucket, a, s.node = p.node AND s.bucket = p.bucket here FROM s CROSS JOIN p)), k AS (SELECT tick, node, CAST(sum(g.n) AS BIGINT) evidence, max(t.t) t, sum(lgamma(a + g.n) - lgamma(a) - g.n * (ha.h - ht.h)) s FROM g JOIN t USING (node) JOIN h ha ON ha.n = a JOIN h ht ON ht.n = t.t WHERE g.n > 0 GROUP BY 1, 2), "
+        "kl AS (SELECT tick \"at\", node, greatest(0, lgamma(t) - lgamma(t + evidence) + s) kl FROM k) "
+        "SELECT \"at\", count(*) FILTER (WHERE kl > 1e-10) nz_count, round(max(kl) FILTER (WHERE kl > 1e-10), 6) AS max, round(min(kl) FILTER (WHERE kl > 1e-10), 6) AS min, round(coalesce(sum(kl) FILTER (WHERE kl > 1e-10), 0), 6) moment1_nz, round(coalesce(sum(kl * kl) FILTER (WHERE kl > 1e-10), 0), 6) moment2_nz FROM kl GROUP BY 1"
+    ),
     "tracker_kl_total": (
         f"WITH {_SEQ}, {_HELD}, {_PRIOR}, {_HARM}, w AS (SELECT node, bucket, a + 1 a FROM p), tot AS (SELECT CAST(sum(a) AS BIGINT) t FROM w), ev AS (SELECT \"at\", CAST(sum(n) AS BIGINT) ee FROM e GROUP BY 1), "
         "x AS (SELECT e.\"at\", sum(-lgamma(a + e.n) + lgamma(a) + e.n * (hp.h - ht.h)) s FROM e JOIN w USING (node, bucket) JOIN ev ON ev.\"at\" = e.\"at\" CROSS JOIN tot JOIN h hp ON hp.n = a + e.n JOIN h ht ON ht.n = tot.t + ev.ee GROUP BY 1) "

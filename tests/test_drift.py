@@ -1,4 +1,5 @@
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,24 +74,100 @@ def test_no_evidence_no_kl(spark):
     assert drift.node_kl(counts(spark, PRIOR), none).count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.fixture
+def one_part(spark):
+    """Stream states in one partition, as each has a worker of its own to start."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+RESTS = {"r": 1, "a": 31, "b": 12}
+
+
+def stream_rows(spark):
+    """steps() as rows of a stream, with what the prior says of them."""
     prior = counts(spark, PRIOR)
     totals = prior.groupBy("node").agg(F.sum("n").alias("total"))
+    more = spark.createDataFrame([(n, r, sum(RESTS.values()), 1 if n == "r" else 0, 0.5) for n, r in RESTS.items()], "node string, resting long, resting_total long, scale int, weight double")
     rows = steps(spark).withColumn("step", F.when(F.col("node") == "r", 0).otherwise(1))
     rows = rows.join(totals, "node").join(prior.select("node", F.col("bucket").alias("b"), F.col("n").alias("count")), "node").where(F.col("b").eqNullSafe(F.col("bucket")))
-    rows = rows.select(F.lit("t").alias("tracker"), F.col("tick").alias("seq"), "step", "node", "bucket", F.col("count").alias("a"), "total")
+    return rows.join(more, "node").select(F.lit("t").alias("tracker"), F.col("tick").alias("seq"), "step", "node", "bucket", F.col("count").alias("a"), "total", "resting", "resting_total", "scale", "weight")
+
+
+def psi(n):
+    return sum(1 / i for i in range(1, n)) - 0.5772156649015329
+
+
+def brute_stats(window, at):
+    """The statistics of the last queries at a tick, counted one by one."""
+    own = [t for t in range(1, at + 1) if not window or t > at - window]
+    held, prior = {}, {(n, b): a for n, b, a in PRIOR}
+    for t in own:
+        child = "ab"[t % 3 == 0]
+        for key in (("r", child), (child, None)):
+            held[key] = held.get(key, 0) + 1
+    kls = []
+    for node in {n for n, _ in held}:
+        total, e = sum(a for (n, _), a in prior.items() if n == node), sum(x for (n, _), x in held.items() if n == node)
+        terms = [math.lgamma(prior[k] + x) - math.lgamma(prior[k]) - x * (psi(prior[k]) - psi(total)) for k, x in held.items() if k[0] == node]
+        kls.append(max(0.0, math.lgamma(total) - math.lgamma(total + e) + sum(terms)))
+    kls = [k for k in kls if k > drift.NONZERO]
+    top, seen = sum(RESTS.values()), len(own)
+    rest = [(RESTS[n], x) for (n, b), x in held.items() if b is None]
+    kl = math.lgamma(top + seen) - math.lgamma(top) - seen * psi(top + seen) + sum(math.lgamma(a) - math.lgamma(a + x) + x * psi(a + x) for a, x in rest)
+    layers = {1: (1, 0.5), 0: (len(rest), 0.5 * len(rest))}
+    return kls, max(0.0, kl), layers
+
+
+def streamed(spark, found, at):
+    """What a query gives until its input ends; it goes on from its checkpoint."""
+    found.writeStream.outputMode("update").foreachBatch(lambda batch, i: batch.write.mode("append").parquet(f"{at}/out")).option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start().awaitTermination(120)
+    return spark.read.parquet(f"{at}/out").collect()
+
+
+def same_stats(got, window, at):
+    kls, total, layers = brute_stats(window, at)
+    assert (got.seen, got.sequence_len, got.nz_count) == (at, window or at, len(kls)) and got.total_kl == pytest.approx(total, abs=1e-9)
+    assert [got.max, got.min, got.moment1_nz, got.moment2_nz] == [pytest.approx(x) for x in (max(kls), min(kls), sum(kls), sum(k * k for k in kls))]
+    assert {x.scale: (x.nodes, pytest.approx(x.weight)) for x in got.layers} == layers
+
+
+def test_stream_equals_batch(spark, one_part, tmp_path):
+    """Two micro-batches, with a restart between them."""
+    rows = stream_rows(spark)
     for i, (lo, hi) in enumerate(((0, 25), (25, 60))):
         rows.where((F.col("seq") > lo) & (F.col("seq") <= hi)).coalesce(1).write.parquet(str(tmp_path / "in" / f"b={i}"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "b=*"))
-    query = tracker.track(stream, [7, 0]).writeStream.outputMode("update").format("memory").queryName("drifts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    found = {(r.window, r.seen): r for r in spark.table("drifts").collect()}
-    for window in (7, 0):
-        asked = spark.createDataFrame([(25,), (60,)], "tick long")
-        for r in drift.kl_stats(drift.node_kl(prior, drift.evidence(steps(spark), asked, window))).collect():
-            got = found[window, r["at"]]
-            assert got.nz_count == r.nz_count and got.moment1_nz == pytest.approx(r.moment1_nz) and got.max == pytest.approx(r["max"])
-            assert got.sequence_len == (window or r["at"])
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in" / "b=*"))
+        found = {(r.window, r.seen): r for r in streamed(spark, tracker.track(stream, [7, 0]), tmp_path)}
+        for window in (7, 0):
+            same_stats(found[window, hi], window, hi)
+
+
+def test_stream_starts_from_history(spark, one_part, tmp_path):
+    """A tracker that starts from a batch goes on as if it had seen it."""
+    rows = stream_rows(spark)
+    rows.where("seq > 25").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    started = tracker.track(stream, [40, 0], tracker.history(rows.where("seq <= 25"), [40, 0]))
+    found = {r.window: r for r in streamed(spark, started, tmp_path)}
+    for window in (40, 0):
+        same_stats(found[window], window, 60)
+
+
+def test_idle_trackers_close(spark, one_part, tmp_path):
+    rows = stream_rows(spark).where("seq <= 5")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    query = tracker.track(stream, [0], idle_ms=1).writeStream.outputMode("update").format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 90
+        while time.time() < until and not (closed := spark.table("idle").where("closed").collect()):
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert [(r.tracker, r.seen) for r in closed] == [("t", 5)]
 
 
 def test_interpolation(spark):
@@ -126,17 +203,32 @@ def test_interpolation_across_blocks(spark, monkeypatch):
     assert [r.v for r in got] == pytest.approx([read(t) for t in asked])
 
 
-def test_running_kl(spark):
-    """What changes add up to is the KL of everything seen so far, at every tick; an unknown bucket
-    makes it null from then on."""
+@pytest.mark.parametrize("window", [0, 7])
+def test_running_kl(spark, window, monkeypatch):
+    """Signed changes add up to the KL of what the window holds, at every tick and across blocks of ticks;
+    it is null just while evidence of an unknown bucket is there."""
+    monkeypatch.setattr(drift, "TICK_BLOCK", 16)
     seq = steps(spark).unionByName(spark.createDataFrame([(41, "a", "new")], steps(spark).schema))
-    parts = seq.groupBy(F.col("tick").alias("at"), "node", "bucket").agg(F.count("*").alias("n"))
-    prior = counts(spark, PRIOR)
-    got = {(r.node, r["at"]): (r.kl, r.until) for r in drift.running_kl(prior, parts, []).collect()}
-    asked = spark.createDataFrame([(t,) for t in (1, 2, 9, 40, 41, 60)], "tick long")
-    want = drift.node_kl(prior, drift.evidence(seq, asked, 0)).collect()
-    assert {r.node for r in want} == {"r", "a", "b"} and any(r.kl is None for r in want)
-    for r in want:
-        kl, until = got[r.node, max(t for n, t in got if n == r.node and t <= r["at"])]
-        assert kl == pytest.approx(r.kl, abs=1e-9) if r.kl is not None else kl is None
-        assert until is None or until > r["at"]
+    prior, every = counts(spark, PRIOR), spark.range(1, 61).select(F.col("id").alias("tick"))
+    parts, turns = drift.changes(seq, every, window)
+    assert turns.count() == 60
+    got = {}
+    for r in drift.running_kl(prior, parts, []).collect():
+        got |= {(r.node, t): r.kl for t in range(r.turn, r.until or 61) if r.evidence}
+    want = {(r.node, r["at"]): r.kl for r in drift.node_kl(prior, drift.evidence(seq, every, window)).collect()}
+    assert got.keys() == want.keys() and any(x is None for x in want.values())
+    assert all(x is None if want[k] is None else x == pytest.approx(want[k], abs=1e-9) for k, x in got.items())
+    stats = {r["at"]: r for r in drift.tracked_stats(prior, seq, every, window).collect()}
+    plain = {r["at"]: r for r in drift.kl_stats(drift.node_kl(prior, drift.evidence(seq, every, window))).collect()}
+    assert stats.keys() == plain.keys()
+    for at, r in plain.items():
+        assert stats[at].nz_count == r.nz_count
+        for c in ("max", "min", "moment1_nz", "moment2_nz"):
+            assert stats[at][c] == (pytest.approx(r[c], abs=1e-9) if r[c] is not None else None)
+
+
+def test_spans(spark):
+    """Aligned spans cover a range once, and are few."""
+    rows = spark.range(1, 40).withColumnRenamed("id", "lo").crossJoin(spark.range(1, 41).withColumnRenamed("id", "hi")).where("lo < hi")
+    for r in rows.select("lo", "hi", drift.spans(F.col("lo"), F.col("hi"), 6).alias("s")).collect():
+        assert sorted(t for x in r.s for t in range(x["index"] << x.level, (x["index"] + 1) << x.level)) == list(range(r.lo, r.hi)) and len(r.s) <= 12
