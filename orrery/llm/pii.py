@@ -46,6 +46,8 @@ AGREEMENT = {"chain": 0.0, "skip": 4.0}
 WORDS, CONTEXT = 2, 64
 #: Messages that move by less have settled.
 SETTLED = 1e-4
+#: Rounds of messages at most: so many, and twice the nodes, as a chain's far end is heard of late.
+ROUNDS = 500
 
 # The patterns of the four kinds.
 MAIL_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -240,48 +242,55 @@ def train(texts: list[str], steps: int = 400, rate: float = 0.5, decay: float =
     return w
 
 
-def marginals(field: Field, w: Weights) -> np.ndarray:
-    """Loopy sum-product until every message has settled; linear in nodes and edges a round. Messages
-    are damped more from round to round, so that they settle on any graph."""
+def marginals(field: Field, w: Weights) -> tuple[np.ndarray, np.ndarray]:
+    """Loopy sum-product until every message has settled; linear in nodes and edges a round. A message has
+    settled when a round would move it by no more than SETTLED, however much it is damped. Messages
+    are damped more from round to round, but on some graphs that does not settle them: after ROUNDS and twice
+    the nodes it stops. Gives the marginals, and which nodes all messages have settled for."""
     own = softmax(np.clip(field.features @ w.unary, -30, 30))
     own[field.held > 0] = 1e-9
     own[field.held > 0, field.held[field.held > 0]] = 1.0
     edges = np.vstack([field.chain, field.skip])
     if not len(edges):
-        return own
+        return own, np.ones(len(own), bool)
     factor = np.exp(np.vstack([np.broadcast_to(m, (len(e), *m.shape)) for m, e in ((w.chain, field.chain), (w.skip, field.skip))]))
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     factor = np.concatenate([factor, factor.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     sent = np.full((len(source), len(LABELS)), 1 / len(LABELS))
-    moved, rounds, patience = 1.0, 0, 2 * len(own) + 50
-    while moved > SETTLED:
+    patience, moved = 2 * len(own) + 50, np.ones(len(source))
+    for rounds in range(ROUNDS + 2 * len(own)):
         total = np.log(own)
         np.add.at(total, target, np.log(sent))
         new = np.einsum("es,est->et", softmax(total[source] - np.log(sent[back])), factor)
         new /= new.sum(axis=1, keepdims=True)
+        moved = np.abs(new - sent).max(axis=1)
         step = 0.7 if rounds < patience else 0.7 * patience / rounds
-        moved = step * np.abs(new - sent).max()
         sent = sent + step * (new - sent)
-        rounds += 1
+        if moved.max() <= SETTLED:
+            break
     total = np.log(own)
     np.add.at(total, target, np.log(sent))
-    return softmax(total)
+    settled = np.ones(len(own), bool)
+    settled[target[moved > SETTLED]] = False
+    return softmax(total), settled
 
 
-def added_spans(text: str, spans: list[Span], w: Weights) -> list[Span]:
+def added_spans(text: str, spans: list[Span], w: Weights) -> tuple[list[Span], int]:
+    """The spans that the field adds, and the number of nodes that it leaves without a label because their
+    messages did not settle."""
     field = field_of(text, spans)
     if field is None or not (field.held == 0).any():
-        return []
-    p = marginals(field, w)
+        return [], 0
+    p, settled = marginals(field, w)
     best = p.argmax(axis=1)
-    keep = (best > 0) & (field.held == 0) & (p.max(axis=1) >= MIN_MARGINAL)
-    return [(*field.places[i], LABELS[best[i]]) for i in np.flatnonzero(keep)]
+    keep = (best > 0) & (field.held == 0) & (p.max(axis=1) >= MIN_MARGINAL) & settled
+    return [(*field.places[i], LABELS[best[i]]) for i in np.flatnonzero(keep)], int((~settled & (field.held == 0)).sum())
 
 
 def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: Weights | None = None) -> DataFrame:
-    """One row per document: the carried columns and `spans`, array<struct<start,end,kind,added>>,
-    by start, then kind. A narrow pass; the field of a document is built within its row. The result is
+    """One row per document: the carried columns, `spans`, array<struct<start,end,kind,added>>,
+    by start, then kind, and `n_unsettled`, the places left open as their messages did not settle. A narrow pass; the field of a document is built within its row. The result is
     kept as a table, as Arrow batches of kept tables are bounded by bytes: long texts come few at a time."""
     if weights is None:
         likely = docs.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= SAMPLE_CHARS)).select("text", F.xxhash64("text").alias("h"))
@@ -290,20 +299,20 @@ def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), weights: Weights
         sample = likely.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).orderBy("h") if last is not None else likely.limit(0)
         weights = train([r.text for r in sample.collect()])
 
-    @F.pandas_udf("array<struct<start:int,end:int,kind:string,added:boolean>>")
-    def spans(texts: pd.Series) -> pd.Series:
-        def of(text: str | None) -> list[dict]:
+    @F.pandas_udf("spans array<struct<start:int,end:int,kind:string,added:boolean>>, n_unsettled long")
+    def spans(texts: pd.Series) -> pd.DataFrame:
+        def of(text: str | None) -> tuple[list[dict], int]:
             if not text or not MARKED.search(text):
-                return []
+                return [], 0
             base = pattern_spans(text)
-            more = added_spans(text, base, weights)
+            more, n_unsettled = added_spans(text, base, weights)
             found = [(*s, False) for s in base] + [(*s, True) for s in more if s not in base]
             found.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
-            return [dict(zip(("start", "end", "kind", "added"), s, strict=True)) for s in found]
+            return [dict(zip(("start", "end", "kind", "added"), s, strict=True)) for s in found], n_unsettled
 
-        return texts.map(of)
+        return pd.DataFrame([of(text) for text in texts], columns=["spans", "n_unsettled"])
 
-    return kept(docs.select(*carry, spans("text").alias("spans")), "personal-data")
+    return kept(docs.select(*carry, spans("text").alias("_found")).select(*carry, "_found.*"), "personal-data")
 
 
 def joined(spans: str) -> Column:
@@ -320,7 +329,7 @@ def digest(found: DataFrame) -> DataFrame:
 
     counts = [count(k) for k in KINDS]
     return found.withColumn("base", base).select(
-        "doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added")
+        "doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"), "n_unsettled"
     )
 
 
