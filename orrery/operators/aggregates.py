@@ -6,8 +6,6 @@ is how users add their own.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,21 +81,6 @@ def coverage_indexes(tree: CoverTree, below: int) -> DataFrame:
     return tree.paths.join(small, NODE).groupBy(*NODE).agg(F.array_sort(F.collect_list("pid")).alias("pids"))
 
 
-def singular_values(tree: CoverTree, min_points: int, max_points: int, keep: int = 8) -> DataFrame:
-    """scale, center, k, value, axis: singular values and right vectors of the centred points of nodes
-    that cover between min_points and max_points (both excluded)."""
-    sizes = tree.paths.groupBy(*NODE).agg(F.count("*").alias("n")).where((F.col("n") > min_points) & (F.col("n") < max_points)).select(*NODE)
-    rows = covered(tree, "vec").join(sizes, NODE)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(group["vec"].tolist(), np.float64)
-        _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
-        n = min(keep, len(s))
-        return pd.DataFrame({"scale": group["scale"].iloc[0], "center": group["center"].iloc[0], "k": range(n), "value": s[:n], "axis": list(vt[:n])})
-
-    return rows.groupBy(*NODE).applyInPandas(run, "scale int, center long, k int, value double, axis array<double>")
-
-
 def fractal_dims(tree: CoverTree) -> DataFrame:
     """scale, center, fractal_dim, weighted_fractal_dim: log_base of the number of parts a node splits
     into (children, the nested one too, and singletons); weighted, each part counts by its coverage

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ from orrery.sources.tables import settled
 
 #: Nodes whose states a task holds before it hands them on.
 HELD_STATES = 10_000
+#: Numbers of scatter matrices that a task keeps.
+SCATTER_NUMBERS = 8_000_000
 #: Groups in which the states of a node are combined first.
 FIRST_GROUPS = 64
 
@@ -78,13 +81,14 @@ def fold(tree: CoverTree, plugins: list[NodePlugin], columns: list[str] | None =
 class Summary:
     """empty() makes a state; add(state, rows) and combine(state, state) give one; finish(state) gives the
     values of `output`, a schema. The result must not depend on the order of rows or states; states are
-    pickled."""
+    pickled. held: the states that a task keeps before it hands them on."""
 
     empty: Callable[[], Any]
     add: Callable[[Any, pd.DataFrame], Any]
     combine: Callable[[Any, Any], Any]
     finish: Callable[[Any], tuple]
     output: str
+    held: int = HELD_STATES
 
 
 def summarise(rows: DataFrame, by: list[str], summary: Summary) -> DataFrame:
@@ -101,9 +105,9 @@ def summarise(rows: DataFrame, by: list[str], summary: Summary) -> DataFrame:
         for batch in batches:
             for key, part in batch.to_pandas().groupby(by, dropna=False, sort=False):
                 states[key] = summary.add(states[key] if key in states else summary.empty(), part[values])
-            if len(states) > HELD_STATES:
-                yield packed(states)
-                states = {}
+                if len(states) > summary.held:
+                    yield packed(states)
+                    states = {}
         if states:
             yield packed(states)
 
@@ -123,6 +127,33 @@ def summarise(rows: DataFrame, by: list[str], summary: Summary) -> DataFrame:
     return fewer.groupBy(*by).applyInPandas(last, f"{keys}, {summary.output}")
 
 
+def spectrum(dim: int, keep: int) -> Summary:
+    """Singular values and right vectors of centred vectors, from their count, sum and scatter matrix; so the
+    smallest values are good to half the digits of the largest."""
+
+    def add(state: tuple, rows: pd.DataFrame) -> tuple:
+        x = np.array(rows["vec"].tolist(), np.float64)
+        return state[0] + len(x), state[1] + x.sum(axis=0), state[2] + x.T @ x
+
+    def finish(state: tuple) -> tuple:
+        n, total, scatter = state
+        values, axes = np.linalg.eigh(scatter - np.outer(total, total) / n)
+        top = np.argsort(-values)[: min(keep, n, dim)]
+        return n, np.sqrt(np.maximum(values[top], 0.0)).tolist(), axes.T[top].tolist()
+
+    return Summary(lambda: (0, np.zeros(dim), np.zeros((dim, dim))), add, lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True)), finish, "n long, value array<double>, axis array<array<double>>", max(1, SCATTER_NUMBERS // dim**2))
+
+
+def singular_values(tree: CoverTree, min_points: int, keep: int = 8) -> DataFrame:
+    """scale, center, k, value, axis of every node that covers more than min_points points, the root too: scatter
+    matrices are added up, and none of a node's points are gathered."""
+    dim = len(tree.points.select("vec").first().vec)
+    large = tree.paths.groupBy(*NODE).agg(F.count("*").alias("n")).where(F.col("n") > min_points).select(*NODE)
+    rows = covered(replace(tree, paths=tree.paths.join(large, NODE, "left_semi")), "vec").select(*NODE, "vec")
+    found = summarise(rows, NODE, spectrum(dim, keep))
+    return found.select(*NODE, F.posexplode(F.arrays_zip("value", "axis")).alias("k", "s")).select(*NODE, "k", "s.value", "s.axis")
+
+
 def node_summary(tree: CoverTree, columns: list[str], summary: Summary) -> DataFrame:
     """scale, center and the summary of all points under each node; rows have pid and the columns."""
     return summarise(covered(tree, *columns).select(*NODE, "pid", *columns), NODE, summary)

@@ -125,7 +125,7 @@ class CoverTree:
     params: TreeParams
     points: DataFrame
     paths: DataFrame
-    laid: dict = field(default_factory=dict, repr=False, compare=False)
+    laid: dict = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def kept(self, name: str, make: Callable):
         """What `make` gives, made once for this tree."""

@@ -272,7 +272,7 @@ def coverage_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregates.singular_values(_tree(spark, sf_dir), 10, 400)
+    return plugins.singular_values(_tree(spark, sf_dir), 10)
 
 
 def tree_sample(spark: SparkSession, sf_dir: str) -> DataFrame:

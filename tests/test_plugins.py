@@ -67,3 +67,18 @@ def test_summaries(spark, tree, monkeypatch):
     want = {n: finish(add({}, {"label": [labels[p] for p in pids]})) for n, pids in under(tree).items()}
     for found in (plugins.node_summary(tree, ["label"], most), plugins.summarise(tree.paths.join(tree.points.select("pid", "label"), "pid").select("scale", "center", "label").repartition(7), ["scale", "center"], most)):
         assert {(r.scale, r.center): (r.n, r.labels) for r in found.collect()} == want
+
+
+def test_singular_values(spark, tree):
+    """Of all nodes over a size, the root too, as numpy finds them; axes up to their sign."""
+    vecs = {r.pid: np.array(r.vec, np.float64) for r in tree.points.collect()}
+    own = {n: np.array([vecs[p] for p in pids]) for n, pids in under(tree).items() if len(pids) > 6}
+    got = defaultdict(dict)
+    for r in plugins.singular_values(tree, 6).collect():
+        got[r.scale, r.center][r.k] = r
+    assert got.keys() == own.keys() and max(map(len, own.values())) == len(vecs)
+    for n, x in own.items():
+        _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+        for k in range(2):
+            assert got[n][k].value == pytest.approx(s[k], rel=1e-6, abs=1e-6)
+        assert abs(np.dot(got[n][0].axis, vt[0])) == pytest.approx(1.0, abs=1e-6)

@@ -259,9 +259,6 @@ def test_aggregates(spark, rows, tree):
         rests = [p for p in under[r.scale, r.center] if own[p][-1][:2] == (r.scale, r.center) and p != r.center]
         n = len([k for k in parts if k]) + len(rests)
         assert r.fractal_dim == pytest.approx(np.log(n) / np.log(1.5) if n else 0.0)
-    for r in aggregates.singular_values(tree, 20, 100).where("k = 0").collect():
-        x = rows[under[r.scale, r.center]].astype(float)
-        assert r.value == pytest.approx(np.linalg.svd(x - x.mean(axis=0))[1][0], rel=1e-5)
     drawn = aggregates.sample(tree, 25, seed=3).collect()
     rest = {w[-1][:2] for w in own.values()}
     assert len(drawn) == 25 and all((r.scale, r.center) in rest and len(r.vec) == 2 for r in drawn)
