@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.metrics import densify
+from orrery.sources.raw import read_raw
 from orrery.sources.tables import settled
 
 
@@ -45,19 +46,6 @@ def from_flat(spark: SparkSession, data: Sequence[float], dim: int, labels: Sequ
     return from_rows(spark, [data[i : i + dim] for i in range(0, len(data), dim)], labels)
 
 
-def read_raw(spark: SparkSession, paths: str | list[str], dim: int) -> DataFrame:
-    """pid, vec of raw little-endian float32 files, read in fixed records, so that one file is read by
-    many tasks. pid is the position, files in the order given."""
-    out = None
-    for path in [paths] if isinstance(paths, str) else paths:
-        records = spark.sparkContext.binaryRecords(path, 4 * dim).zipWithIndex()
-        rows = records.map(lambda r: (r[1], np.frombuffer(bytes(r[0]), "<f4").tolist())).toDF("pid long, vec array<float>")
-        out = rows if out is None else glue(out, rows)
-    if out is None:
-        raise ValueError("no files")
-    return out
-
-
 def read_labels(spark: SparkSession, path: str, column: int, min_valid: int = 1) -> DataFrame:
     """pid, label of a CSV file (.gz too) with a header; the column by position. Missing or unreadable
     fields, and labels under min_valid, are null. pid is the line's position: lines are counted by the

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orrery.functions import metrics
 from orrery.operators.knn import assign, first_cover, knn, within
 from orrery.sources import points as src
+from orrery.sources import raw
 
 
 def test_metrics_agree(spark):
@@ -110,6 +111,32 @@ def test_raw_files_and_yaml(spark, tmp_path):
     assert two.count() == 6 and sorted(r.pid for r in two.collect()) == list(range(6))
 
 
+def test_raw_source(spark, tmp_path):
+    """Byte ranges, folders, appended and replaced clouds."""
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(1000, 7)).astype("<f4")
+    cloud = src.from_rows(spark, data.tolist()).repartition(5)
+    where = str(tmp_path / "cloud")
+    raw.write_raw(cloud, where, 7)
+    back = raw.read_raw(spark, where, 7, task_bytes=7 * 4 * 64)
+    assert back.rdd.getNumPartitions() > 10
+    rows = back.orderBy("pid").collect()
+    assert [r.pid for r in rows] == list(range(1000)) and np.array_equal(np.array([r.vec for r in rows], "<f4"), data)
+    raw.write_raw(cloud.where("pid < 10"), where, 7, append=True)
+    (tmp_path / "cloud" / "part-stray.f32").write_bytes(b"123")  # left behind by a lost task
+    assert [r.vec for r in raw.read_raw(spark, where, 7).where("pid >= 1000").orderBy("pid").collect()] == data[:10].tolist()
+    raw.write_raw(cloud.where("pid >= 990"), where, 7)
+    assert [r.vec for r in raw.read_raw(spark, [where, where], 7).orderBy("pid").collect()] == data[990:].tolist() * 2
+    raw.write_raw(cloud.limit(0), where, 7)
+    assert raw.read_raw(spark, where, 7).count() == 0
+    with pytest.raises(Exception, match="whole number"):
+        data.tofile(tmp_path / "odd.dat")
+        raw.read_raw(spark, str(tmp_path / "odd.dat"), 3).count()
+    with pytest.raises(Exception, match="components"):
+        raw.write_raw(cloud, where, 6)
+    assert raw.read_raw(spark, where, 7).count() == 0
+
+
 def test_reindex_and_checks(spark):
     cloud = src.from_flat(spark, [0.0, 1.0], 1)
     full = spark.createDataFrame([(0, 10), (1, 11)], "old long, new long")
