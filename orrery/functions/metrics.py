@@ -143,6 +143,24 @@ def sparse_l1(ai: Column, av: Column, bi: Column, bv: Column) -> Column:
     return total(F.map_values(F.map_zip_with(a, b, lambda _, x, y: F.abs(F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0))))))
 
 
+def sparse_l1_sqrt(ai: Column, av: Column, bi: Column, bv: Column) -> Column:
+    return F.sqrt(sparse_l1(ai, av, bi, bv))
+
+
+def sparse_dot(ai: Column, av: Column, bi: Column, bv: Column) -> Column:
+    a, b = F.map_from_arrays(ai, doubles(av)), F.map_from_arrays(bi, doubles(bv))
+    return total(F.map_values(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x * y, F.lit(0.0)))))
+
+
+def sparse_cosine_distance(ai: Column, av: Column, bi: Column, bv: Column) -> Column:
+    return F.lit(1.0) - sparse_dot(ai, av, bi, bv) / F.greatest(F.sqrt(sq_norm(av)) * F.sqrt(sq_norm(bv)), F.lit(COSINE_FLOOR))
+
+
+#: Distances of sparse vectors by name, as columns of index and value arrays. Norms of sparse vectors are
+#: sq_norm and l1_norm of their values.
+SPARSE = {"l2": sparse_l2, "l1": sparse_l1, "l1_sqrt": sparse_l1_sqrt, "cosine": sparse_cosine_distance}
+
+
 def densify(dim: Column | int, index: Column, value: Column) -> Column:
     """The whole vector of `dim` entries of a sparse one."""
     n = F.lit(dim) if isinstance(dim, int) else dim

@@ -7,7 +7,7 @@ batch; the last choice is a window over them. Ties go to the smaller pid.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,6 +40,12 @@ def query_blocks(queries: DataFrame, block: int = QUERY_BLOCK, *extra: str) -> I
 def best_of(metric: str, qids: np.ndarray, q: np.ndarray, pids: np.ndarray, vecs: np.ndarray, k: int, radius: float | None = None) -> pa.RecordBatch:
     """qid, pid, dist: of the points of a batch each query's k best, or all within a radius."""
     near, loose = metrics.pairwise(metric, q, vecs), 2 * metrics.slack(q, vecs)
+    return chosen_of(near, loose, lambda i, rows: metrics.rows_to_point(metric, vecs[rows], q[i]), qids, pids, k, radius)
+
+
+def chosen_of(near: np.ndarray, loose: float, measure: Callable[[int, np.ndarray], np.ndarray], qids: np.ndarray, pids: np.ndarray, k: int, radius: float | None) -> pa.RecordBatch:
+    """What best_of gives, of near distances (queries x points, off by at most half of `loose`) and a
+    function that measures a query's distance to some points."""
     if radius is not None:
         a, b = np.nonzero(near <= radius + loose)
     else:
@@ -50,9 +56,8 @@ def best_of(metric: str, qids: np.ndarray, q: np.ndarray, pids: np.ndarray, vecs
     exact = np.empty(len(a))
     ends = np.searchsorted(a, np.arange(len(qids) + 1))
     for i in range(len(qids)):
-        here = slice(ends[i], ends[i + 1])
         if ends[i + 1] > ends[i]:
-            exact[here] = metrics.rows_to_point(metric, vecs[b[here]], q[i])
+            exact[ends[i] : ends[i + 1]] = measure(i, b[ends[i] : ends[i + 1]])
     if radius is None:
         order = np.lexsort((pids[b], exact, a))
         first = (np.arange(len(a)) - ends[a[order]]) < k

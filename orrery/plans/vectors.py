@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ from pyspark.sql import functions as F
 from orrery.functions import metrics
 from orrery.operators.cells import knn_join
 from orrery.operators.knn import assign, first_cover, knn, layer_best, within
+from orrery.operators.sparse import sparse_assign, sparse_knn
 from orrery.operators.tree import CoverTree, TreeParams, build, root_of
 from orrery.operators.walk import center_knn, tree_knn
+from orrery.sources.raw import read_raw, write_raw
+from orrery.sources.tables import shared_dir
 
 #: The stated query set: every vector whose id divides by it.
 EVERY = 20
@@ -28,6 +32,9 @@ SQL_DISTANCE = {
     "cosine": "1 - list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2])) / greatest(sqrt(list_sum(list_transform({a}, lambda x: x * x))) * sqrt(list_sum(list_transform({b}, lambda x: x * x))), 1e-5)",
 }
 SQL_POINTS = "p AS (SELECT vec_id pid, CAST(embedding AS DOUBLE[]) v, label FROM embeddings)"
+#: Sparse clouds keep the components of more than this size.
+SPARSE_OVER = 0.2
+SQL_SPARSE = f"p AS (SELECT vec_id pid, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CASE WHEN abs(x) > {SPARSE_OVER} THEN x ELSE 0.0 END) v, label FROM embeddings)"
 SQL_QUERIES = f"q AS (SELECT pid qid, v FROM p WHERE pid % {EVERY} = 0)"
 
 
@@ -158,12 +165,45 @@ def layer_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "layer", F.col("rk").cast("long").alias("rk"), F.col("pid").alias("nid"), F.round("dist", 6).alias("dist"))
 
 
-QUERIES = {f"knn_{m}": _knn_query(m) for m in METRICS} | {
+def sparse_points(cloud: DataFrame) -> DataFrame:
+    """pid, idx, val: the entries above SPARSE_OVER in size."""
+    x = metrics.doubles(F.col("vec"))
+    places = F.filter(F.transform(x, lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda e: F.abs(e["v"]) > SPARSE_OVER)
+    return cloud.where("vec is not null").select("pid", places.alias("e")).select("pid", F.col("e.i").alias("idx"), F.col("e.v").alias("val"))
+
+
+@cache
+def _sparse_query(metric: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cloud = sparse_points(points(spark, sf_dir))
+        return shown(sparse_knn(cloud, cloud.where(F.col("pid") % EVERY == 0).withColumnRenamed("pid", "qid"), 5, metric))
+
+    return query
+
+
+def sparse_assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cloud = sparse_points(points(spark, sf_dir))
+    return sparse_assign(cloud, cloud.where(F.col("pid") < PIVOTS).withColumnRenamed("pid", "cid")).select("pid", "center", F.round("dist", 6).alias("dist"))
+
+
+def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors written as raw files and read again: pid is now the place in the order of ids."""
+    cloud = points(spark, sf_dir).where("vec is not null")
+    where = f"{shared_dir(spark)}/orrery/raw-{uuid.uuid4().hex}"
+    dim = cloud.select(F.size("vec")).first()
+    write_raw(cloud, where, dim[0] if dim else 1)
+    x = metrics.doubles(F.col("vec"))
+    return read_raw(spark, where, dim[0] if dim else 1).select("pid", F.size("vec").cast("long").alias("dim"), x[0].alias("first_x"), F.round(metrics.sq_norm(x), 6).alias("sq_norm"))
+
+
+QUERIES = {f"sparse_knn_{m}": _sparse_query(m) for m in metrics.SPARSE} | {f"knn_{m}": _knn_query(m) for m in METRICS} | {
     f.__name__: f
-    for f in (tree_knn_l2, knn_join_l2, center_knn_l2, range_query, pairwise_min_distance, adjacency_topn, root_stats, pivot_assign_nearest, pivot_assign_first, center_knn_pivots, layer_topk)
+    for f in (tree_knn_l2, knn_join_l2, center_knn_l2, range_query, pairwise_min_distance, adjacency_topn, root_stats, pivot_assign_nearest, pivot_assign_first, center_knn_pivots, layer_topk, sparse_assign_nearest, raw_round_trip)
 }
 
-SQL = {f"knn_{m}": knn_sql(m) for m in METRICS} | {
+SQL = {f"knn_{m}": knn_sql(m) for m in METRICS} | {f"sparse_knn_{m}": knn_sql(m).replace(SQL_POINTS, SQL_SPARSE) for m in metrics.SPARSE} | {
+    "sparse_assign_nearest": f"WITH {SQL_SPARSE}, {sql_assigned()} SELECT pid, center, round(dist, 6) dist FROM a",
+    "raw_round_trip": f"WITH {SQL_POINTS} SELECT row_number() OVER (ORDER BY pid) - 1 pid, len(v) dim, v[1] first_x, round(list_sum(list_transform(v, lambda x: x * x)), 6) sq_norm FROM p WHERE v IS NOT NULL",
     "tree_knn_l2": knn_sql("l2"),
     "knn_join_l2": knn_sql("l2", 4).replace(SQL_QUERIES, "q AS (SELECT pid qid, v FROM p)"),
     "range_query": f"WITH {SQL_POINTS}, {SQL_QUERIES} SELECT qid, pid nid, round({sql_distance('l2')}, 6) dist FROM q, p WHERE {sql_distance('l2')} < 1.1",
