@@ -6,29 +6,37 @@ rests. Nodes, edges, resting places and all aggregates are groupings of it.
 A node (scale s, center c) holds points closer than base ** s to c. Its split draws uncovered points
 as centers until everything is covered. The draw follows one hash order of the points, so a tree
 depends on the points and the seed alone. Nodes of more than `group_points` points are split by Spark
-(a bounded batch of centers a round, all points measured in parallel); smaller ones are finished,
-subtree and all, in one task each. Both give the same tree.
+(centers from a growing beginning of the order each round, all points measured in parallel); smaller
+ones are finished, subtree and all, in one task each. Both give the same tree.
 """
 
 from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from orrery.functions import metrics
+from orrery.operators.knn import matrix
 from orrery.sources.tables import forget, settled
 
-#: Centers drawn for a large node in the first round; each round draws twice as many, up to the last.
-FIRST_BATCH, LAST_BATCH = 32, 512
-#: Numbers that a broadcast table of nodes or centers may hold.
-BROADCAST_NUMBERS = 4_000_000
+#: Points of a large node from which the first round draws its centers, about; each round takes GROWTH times
+#: as many, up to PREFIX_NUMBERS numbers (or LAST_BATCH points).
+FIRST_BATCH, GROWTH, PREFIX_NUMBERS = 1024, 8, 2_000_000
+#: Centers that points are measured against at a time.
+LAST_BATCH = 512
+#: Numbers that a broadcast table of nodes or centers may hold; beyond, a node's points are dealt into parts,
+#: which meet its centers in blocks of so many numbers, and lines about nodes are copied so many times.
+BROADCAST_NUMBERS, PART_POINTS, BLOCK_NUMBERS, COPIES = 4_000_000, 4096, 4_000_000, 64
 PATH = "array<struct<scale:int,center:bigint,dist:double>>"
 
 
@@ -228,7 +236,7 @@ def build(points: DataFrame, params: TreeParams | None = None) -> CoverTree:
     while True:
         sizes = front.groupBy("scale", "center").agg(F.count("*").alias("n"), F.max("dist").alias("radius"))
         sizes = settled(sizes.where(F.col("n") > params.group_points), "large-sizes")
-        front = front.join(bounded(sizes, 4), ["scale", "center"], "left")
+        front = with_facts(front, sizes, ["scale", "center"], "left")
         done.append(finished(front.where("n is null"), params))
         large = front.where("n is not null")
         leaf = (F.col("n") <= params.leaf_cutoff) | (F.col("scale") < params.min_res_index)
@@ -245,13 +253,6 @@ def build(points: DataFrame, params: TreeParams | None = None) -> CoverTree:
     return CoverTree(params, points, settled(paths, "paths"))
 
 
-def bounded(rows: DataFrame, numbers: int) -> DataFrame:
-    """A settled table marked for broadcast if its rows, of so many numbers each, are few enough. Large
-    nodes are at most one for group_points points; the root alone has them all, and is not shuffled by
-    its name."""
-    return F.broadcast(rows) if rows.count() * numbers <= BROADCAST_NUMBERS else rows
-
-
 def finished(front: DataFrame, params: TreeParams) -> DataFrame:
     """pid, path of the points of nodes that a task can hold."""
 
@@ -268,62 +269,148 @@ def finished(front: DataFrame, params: TreeParams) -> DataFrame:
     return front.select(*columns).groupBy("scale", "center").applyInPandas(run, f"pid long, path {PATH}")
 
 
-def split_large(rows: DataFrame, params: TreeParams) -> tuple[DataFrame, DataFrame]:
-    """The next level's rows, and (pid, path) of the points that rest here. Each round draws the
-    first uncovered points of every node in hash order; those that an earlier one of them covers are
-    no centers, as if drawn one by one, so batches of any size give the same tree."""
-    nearest, base = params.partition_type == "nearest", F.lit(params.scale_base)
-    tight = F.when(F.col("radius") > 0, F.ceil(F.log(F.col("radius")) / math.log(params.scale_base)).cast("int")).otherwise(params.min_res_index)
-    state = rows.withColumn("below", F.least(F.col("scale") - 1, F.greatest(tight, F.lit(params.min_res_index))))
-    state = state.withColumns({"reach": F.pow(base, F.col("below")), "covered": F.lit(False), "best": F.lit(None).cast("struct<dist:double,ord:bigint,cid:bigint>")})
-    state = settled(state.withColumn("covered", F.col("dist") < F.col("reach")), "split")
+def bounded(rows: DataFrame, numbers: int) -> DataFrame:
+    """A settled table marked for broadcast if its rows, of so many numbers each, are few enough."""
+    return F.broadcast(rows) if rows.count() * numbers <= BROADCAST_NUMBERS else rows
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows (with pid) joined with a settled table of one line a key: sent out if it is small enough. Beyond,
+    lines are copied and rows dealt out, as one key may have most of the rows."""
+    if facts.count() * 4 <= BROADCAST_NUMBERS:
+        return rows.join(F.broadcast(facts), keys, how)
+    copies = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))))
+    return rows.withColumn("_salt", F.pmod(F.hash("pid"), F.lit(COPIES))).join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def claimed(params: TreeParams, first: bool, pids: np.ndarray, rows: np.ndarray, reach: float, cids: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each point the place of its center among `centers`, which stand in hash order, and the distance: the
+    first within reach, or else the nearest. -1 and infinity where there is none."""
+    owner, best = np.full(len(pids), -1), np.full(len(pids), np.inf)
+    for a in range(0, len(cids), LAST_BATCH):
+        some = centers[a : a + LAST_BATCH]
+        near, loose = metrics.pairwise(params.metric, some, rows), 2 * metrics.slack(some, rows)
+        own = cids[a : a + LAST_BATCH, None] == pids[None, :]
+        likely = own | ((near < reach + loose) & (owner < 0) if first else near <= np.minimum(near.min(axis=0), best) + loose)
+        for i in np.flatnonzero(likely.any(axis=1)):
+            spots = np.flatnonzero(likely[i])
+            d = metrics.rows_to_point(params.metric, rows[spots], some[i])
+            d[own[i, spots]] = 0.0
+            takes = (owner[spots] < 0) & (d < reach) if first else d < best[spots]
+            owner[spots[takes]], best[spots[takes]] = a + i, d[takes]
+    return owner, best
+
+
+def claims(state: DataFrame, drawn: DataFrame, params: TreeParams, first: bool, width: int) -> DataFrame:
+    """state (pid, vec, scale, center, n, reach, ...) with cid and cdist: the drawn center of its node that has
+    each point, or null. Centers (scale, center, n, cid, ord, cvec) are sent out if they are few enough, and no
+    point moves. Beyond, each node's points are dealt into parts, which meet its centers block by block."""
+    total = drawn.count()
+    if total * (3 + width) <= BROADCAST_NUMBERS:
+        sets: dict[tuple[int, int], list] = {}
+        for r in drawn.orderBy("ord", "cid").collect():  # counted above
+            sets.setdefault((r.scale, r.center), []).append((r.cid, r.cvec))
+        held = {node: (np.array([c for c, _ in own], np.int64), np.array([v for _, v in own], np.float64)) for node, own in sets.items()}
+        sent = state.sparkSession.sparkContext.broadcast(held)
+        places, names = [state.columns.index(c) for c in ("pid", "vec", "scale", "center", "reach")], [*state.columns, "cid", "cdist"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for i in range(0, whole.num_rows, PART_POINTS):
+                    batch = whole.slice(i, PART_POINTS)
+                    pids, vecs, scale, center, reach = (batch.column(at) for at in places)
+                    pids, scale, center, reach = (c.to_numpy(zero_copy_only=False) for c in (pids, scale, center, reach))
+                    rows, cid, cdist = matrix(vecs), np.full(len(pids), -1, np.int64), np.full(len(pids), np.inf)
+                    for node in set(zip(scale.tolist(), center.tolist(), strict=True)) & sent.value.keys():
+                        here = np.flatnonzero((scale == node[0]) & (center == node[1]))
+                        cids, cvecs = sent.value[node]
+                        owner, best = claimed(params, first, pids[here], rows[here], float(reach[here[0]]), cids, cvecs)
+                        cid[here], cdist[here] = np.where(owner < 0, -1, cids[owner]), best
+                    none = ~np.isfinite(cdist)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cid, mask=none), pa.array(cdist, mask=none)], names=names)
+
+        return state.mapInArrow(run, StructType([*state.schema.fields, StructField("cid", LongType()), StructField("cdist", DoubleType())]))
+
+    most = drawn.groupBy("scale", "center").count().agg(F.max("count")).first()[0]
+    blocks = -(-most * (3 + width) // BLOCK_NUMBERS)
+    parts, keys = F.ceil(F.col("n") / PART_POINTS), ["scale", "center", "part", "block"]
+    points = state.withColumns({"part": F.pmod(F.xxhash64("pid"), parts), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))}).select("pid", "vec", "reach", *keys)
+    dealt = drawn.withColumns({"part": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)), "block": F.pmod(F.hash("cid"), F.lit(blocks))})
+
+    def meet(here: pa.Table, centers: pa.Table) -> pa.Table:
+        names = ["pid", "cdist", "ord", "cid"]
+        if not here.num_rows or not centers.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.float64(), pa.int64(), pa.int64())], names)
+        centers = centers.sort_by([("ord", "ascending"), ("cid", "ascending")])
+        pids, cids, order = here.column("pid").to_numpy(), centers.column("cid").to_numpy(), centers.column("ord").to_numpy()
+        rows, cvecs = (matrix(t.combine_chunks()) for t in (here.column("vec"), centers.column("cvec")))
+        owner, best = claimed(params, first, pids, rows, float(here.column("reach")[0].as_py()), cids, cvecs)
+        has = owner >= 0
+        return pa.table([pids[has], best[has], order[owner[has]], cids[owner[has]]], names)
+
+    found = points.groupBy(*keys).cogroup(dealt.select("cid", "ord", "cvec", *keys).groupBy(*keys)).applyInArrow(meet, "pid long, cdist double, ord long, cid long")
+    choice = F.min(F.struct("ord", "cid", "cdist") if first else F.struct("cdist", "ord", "cid")).alias("c")
+    return state.join(found.groupBy("pid").agg(choice).select("pid", "c.cid", "c.cdist"), "pid", "left").select(*state.columns, "cid", "cdist")
+
+
+def drawn_centers(open_points: DataFrame, params: TreeParams, width: int) -> DataFrame:
+    """scale, center, n, cid, ord, cvec: the centers of every large node. open_points: pid, vec, ord, scale,
+    center, n, reach of the points that the node's own center leaves uncovered.
+
+    In hash order a point is a center if no center before covers it. The first uncovered points of a node,
+    whatever their number, tell its next centers by themselves. As the order is a hash, the points under a
+    threshold are such a beginning: about `size` of them, with no sorting. Each round thins the beginnings,
+    one task a node, and only points that are still uncovered are kept for the next."""
 
     def draw(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["ord", "pid"])
         vecs, reach = np.array(batch["vec"].tolist(), np.float64), float(batch["reach"].iloc[0])
-        free, picked = np.ones(len(batch), bool), []
-        for i in range(len(batch)):
-            if free[i]:
-                picked.append(i)
-                free &= ~(metrics.rows_to_point(params.metric, vecs, vecs[i]) < reach)
-        return batch.iloc[picked][["scale", "center", "pid", "ord", "vec"]].rename(columns={"pid": "cid", "vec": "cvec"})
-
-    measure = metrics.COLUMNS[params.metric]
-    size, width = FIRST_BATCH, state.select(F.size("vec")).first()[0]
+        left, picked = np.arange(len(batch)), []
+        while len(left):
+            picked.append(left[0])
+            left = left[1:][~(metrics.rows_to_point(params.metric, vecs[left[1:]], vecs[left[0]]) < reach)]
+        return batch.iloc[picked][["scale", "center", "n", "pid", "ord", "vec"]].rename(columns={"pid": "cid", "vec": "cvec"})
+
+    columns, node = ["pid", "vec", "ord", "scale", "center", "n", "reach"], ["scale", "center"]
+    uncovered, rounds = settled(open_points.select(*columns), "uncovered"), []
+    size, most = FIRST_BATCH, max(LAST_BATCH, PREFIX_NUMBERS // width)
     while True:
-        first = Window.partitionBy("scale", "center").orderBy("ord", "pid")
-        batch = state.where(~F.col("covered")).withColumn("r", F.row_number().over(first)).where(F.col("r") <= size)
-        size = min(2 * size, LAST_BATCH)
-        drawn = batch.select("scale", "center", "pid", "ord", "vec", "reach").groupBy("scale", "center").applyInPandas(draw, "scale int, center long, cid long, ord long, cvec array<double>")
-        drawn = settled(drawn, "centers")
-        if drawn.isEmpty():
+        left = settled(uncovered.groupBy(*node).agg(F.count("*").alias("left"), F.min("ord").alias("least")), "left")
+        if left.isEmpty():
             break
-        sets = settled(drawn.groupBy("scale", "center").agg(F.collect_list(F.struct("ord", "cid", "cvec")).alias("drawn")), "center-sets")
-        seen = state.join(bounded(sets, LAST_BATCH * (2 + width)), ["scale", "center"], "left")
+        share = F.least(F.lit(1.0), F.lit(float(size)) / F.col("left"))
+        upto = F.col("least").cast("double") + (F.lit(2.0**63) - F.col("least").cast("double")) * share
+        head = with_facts(uncovered, left, node).where((F.col("ord").cast("double") <= upto) | (F.col("ord") == F.col("least")))
+        drawn = settled(head.select(*columns).groupBy(*node).applyInPandas(draw, "scale int, center long, n long, cid long, ord long, cvec array<double>"), "centers")
+        rounds.append(drawn)
+        before, uncovered = uncovered, settled(claims(uncovered, drawn, params, True, width).where("cid is null").select(*columns), "uncovered")
+        forget(before, left)
+        size = min(GROWTH * size, most)
+    forget(uncovered, left)
+    if not rounds:
+        return settled(uncovered.limit(0).select("scale", "center", "n", F.col("pid").alias("cid"), "ord", F.col("vec").alias("cvec")), "centers")
+    return reduce(DataFrame.unionByName, rounds)
 
-        def distance(c: Column) -> Column:
-            return F.when(c["cid"] == F.col("pid"), 0.0).otherwise(measure(F.col("vec"), c["cvec"]))
 
-        found = F.transform(F.coalesce("drawn", F.array().cast("array<struct<ord:bigint,cid:bigint,cvec:array<double>>>")), lambda c: F.struct(distance(c).alias("dist"), c["ord"].alias("ord"), c["cid"].alias("cid")))
-        seen = seen.withColumn("found", found)
-        covers = F.exists("found", lambda c: c["dist"] < F.col("reach"))
-        if nearest:
-            best = F.least("best", F.array_min("found"))
-        else:
-            by_draw = F.transform(F.filter("found", lambda c: c["dist"] < F.col("reach")), lambda c: F.struct(c["ord"].alias("ord"), c["cid"].alias("cid"), c["dist"].alias("dist")))
-            earliest = F.array_min(by_draw)
-            best = F.when(F.col("covered"), F.col("best")).otherwise(F.when(earliest.isNotNull(), F.struct(earliest["dist"].alias("dist"), earliest["ord"].alias("ord"), earliest["cid"].alias("cid"))))
-        before, state = state, settled(seen.withColumn("best", best).withColumn("covered", F.col("covered") | covers).drop("drawn", "found"), "split")
-        forget(before, drawn, sets)
-
-    nested = F.col("best").isNull() | ((F.col("dist") < F.col("best.dist")) if nearest else (F.col("dist") < F.col("reach")))
-    state = state.withColumns({"child": F.when(nested, F.col("center")).otherwise(F.col("best.cid")), "child_dist": F.when(nested, F.col("dist")).otherwise(F.col("best.dist"))})
+def split_large(rows: DataFrame, params: TreeParams) -> tuple[DataFrame, DataFrame]:
+    """The next level's rows, and (pid, path) of the points that rest here: centers first, then one pass in
+    which every point finds the one it goes to. Vectors and paths are written once a level."""
+    nearest, base = params.partition_type == "nearest", F.lit(params.scale_base)
+    tight = F.when(F.col("radius") > 0, F.ceil(F.log(F.col("radius")) / math.log(params.scale_base)).cast("int")).otherwise(params.min_res_index)
+    state = rows.withColumn("below", F.least(F.col("scale") - 1, F.greatest(tight, F.lit(params.min_res_index))))
+    state = state.withColumn("reach", F.pow(base, F.col("below")))
+    width = state.select(F.size("vec")).first()[0]
+    drawn = drawn_centers(state.where(F.col("dist") >= F.col("reach")), params, width)
+    state = settled(claims(state, drawn, params, not nearest, width), "split")
+
+    nested = F.col("cid").isNull() | (F.col("dist") < (F.col("cdist") if nearest else F.col("reach")))
+    state = state.withColumns({"child": F.when(nested, F.col("center")).otherwise(F.col("cid")), "child_dist": F.when(nested, F.col("dist")).otherwise(F.col("cdist"))})
     kids = state.groupBy("scale", "center", "child").agg(F.count("*").alias("size")).withColumn("own", F.col("child") == F.col("center"))
     kids = kids.withColumn("keep", F.col("own") | (F.col("size") > 1) | F.lit(not params.use_singletons))
     by = Window.partitionBy("scale", "center")
     only = (F.sum(F.col("keep").cast("int")).over(by) == 1) & (F.max(F.when(F.col("own"), F.col("size"))).over(by) == 1)
     kids = settled(kids.withColumn("keep", F.col("keep") & ~only).select("scale", "center", "child", "keep"), "kids")
-    state = state.join(bounded(kids, 4), ["scale", "center", "child"])
+    state = with_facts(state, kids, ["scale", "center", "child"])
     step = F.struct(F.col("below").alias("scale"), F.col("child").alias("center"), F.col("child_dist").alias("dist"))
     deeper = state.where("keep").select("pid", "vec", "ord", F.col("below").alias("scale"), F.col("child").alias("center"), F.col("child_dist").alias("dist"), F.concat("path", F.array(step)).cast(PATH).alias("path"))
     return settled(deeper, "front"), state.where(~F.col("keep")).select("pid", "path")

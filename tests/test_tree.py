@@ -1,6 +1,7 @@
 """Cover trees against their definition, point by point."""
 
 from collections import defaultdict
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import metrics
 from orrery.operators import aggregates, cells, walk
+from orrery.operators import tree as tree_module
 from orrery.operators.knn import assign, knn, layer_best
 from orrery.operators.tree import CoverTree, TreeParams, build, hash_order, violations
 from orrery.sources.points import from_rows
@@ -96,6 +98,23 @@ def test_split_tree_is_sound(spark, small):
     assert same[0] == same[1]
 
 
+@pytest.mark.parametrize("kind", ["first", "nearest"])
+@pytest.mark.parametrize("sent", [4_000_000, 0])
+def test_split_in_rounds(spark, monkeypatch, kind, sent):
+    """Short beginnings, and points dealt into parts that meet blocks of centers, give the same tree; the
+    rounds grow with the logarithm of the centers."""
+    made = []
+    monkeypatch.setattr(tree_module, "settled", lambda df, name, real=tree_module.settled: made.append(name) or real(df, name))
+    for name, value in {"FIRST_BATCH": 8, "BROADCAST_NUMBERS": sent, "PART_POINTS": 50, "BLOCK_NUMBERS": 60, "LAST_BATCH": 16, "COPIES": 4}.items():
+        monkeypatch.setattr(tree_module, name, value)
+    params = TreeParams(partition_type=kind, scale_base=4.0, leaf_cutoff=30)
+    points = cloud(spark, clusters(21, 400, dim=3, spread=2.0))
+    split = build(points, replace(params, group_points=150))
+    whole = build(points, params)
+    assert {p: [x[:2] for x in w] for p, w in ways(split).items()} == {p: [x[:2] for x in w] for p, w in ways(whole).items()}
+    assert 1 < made.count("centers") <= 4 * made.count("split")
+
+
 def test_neighbours(spark, rows, tree):
     queries = clusters(12, 15, dim=2, spread=0.3)
     far = np.linalg.norm(queries[:, None, :].astype(float) - rows[None, :, :].astype(float), axis=2)
