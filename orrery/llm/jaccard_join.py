@@ -471,8 +471,8 @@ def join(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, thresho
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """docs with one row of each class: that of the smallest id, null last, ties by text. Wordless
-    documents stay."""
+    """docs with one row of each class: that of the smallest id, null last, ties by text, then by a hash of
+    the whole row, so that reruns agree. Wordless documents stay."""
     found, total = classes(docs, words, fold, threshold)
     packed = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(packed, F.xxhash64(empty_text()).alias("id"), F.xxhash64("doc_id").alias("spread"))
@@ -480,4 +480,5 @@ def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, thr
     alone = F.col("n_shingles") == 0
     stays = alone | ((F.col("first.id") == F.col("id")) & F.col("first.doc_id").eqNullSafe(F.col("row.doc_id")))
     some = judged.where(stays).select("row", "id", alone.alias("alone"))
-    return some.where("not alone").dropDuplicates(["id"]).unionByName(some.where("alone")).select("row.*")
+    one = some.where("not alone").groupBy("id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return one.select("row").unionByName(some.where("alone").select("row")).select("row.*")

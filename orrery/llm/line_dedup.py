@@ -1,6 +1,6 @@
 """Line deduplication within one edit, by a deletion-neighbourhood join.
 
-A line goes when an earlier line is equal to it, or, from MIN_CHARS characters on, within one edit of
+A line goes when an earlier line is equal to it, or, from `min_chars` characters on, within one edit of
 it. Earliest means the smallest document id (null last), then the place in the document.
 
 Equal lines collapse first, so what follows sees each distinct line once. Two lines within an edit
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import doc_key, empty_text, kept, met, small_or_not
 
-#: Lines of fewer characters are only compared for equality: they are single words mostly, which one
-#: edit turns into other words ("A.", "An.").
+#: Unless the caller says otherwise, lines of fewer characters are only compared for equality: they are
+#: single words mostly, which one edit turns into other words ("A.", "An."). With 1 there is no floor.
 MIN_CHARS = 12
 #: Rows of one or two hashes that may be sent to every executor; beyond, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -63,10 +63,10 @@ def halves() -> Column:
     return F.array(*of(n), *of(n - 1))
 
 
-def distinct_lines(rows: DataFrame) -> DataFrame:
+def distinct_lines(rows: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """h1, h2, place of the earliest occurrence, its number of occurrences, and the half hashes."""
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "line_no")
-    shares = F.when(F.length("line") >= MIN_CHARS, halves())
+    shares = F.when(F.length("line") >= min_chars, halves())
     each = rows.select("h1", "h2", place.alias("place"), *[F.get(shares, F.lit(i)).alias(f"s{i}") for i in range(4)])
     firsts = [F.first(f"s{i}").alias(f"s{i}") for i in range(4)]
     return each.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"), *firsts)
@@ -133,13 +133,13 @@ def near_pairs(texts: DataFrame) -> DataFrame:
     return checked.where(F.levenshtein("line", "early", 1).between(0, 1)).select("h1", "h2", "e1", "e2")
 
 
-def drops(docs: DataFrame) -> DataFrame:
+def drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """k1, k2, exact, near: numbers of the lines that go because an earlier line is equal, or else
     within an edit; documents that lose no line have no row."""
     rows = lines(docs)
-    distinct = kept(distinct_lines(rows), "distinct-lines")
+    distinct = kept(distinct_lines(rows, min_chars), "distinct-lines")
     company = kept(with_company(distinct), "lines-in-company")
-    long = rows.where(F.length("line") >= MIN_CHARS).select("h1", "h2", "line")
+    long = rows.where(F.length("line") >= min_chars).select("h1", "h2", "line")
     texts = long.join(small_or_not(company, BROADCAST_ROWS), "h1").dropDuplicates(["h1", "h2"])
     near = near_pairs(kept(texts.join(distinct.select("h1", "h2", "place"), ["h1", "h2"]), "lines-to-vary")).select("h1", "h2").distinct()
     told = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near"))
@@ -154,18 +154,18 @@ def drops(docs: DataFrame) -> DataFrame:
     )
 
 
-def mark(docs: DataFrame) -> DataFrame:
+def mark(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """One row per document: doc_id, its lines with words, and the numbers of those that go."""
     none = F.array().cast("array<int>")
     n_lines = F.size(F.filter(lines_of(empty_text()), has_word)).cast("long")
     every = docs.select("doc_id", *doc_key(), n_lines.alias("n_lines"))
-    return every.join(drops(docs), ["k1", "k2"], "left").select("doc_id", "n_lines", F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near"))
+    return every.join(drops(docs, min_chars), ["k1", "k2"], "left").select("doc_id", "n_lines", F.coalesce("exact", none).alias("exact"), F.coalesce("near", none).alias("near"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs without the lines that go, all columns as before; a document that loses its last line
     with a word goes too. Only the text changes."""
-    gone = drops(docs).select("k1", "k2", F.concat("exact", "near").alias("gone"))
+    gone = drops(docs, min_chars).select("k1", "k2", F.concat("exact", "near").alias("gone"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *doc_key())
     cut = rows.join(gone, ["k1", "k2"], "left").withColumn("lines", lines_of(empty_text("row.text")))
     numbers = F.sequence(F.lit(0), F.size("lines") - 1)

@@ -12,7 +12,9 @@ empty histogram, and limits over it give zeros.
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -102,6 +104,10 @@ def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantiles(sums: DataFrame, probabilities: list[float]) -> DataFrame:
-    """The smallest length that at least a share p of the documents does not exceed."""
-    each = F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
-    return sums.select("length", "share_to", each).where(F.col("share_to") >= F.col("p") - 1e-9).groupBy("p").agg(F.min("length").alias("length"))
+    """p, length: the smallest length that at least a share p of the documents does not exceed. Shares are
+    turned into whole numbers of documents first, so any number of documents is told exactly."""
+    total = sums.agg(F.max("docs_from")).first()[0] or 0
+    wanted = [F.struct(F.lit(float(p)).alias("p"), F.lit(math.ceil(Fraction(str(p)) * total)).cast("long").alias("need")) for p in probabilities]
+    docs_to = F.lit(total) - F.col("docs_from") + F.col("n_docs")
+    reached = sums.select("length", docs_to.alias("docs_to"), F.explode(F.array(*wanted)).alias("w")).where(F.col("docs_to") >= F.col("w.need"))
+    return reached.groupBy("w.p").agg(F.min("length").alias("length"))

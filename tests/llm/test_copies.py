@@ -20,13 +20,13 @@ def within_one(a, b):
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def brute_lines(docs):
+def brute_lines(docs, floor=line_dedup.MIN_CHARS):
     first = {}
     for d in sorted(docs):
         for i, line in enumerate((docs[d] or "").split("\n")):
             if re.search(r"[^\x20\x09-\x0D]", line):
                 first.setdefault(line, (d, i))
-    long = [x for x in first if len(x) >= line_dedup.MIN_CHARS]
+    long = [x for x in first if len(x) >= floor]
     near = {max(a, b, key=first.get) for i, a in enumerate(long) for b in long[:i] if within_one(a, b)}
     out = {}
     for d, text in docs.items():
@@ -67,6 +67,15 @@ def test_short_lines(docs_of):
     assert got == {0: ([], []), 1: ([], [0]), 2: ([], [1]), 3: ([], []), 4: ([0], [1, 2]), 5: ([], []), 6: ([], [])}
 
 
+def test_lines_without_a_floor(docs_of):
+    """Lines of any length within one edit, single letters among them."""
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abé𝒳") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    texts = ["\n".join(rng.choices(lines, k=3)) for _ in range(30)] + ["A.\nAn.", "hello worl\nhello world", "q", None]
+    got = {r.doc_id: (r.n_lines, r.exact, r.near) for r in line_dedup.mark(docs_of(texts), 1).collect()}
+    assert got == brute_lines(dict(enumerate(texts)), 1) and got[30][2] == [1] and got[31][2] == [1]
+
+
 def test_lines_odd_rows(odd):
     assert line_dedup.mark(odd).count() == odd.count()
     assert line_dedup.dedup(odd).columns == odd.columns
@@ -253,6 +262,25 @@ def test_equal_items_and_portions(docs_of, prose, spark, monkeypatch):
     assert [[h["item_id"] for h in hits] for hits in found] == [list(range(25)), list(range(25)), [50]]
 
 
+def test_one_row_of_equal_texts(spark):
+    """Which of the rows of equal id and text stays does not hang on their partitions."""
+    rows = [(1, "a b c d e f", x) for x in range(12)]
+    stays = {jaccard_join.keep_one(spark.createDataFrame(rows[i:] + rows[:i], "doc_id long, text string, x long").repartition(i + 1)).first().x for i in (0, 3, 7)}
+    assert len(stays) == 1
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_on_odd_rows(spark, small, odd, at):
+    """Nulls, empty and long texts, repeated rows, clashing columns, no rows."""
+    stage = corpus_pipeline.STAGES[at][1]
+    some = stage(spark, odd, small)
+    if at < 4:
+        assert some.columns == odd.columns
+    rows = some.collect()
+    assert len(rows) <= odd.count() and (at == 0 or rows)
+    assert stage(spark, odd.limit(0), small).count() == 0
+
+
 def test_pipeline(spark, small):
     docs = table(spark, small, "documents")
     before = {r.doc_id: r.text for r in docs.collect()}
