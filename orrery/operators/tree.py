@@ -32,8 +32,8 @@ from orrery.sources.tables import forget, settled
 #: Points of a large node from which the first round draws its centers, about; each round takes GROWTH times
 #: as many, up to PREFIX_NUMBERS numbers (or LAST_BATCH points).
 FIRST_BATCH, GROWTH, PREFIX_NUMBERS = 1024, 8, 2_000_000
-#: Centers that points are measured against at a time.
-LAST_BATCH = 512
+#: Centers that points are measured against at a time, and children of a block whose distances are checked.
+LAST_BATCH, SIBLINGS = 512, 1024
 #: Numbers that a broadcast table of nodes or centers may hold; beyond, a node's points are dealt into parts,
 #: which meet its centers in blocks of so many numbers, and lines about nodes are copied so many times.
 BROADCAST_NUMBERS, PART_POINTS, BLOCK_NUMBERS, COPIES = 4_000_000, 4096, 4_000_000, 64
@@ -416,16 +416,38 @@ def split_large(rows: DataFrame, params: TreeParams) -> tuple[DataFrame, DataFra
     return settled(deeper, "front"), state.where(~F.col("keep")).select("pid", "path")
 
 
+def close_siblings(tree: CoverTree) -> DataFrame:
+    """scale, center, close: how many pairs of a node's children are nearer than their scale allows. Children
+    are dealt into blocks, and each pair of blocks is counted in a task of its own, so neither pairs nor all
+    children of a node are ever gathered."""
+    params = tree.params
+    vecs = tree.centers().select(F.col("scale").alias("child_scale"), F.col("center").alias("child_center"), metrics.doubles(F.col("vec")).alias("vec"))
+    edges = tree.edges()
+    blocks = settled(edges.groupBy("scale", "center").agg(F.ceil(F.count("*") / SIBLINGS).alias("blocks")), "sibling-blocks")
+    kids = with_facts(edges.join(vecs, ["child_scale", "child_center"]).withColumn("pid", F.col("child_center")), blocks, ["scale", "center"])
+    kids = kids.withColumns({"block": F.pmod(F.xxhash64("pid"), F.col("blocks")), "other": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))})
+    kids = kids.select("scale", "center", "child_scale", "block", "vec", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+
+    def count(rows: pa.Table) -> pa.Table:
+        vecs, block = matrix(rows.column("vec").combine_chunks()), rows.column("block").to_numpy()
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        scales = rows.column("child_scale").to_numpy()
+        n = 0
+        for i in np.flatnonzero(block == lo):
+            later = np.flatnonzero(block == hi) if lo != hi else np.arange(i + 1, len(vecs))
+            near = metrics.rows_to_point(params.metric, vecs[later], vecs[i]) if len(later) else np.zeros(0)
+            n += int((near < params.scale_base ** float(scales[i])).sum())
+        return pa.table([rows.column("scale")[:1], rows.column("center")[:1], pa.array([n], pa.int64())], ["scale", "center", "close"])
+
+    return kids.groupBy("scale", "center", "lo", "hi").applyInArrow(count, "scale int, center long, close long")
+
+
 def violations(tree: CoverTree) -> DataFrame:
     """invariant, n: how often each fails; 0 for a sound tree."""
     p, base = tree.params, tree.params.scale_base
     final, steps, nodes = tree.final_address(), tree.steps(), tree.nodes()
     total = tree.points.select(F.count("*").alias("n"))
     covering = steps.where((F.col("dist") >= F.pow(F.lit(base), F.col("scale"))) & F.col("parent_center").isNotNull())
-    apart = tree.edges().join(tree.centers().select(F.col("scale").alias("child_scale"), F.col("center").alias("child_center"), "vec"), ["child_scale", "child_center"])
-    a, b = apart.alias("a"), apart.alias("b")
-    same = (F.col("a.scale") == F.col("b.scale")) & (F.col("a.center") == F.col("b.center")) & (F.col("a.child_center") < F.col("b.child_center"))
-    close = a.join(b, same).where(metrics.COLUMNS[p.metric](F.col("a.vec"), F.col("b.vec")) < F.pow(F.lit(base), F.col("a.child_scale")))
     parents = nodes.select(F.col("scale").alias("parent_scale"), F.col("center").alias("parent_center"))
     checks = {
         "I1": final.groupBy("pid").count().where("count != 1"),
@@ -434,11 +456,11 @@ def violations(tree: CoverTree) -> DataFrame:
         "I4": covering,
         "I5": steps.where("scale >= parent_scale"),
         "I6": nodes.where("parent_center is not null").join(parents, ["parent_scale", "parent_center"], "left_anti"),
-        "I7": close,
+        "I7": close_siblings(tree),
         "I8": nodes.where(F.lit(not p.use_singletons) & (F.col("n_singletons") > 0) & ~F.col("is_leaf")),
     }
     out = None
     for name, rows in checks.items():
-        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("invariant"), "n")
+        one = rows.agg((F.coalesce(F.sum("close"), F.lit(0)) if name == "I7" else F.count(F.lit(1))).alias("n")).select(F.lit(name).alias("invariant"), "n")
         out = one if out is None else out.unionByName(one)
     return out

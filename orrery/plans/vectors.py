@@ -76,12 +76,19 @@ def tree_knn_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(tree_knn(tree_of(spark, sf_dir), asked(cloud), 5))
 
 
-#: Trees by application, folder and parameters: each is built once, and lies in the shared folder.
+#: Trees by application, folder, state of its files and parameters: each is built once, and lies in the
+#: shared folder.
 BUILT: dict[tuple, CoverTree] = {}
 
 
+def state_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """Newest time, number and bytes of the table's files: changed input gives another tree."""
+    files = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    return tuple(files.agg(F.max("file_modification_time").cast("string"), F.count("*"), F.sum("file_size")).first())
+
+
 def tree_of(spark: SparkSession, sf_dir: str, **more) -> CoverTree:
-    key = (spark.sparkContext.applicationId, sf_dir, *sorted(more.items()))
+    key = (spark.sparkContext.applicationId, sf_dir, *state_of(spark, sf_dir), *sorted(more.items()))
     if key not in BUILT:
         BUILT[key] = build(points(spark, sf_dir), TreeParams(**({"scale_base": 1.3} | more)))
     return BUILT[key]

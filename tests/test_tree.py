@@ -115,6 +115,22 @@ def test_split_in_rounds(spark, monkeypatch, kind, sent):
     assert 1 < made.count("centers") <= 4 * made.count("split")
 
 
+@pytest.mark.parametrize("siblings", [1024, 3])
+def test_close_siblings_are_counted(spark, rows, tree, monkeypatch, siblings):
+    """A cloud shrunk under its tree breaks the separation; each pair counts once, in whatever blocks."""
+    monkeypatch.setattr(tree_module, "SIBLINGS", siblings)
+    shrunk = CoverTree(tree.params, tree.points.withColumn("vec", F.transform("vec", lambda x: x / 3)), tree.paths)
+    want = 0
+    kids = defaultdict(list)
+    for r in tree.edges().collect():
+        kids[r.scale, r.center].append((r.child_scale, r.child_center))
+    small = (rows / np.float32(3)).astype(float)
+    for own in kids.values():
+        want += sum(np.linalg.norm(small[a] - small[b]) < tree.params.scale_base**s for i, (s, a) in enumerate(own) for _, b in own[:i])
+    assert {r.invariant: r.n for r in violations(shrunk).where("invariant = 'I7'").collect()} == {"I7": want} and want > 5
+    assert violations(tree).where("n > 0").count() == 0
+
+
 def test_neighbours(spark, rows, tree):
     queries = clusters(12, 15, dim=2, spread=0.3)
     far = np.linalg.norm(queries[:, None, :].astype(float) - rows[None, :, :].astype(float), axis=2)
