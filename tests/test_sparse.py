@@ -21,10 +21,6 @@ def cloud(spark):
     return spark.createDataFrame(rows, "pid long, idx array<int>, val array<float>").repartition(3)
 
 
-def pairs(df, *keys):
-    return {tuple(r[k] for k in keys): round(r.dist, 9) for r in df.collect()}
-
-
 @pytest.mark.parametrize("metric", ["l2", "l1", "l1_sqrt", "cosine"])
 def test_sparse_equals_dense(spark, cloud, metric, monkeypatch):
     monkeypatch.setattr(sparse, "BLOCK_NUMBERS", 2000)
