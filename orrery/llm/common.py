@@ -15,6 +15,8 @@ BATCH_BYTES = str(8 << 20)
 #: A key is hot if it has more than one in SHARE of all rows and more than HOT_ROWS; there are fewer
 #: than SHARE hot keys, whatever the table.
 SHARE, HOT_ROWS = 10_000, 1_000
+#: Bits of a filter of wanted keys: a table of at most SIFT_BITS / 64 rows of 16 bytes (8 MB), whatever it filters.
+SIFT_BITS = 1 << 25
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of the text contracts: runs without ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -130,3 +132,24 @@ def small_or_not(df: DataFrame, max_rows: int) -> DataFrame:
     """A kept table marked for broadcast if its rows, counted, are few enough; as it is otherwise,
     so that a join with it shuffles."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose `key` (a long) is not in wanted: a Bloom filter of fixed size, kept as
+    a table of 64-bit words and sent to every executor. It never loses a wanted row; of n wanted keys it lets
+    a share of 1 - exp(-n / SIFT_BITS) of the others pass."""
+    bit = F.pmod(F.xxhash64(F.lit("sift"), key), F.lit(SIFT_BITS))
+    marks = wanted.select(bit.alias("_bit")).select(F.shiftright("_bit", 6).alias("_word"), F.expr("shiftleft(1L, cast(_bit % 64 AS int))").alias("_mask"))
+    words = kept(marks.groupBy("_word").agg(F.bit_or("_mask").alias("_mask")), "sift")
+    asked = rows.withColumn("_bit", bit).join(F.broadcast(words), F.shiftright("_bit", 6) == F.col("_word"))
+    return asked.where("(shiftright(_mask, cast(_bit % 64 AS int)) & 1) = 1").select(*rows.columns)
+
+
+def met_once(rows: DataFrame, facts: DataFrame, key: str, once: list[str], max_rows: int) -> DataFrame:
+    """rows joined with facts by `key` (a long), one row for each value of `once`, which holds the key. facts: a
+    kept table with one row a key. Up to max_rows of them, counted, are sent to every executor. Beyond, rows
+    pass a filter of fixed size and their copies go, task by task first, before the join shuffles what is left:
+    one row a task and value of `once` is the most that meets, however many copies there are."""
+    if facts.count() <= max_rows:
+        return rows.join(F.broadcast(facts), key).dropDuplicates(once)
+    return sifted(rows, facts, key).dropDuplicates(once).join(facts, key)

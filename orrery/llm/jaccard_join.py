@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import LOWER, UPPER, empty_text, forget, kept, met, slices, small_or_not
+from orrery.llm.common import LOWER, UPPER, empty_text, forget, kept, met, met_once, slices
 
 SHINGLE_WORDS = 4
 THRESHOLD = (85, 100)
@@ -47,7 +47,8 @@ LIST_BLOCK = 4096
 #: Texts, and shingles of all of them, that a block of a candidate group holds on average. Two blocks
 #: meet in a task, whose memory is a small multiple of their shingles.
 GROUP_BLOCK, GROUP_SHINGLES = 2048, 500_000
-#: Rows of a candidate group table that may be sent to every executor; beyond, texts are shuffled.
+#: Rows of a candidate group table that may be sent to every executor; beyond, texts pass a filter of fixed
+#: size, and one of each is shuffled.
 BROADCAST_ROWS = 200_000
 #: Hashes of words that a task remembers.
 CACHED_WORDS = 100_000
@@ -399,7 +400,7 @@ def verified(docs: DataFrame, groups: DataFrame, shingle: tuple[int, bool], thre
     dealt = dealt.where("size > 1").withColumn("blocks", F.greatest(blocks, F.lit(1)))
     own = F.pmod(F.xxhash64("id", F.lit(9)), F.col("blocks")).cast("int")
     meet = kept(dealt.withColumn("own", own).select("id", "root", "copies", "own", "blocks"), "meetings")
-    rows = texts_of(docs).join(small_or_not(meet, BROADCAST_ROWS), "id").dropDuplicates(["id"])
+    rows = met_once(texts_of(docs), meet, "id", ["id"], BROADCAST_ROWS)
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     keyed = rows.select("root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "copies", "text")
 

@@ -21,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import doc_key, empty_text, kept, met, small_or_not
+from orrery.llm.common import doc_key, empty_text, kept, met, met_once, small_or_not
 
 #: Unless the caller says otherwise, lines of fewer characters are only compared for equality: they are
 #: single words mostly, which one edit turns into other words ("A.", "An."). With 1 there is no floor.
 MIN_CHARS = 12
-#: Rows of one or two hashes that may be sent to every executor; beyond, the join shuffles.
+#: Rows of one or two hashes that may be sent to every executor; beyond, the join shuffles, lines after a
+#: filter of fixed size and without their copies.
 BROADCAST_ROWS = 200_000
 
 
@@ -140,7 +141,7 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     distinct = kept(distinct_lines(rows, min_chars), "distinct-lines")
     company = kept(with_company(distinct), "lines-in-company")
     long = rows.where(F.length("line") >= min_chars).select("h1", "h2", "line")
-    texts = long.join(small_or_not(company, BROADCAST_ROWS), "h1").dropDuplicates(["h1", "h2"])
+    texts = met_once(long, company, "h1", ["h1", "h2"], BROADCAST_ROWS)
     near = near_pairs(kept(texts.join(distinct.select("h1", "h2", "place"), ["h1", "h2"]), "lines-to-vary")).select("h1", "h2").distinct()
     told = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near"))
     verdicts = kept(told.select("h1", "h2", "n", "place", F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts")

@@ -294,3 +294,50 @@ def test_pipeline(spark, small):
     rows = corpus_pipeline.run(spark, small).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in frame.collect()}
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def rows_read_by_a_task(spark, run):
+    """What run() returns, and the most shuffled rows that one task of its jobs read."""
+    store, jvm, name = spark.sparkContext._jsc.sc().statusStore(), spark._jvm, f"rows-{random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    most, status = 0, spark.sparkContext.statusTracker()
+    for job in status.getJobIdsForGroup(name):
+        for stage in status.getJobInfo(job).stageIds:
+            tasks = store.taskList(stage, 0, 1 << 30)
+            for i in range(tasks.size()):
+                metrics = tasks.apply(i).taskMetrics()
+                if metrics.isDefined():
+                    most = max(most, metrics.get().shuffleReadMetrics().recordsRead())
+    return out, most
+
+
+def test_many_equal_texts_beyond_a_broadcast(spark, docs_of, prose, monkeypatch):
+    """With no broadcast of candidates, 10,000 equal texts and lines still never meet in one task."""
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    text, other = prose(40, 1), prose(40, 2)
+    docs = docs_of([text] * 10_000 + [text + " zog", other, other + " zug", prose(40, 3)]).repartition(16)
+    (found, n), most = rows_read_by_a_task(spark, lambda: jaccard_join.classes(docs))
+    rows = found.collect()
+    assert n == 10_004 and most < 1_000
+    assert sorted((r.copies, r.links, r.members, r["first"].doc_id) for r in rows) == [(1, 0, 1, 10_003), (1, 1, 2, 10_001), (1, 1, 2, 10_001), (1, 10_000, 2, 0), (10_000, 10_000, 2, 0)]
+    line, other = prose(8, 1), prose(8, 2)  # short, as every place of a distinct line gives a variant, which is a row
+    lines = docs_of([line] * 10_000 + [line + "z", "y" + other, other]).repartition(16)
+    marked, most = rows_read_by_a_task(spark, lambda: line_dedup.drops(lines))
+    assert most < 1_000
+    assert marked.select(F.sum(F.size("exact")), F.sum(F.size("near"))).first() == (9_999, 2)
+
+
+def test_sifted_loses_nothing(spark, monkeypatch):
+    """Every wanted row passes, with few others, or with more when the filter is small for its keys."""
+    rows = spark.range(-5_000, 5_000).select(F.col("id").alias("key"), F.lit("x").alias("_bit"))
+    wanted = rows.where("key % 50 = 0").select("key")
+    for bits, most in ((common.SIFT_BITS, 210), (64, 10_000)):
+        monkeypatch.setattr(common, "SIFT_BITS", bits)
+        got = [r.key for r in common.sifted(rows, wanted, "key").collect()]
+        assert {k for k in range(-5_000, 5_000) if k % 50 == 0} <= set(got) and len(set(got)) == len(got) <= most
+    assert common.sifted(rows, wanted.limit(0), "key").count() == 0
