@@ -10,7 +10,11 @@ derived from the figures of all documents that pass the base rules. These are fe
 quartiles of each band and length class (half powers of two of the word count), with entropy
 relative to log2 of the tokens. Documents of equal figures count once, so copies do not move a fence;
 figures are counted in steps of 0.001, so quartiles are exact sums whatever the partitioning. A class of
-fewer than MIN_DOCS distinct documents has no fences.
+fewer than MIN_DOCS distinct documents is pooled with the nearest length classes of its band, one distance
+after the other, until they have as many. As figures move with the length (longer texts repeat more of
+their tokens), those of other classes are moved along the band's straight trend, and fences lie
+1 + d times as far out, d being the mean distance of the pool. A band of fewer documents in all is one pool,
+whose fences lie MIN_DOCS / n times as far out again, as a handful says little. No document goes unfenced.
 
 Defined cases: a null text counts as empty (0 words, rejected by the base rules); null or unknown
 languages take the band of the text's script; repeated rows are judged alike, row by row; columns
@@ -25,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -37,7 +41,7 @@ MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 CACHED_WORDS = 200_000
-#: Distinct documents from which a length class has fences of its own.
+#: Distinct documents from which a length class has fences of its own; below, neighbours join it.
 MIN_DOCS = 30
 #: Fences lie so many interquartile ranges below the first or above the third quartile.
 BELOW, ABOVE = 2.0, 3.0
@@ -47,8 +51,8 @@ MIN_RANGE = {"chars_per_token": 0.04, "byte_share": 0.02, "relative_entropy": 0.
 
 @dataclass(frozen=True)
 class Band:
-    """What a clean text may measure. The lower entropy bound only binds texts of some length,
-    as n tokens have at most log2(n) bits."""
+    """What a clean text may measure. Texts that pass the base rules have MIN_WORDS tokens or more, so up to
+    4.3 bits of entropy at the least, and the lower bound binds them all."""
 
     min_chars_per_token: float
     max_chars_per_token: float
@@ -182,8 +186,8 @@ def measure(texts: list[str | None], langs: list[str | None], vocabulary: Vocabu
     byte_share = np.round(n_bytes / np.maximum(n_tokens, 1), 6)
     band = [lang if lang in bands else script_of(t) for lang, t in zip(langs, texts, strict=True)]
     keeps = [
-        bool(not failed and b.min_chars_per_token <= f <= b.max_chars_per_token and s <= b.max_byte_share and (e >= b.min_entropy or n < 2 * MIN_WORDS))
-        for failed, f, s, e, n, b in zip(base_failed, fertility, byte_share, entropy, n_tokens, (bands[x] for x in band), strict=True)
+        bool(not failed and b.min_chars_per_token <= f <= b.max_chars_per_token and s <= b.max_byte_share and e >= b.min_entropy)
+        for failed, f, s, e, b in zip(base_failed, fertility, byte_share, entropy, (bands[x] for x in band), strict=True)
     ]
     return {
         "n_words": n_words, "word_chars": word_chars,
@@ -226,16 +230,43 @@ def in_classes(figures: DataFrame) -> DataFrame:
     return figures.withColumns({"length_class": F.floor(2 * F.log2(F.greatest("n_words", F.lit(2)).cast("double"))), "relative_entropy": F.col("token_entropy") / bits})
 
 
+def pools(sizes: DataFrame) -> DataFrame:
+    """band, length_class, other, distance: the length classes whose documents speak for a class. They come by distance,
+    those of one distance together, until MIN_DOCS are reached. sizes: band, length_class, size; a band has
+    some 60 length classes at most, whatever the table."""
+    others = sizes.select("band", F.col("length_class").alias("other"), "size")
+    pairs = sizes.select("band", "length_class").join(others, "band").withColumn("distance", F.abs(F.col("length_class") - F.col("other")))
+    nearer = Window.partitionBy("band", "length_class").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)
+    return pairs.withColumn("reached", F.coalesce(F.sum("size").over(nearer), F.lit(0))).where(F.col("reached") < MIN_DOCS).select("band", "length_class", "other", "distance")
+
+
+def trends(steps: DataFrame) -> DataFrame:
+    """band, figure, slope: least squares of a figure over the length classes of its band, 0 where there is one
+    class. Sums are of whole thousandths, so they do not hang on the partitioning. steps: band, other, figure,
+    value, n."""
+    n, x, y = F.col("n"), F.col("other"), F.round(1000 * F.col("value")).cast("long")
+    sums = steps.groupBy("band", "figure").agg(*[F.sum(c).cast("double").alias(k) for k, c in {"s": n, "x": n * x, "y": n * y, "xx": n * x * x, "xy": n * x * y}.items()])
+    spread = F.col("s") * F.col("xx") - F.col("x") * F.col("x")
+    slope = F.when(spread > 0, (F.col("s") * F.col("xy") - F.col("x") * F.col("y")) / spread / 1000).otherwise(0.0)
+    return sums.select("band", "figure", slope.alias("slope"))
+
+
 def fences(figures: DataFrame) -> DataFrame:
     """band, length_class, and the low and high fence of each figure. At most one row for a band and
     half power of two, whatever the table."""
     sound = figures.where(~F.col("base_failed")).select("band", "n_words", "n_tokens", "chars_per_token", "byte_share", "token_entropy").distinct()
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), F.round(k, 3).alias("value")) for k in MIN_RANGE])).alias("f")
-    steps = in_classes(sound).select("band", "length_class", each).groupBy("band", "length_class", "f.figure", "f.value").agg(F.count("*").alias("n"))
-    quartiles = steps.groupBy("band", "length_class", "figure").agg(F.sum("n").alias("n"), F.percentile("value", [0.25, 0.75], F.col("n")).alias("q"))
+    steps = in_classes(sound).select("band", F.col("length_class").alias("other"), each).groupBy("band", "other", "f.figure", "f.value").agg(F.count("*").alias("n"))
+    steps = kept(steps, "quality-steps")
+    one = steps.where(F.col("figure") == next(iter(MIN_RANGE)))
+    sizes = one.groupBy("band", F.col("other").alias("length_class")).agg(F.sum("n").alias("size"))
+    moved = F.round(F.col("value") + F.col("slope") * (F.col("length_class") - F.col("other")), 3)
+    pooled = steps.join(F.broadcast(pools(sizes)), ["band", "other"]).join(F.broadcast(trends(steps)), ["band", "figure"])
+    pooled = pooled.groupBy("band", "length_class", "figure", moved.alias("value")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("distance")).alias("far"))
+    quartiles = pooled.groupBy("band", "length_class", "figure").agg(F.sum("n").alias("n"), F.sum("far").alias("far"), F.percentile("value", [0.25, 0.75], F.col("n")).alias("q"))
     least = F.create_map(*[F.lit(x) for pair in MIN_RANGE.items() for x in pair])
-    reach = F.greatest(F.col("q")[1] - F.col("q")[0], least[F.col("figure")])
-    limits = quartiles.where(F.col("n") >= MIN_DOCS).select("band", "length_class", "figure", (F.col("q")[0] - BELOW * reach).alias("low"), (F.col("q")[1] + ABOVE * reach).alias("high"))
+    reach = F.greatest(F.col("q")[1] - F.col("q")[0], least[F.col("figure")]) * (1 + F.col("far") / F.col("n")) * F.greatest(F.lit(1.0), MIN_DOCS / F.col("n"))
+    limits = quartiles.select("band", "length_class", "figure", (F.col("q")[0] - BELOW * reach).alias("low"), (F.col("q")[1] + ABOVE * reach).alias("high"))
     of = {f"{k}_{end}": F.max(F.when(F.col("figure") == k, F.col(end))) for k in MIN_RANGE for end in ("low", "high")}
     return limits.groupBy("band", "length_class").agg(*[c.alias(k) for k, c in of.items()])
 

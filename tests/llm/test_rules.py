@@ -103,6 +103,58 @@ def test_derived_bands(spark):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == {r.doc_id for r in got if r.kept}
 
 
+def test_thin_classes_are_pooled(spark):
+    """A few long documents are held against the next lengths of their band: clean ones stay and plain junk
+    goes, as with many of their own length. What is near the fence, or far from any other length, is only
+    told by documents of its own length."""
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("the ing ation and er on ly est ed sh wh tion ment ous ive al ble".split()) for _ in range(rng.randint(1, 3))) for _ in range(300)]
+
+    def text(n, end=""):
+        return " ".join(rng.choice(words) + end for _ in range(n))
+
+    def verdicts(rows):
+        docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(rows)], "doc_id long, text string, lang string")
+        return [r.kept for r in quality.judge(docs).orderBy("doc_id").collect()]
+
+    asked = [text(400) for _ in range(6)] + [text(400, "###"), text(400, "$$$$")] + [text(23)] + [text(23, "%%%%")]
+    others, own = [text(rng.randint(185, 250)) for _ in range(120)], [text(n) for n in (400, 23) for _ in range(60)]
+    alone, in_small, in_large = verdicts(asked[:6]), verdicts(asked + others), verdicts(asked + others + own)
+    assert alone == [True] * 6
+    assert in_small[: len(asked)] == [True] * 6 + [True, False] + [True, True]
+    assert in_large[: len(asked)] == [True] * 6 + [False, False] + [True, False]
+    assert not any(verdicts(["the " * 25] * 2 + [" ".join(["the"] * 3 + ["of"]) + " x the" * 11]))  # little entropy, few tokens
+
+
+def test_trend(spark):
+    """Least squares over the length classes, copies of a figure counted; one class has no trend."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [("en", int(x), "f", round(float(0.9 - 0.023 * x + rng.normal(0, 0.01)), 3), int(n)) for x, n in zip(rng.integers(8, 25, 40), rng.integers(1, 9, 40), strict=True)] + [("fr", 9, "f", 0.5, 3), ("fr", 9, "f", 0.7, 1)]
+    got = {r.band: r.slope for r in quality.trends(spark.createDataFrame(rows, "band string, other long, figure string, value double, n long")).collect()}
+    x, y, n = (np.array([r[i] for r in rows if r[0] == "en"], float) for i in (1, 3, 4))
+    assert got == pytest.approx({"en": np.polyfit(x, y, 1, w=np.sqrt(n))[0], "fr": 0.0}, abs=1e-9)
+
+
+def test_pools(spark):
+    """Classes join by distance, both of one distance together, until there are enough."""
+    rows = [("en", 9, 29), ("en", 10, 500), ("en", 8, 1), ("en", 14, 3), ("fr", 3, 2), ("fr", 20, 4), ("de", 5, 30)]
+    got = {}
+    for r in quality.pools(spark.createDataFrame(rows, "band string, length_class long, size long")).collect():
+        got.setdefault((r.band, r.length_class), set()).add(r.other)
+    want = {}
+    for band, c, _ in rows:
+        for d in range(60):
+            pool = {o for b, o, _ in rows if b == band and abs(o - c) <= d}
+            if sum(n for b, o, n in rows if b == band and o in pool) >= quality.MIN_DOCS:
+                break
+        want[band, c] = pool
+    assert got == want and got["en", 9] == {8, 9, 10} and got["en", 10] == {10} and got["fr", 3] == {3, 20}
+
+
 def test_quality_odd_rows(odd):
     assert quality.judge(odd).count() == odd.count()
     assert quality.keep_good(odd).columns == odd.columns
