@@ -37,6 +37,22 @@ def digamma(x: Column) -> Column:
     return F.log(z) - series - down
 
 
+def gamma_excess(x: Column, e: Column) -> Column:
+    """log_gamma(x + e) - log_gamma(x) - e digamma(x), for x and x + e over 0. Taken by differences, term by
+    term of the same series: log gammas of millions are left out before they could round away what is asked."""
+    x, e = x.cast("double"), e.cast("double")
+    z, w = x + SHIFT, x + e + SHIFT
+
+    def series(y: Column) -> Column:
+        return 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+
+    slope = 1 / (2 * z) + 1 / (12 * z * z) - 1 / (120 * F.pow(z, 4)) + 1 / (252 * F.pow(z, 6)) - 1 / (240 * F.pow(z, 8))
+    down = e / x - F.log1p(e / x)
+    for i in range(1, SHIFT):
+        down = down + (e / (x + i) - F.log1p(e / (x + i)))
+    return (w - 0.5) * F.log1p(e / z) - e + e * slope + (series(w) - series(z)) + down
+
+
 def log_or_minus_inf(x: Column) -> Column:
     return F.when(x > 0, F.log(x)).otherwise(F.lit(float("-inf")))
 
@@ -70,9 +86,10 @@ def posterior(prior: DataFrame, evidence: DataFrame) -> DataFrame:
     return prior.select("node", "bucket", "n").unionByName(evidence.select("node", "bucket", "n")).groupBy("node", "bucket").agg(F.sum("n").alias("n"))
 
 
-def bucket_term(a: Column, e: Column, total: Column) -> Column:
-    """What a bucket with prior count a and e more in evidence adds to the KL; total: the prior's."""
-    return log_gamma(a + e) - log_gamma(a) - e * (digamma(a) - digamma(total))
+def excess_kl(buckets: Column, total: Column, seen: Column, stray: Column) -> Column:
+    """The KL of a prior of `total` and its posterior of `seen` more, at least 0. buckets: the sum of each
+    bucket's gamma_excess; stray: what is seen for buckets without a prior."""
+    return F.greatest(F.lit(0.0), buckets - gamma_excess(total, seen) - stray * digamma(total))
 
 
 def with_prior(evidence: DataFrame, prior: DataFrame) -> DataFrame:
@@ -90,10 +107,10 @@ def posterior_kl(prior: DataFrame, evidence: DataFrame, by: list[str] | None = N
     a node without one counts in the total alone."""
     by = by or []
     rows = with_prior(evidence.where("n > 0").select(*by, "node", "bucket", F.col("n").cast("long").alias("e")), prior)
-    term = F.when(F.col("a").isNotNull(), bucket_term(F.col("a"), F.col("e"), F.col("prior_total"))).otherwise(0.0)
+    term, stray = F.when(F.col("a").isNotNull(), gamma_excess(F.col("a"), F.col("e"))).otherwise(0.0), F.when(F.col("a").isNull(), F.col("e")).otherwise(0)
     unknown = F.max(F.col("a").isNull() & F.col("bucket").isNotNull())
-    sums = rows.groupBy(*by, "node").agg(F.sum("e").alias("seen"), F.max("prior_total").alias("prior_total"), F.sum(term).alias("s"), unknown.alias("unknown"))
-    kl = F.greatest(F.lit(0.0), log_gamma(F.col("prior_total")) - log_gamma(F.col("prior_total") + F.col("seen")) + F.col("s"))
+    sums = rows.groupBy(*by, "node").agg(F.sum("e").alias("seen"), F.max("prior_total").alias("prior_total"), F.sum(term).alias("s"), F.sum(stray).alias("stray"), unknown.alias("unknown"))
+    kl = excess_kl(F.col("s"), F.col("prior_total"), F.col("seen"), F.col("stray"))
     return sums.select(*by, "node", F.col("seen").alias("evidence"), F.when(~F.col("unknown"), kl).alias("kl"))
 
 
@@ -102,11 +119,10 @@ def dirichlet_kl(p: DataFrame, q: DataFrame) -> DataFrame:
     a = p.where("n > 0").select("node", "bucket", F.col("n").cast("long").alias("a"))
     b = q.where("n > 0").select(F.col("node").alias("qnode"), F.col("bucket").alias("qbucket"), F.col("n").cast("long").alias("b"))
     rows = a.join(b, (F.col("node") == F.col("qnode")) & F.col("bucket").eqNullSafe(F.col("qbucket")), "full").withColumn("node", F.coalesce("node", "qnode"))
-    # Sum of (a - b) (digamma a - digamma total), with the total's own part taken out.
-    term = log_gamma(F.col("b")) - log_gamma(F.col("a")) + (F.col("a") - F.col("b")) * digamma(F.col("a"))
+    term = gamma_excess(F.col("a"), F.col("b") - F.col("a"))
     same = F.min(F.col("a").isNotNull() & F.col("b").isNotNull())
     sums = rows.groupBy("node").agg(same.alias("same"), F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.sum(term).alias("s"))
-    kl = log_gamma(F.col("ta")) - log_gamma(F.col("tb")) + F.col("s") - (F.col("ta") - F.col("tb")) * digamma(F.col("ta"))
+    kl = F.col("s") - gamma_excess(F.col("ta"), F.col("tb") - F.col("ta"))
     return sums.select("node", F.when(F.col("same"), F.greatest(F.lit(0.0), kl)).alias("kl"))
 
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.functions.distributions import bucket_term, digamma, log_gamma, posterior_kl, with_prior
+from orrery.functions.distributions import excess_kl, gamma_excess, posterior_kl, with_prior
 from orrery.operators.tree import bounded
 from orrery.sources.points import ranked
 from orrery.sources.tables import settled
@@ -105,12 +105,13 @@ def running_kl(prior: DataFrame, parts: DataFrame, by: list[str]) -> DataFrame:
     known = F.col("a").isNotNull()
 
     def term(e: Column) -> Column:
-        return F.when(known, bucket_term(F.col("a"), e, F.col("prior_total"))).otherwise(0.0)
+        return F.when(known, gamma_excess(F.col("a"), e)).otherwise(0.0)
 
-    rows = rows.withColumns({"change": term(F.col("e")) - term(F.col("e") - F.col("more")), "strange": F.when(~known & F.col("bucket").isNotNull(), F.col("more")).otherwise(0)})
-    steps = rows.groupBy(*by, "node", "turn").agg(F.sum("more").alias("evidence"), F.sum("change").alias("change"), F.sum("strange").alias("strange"), F.max("prior_total").alias("top"))
-    sums = running(settled(steps, "kl-changes"), [*by, "node"], ["evidence", "change", "strange"])
-    kl = F.greatest(F.lit(0.0), log_gamma(F.col("top")) - log_gamma(F.col("top") + F.col("evidence")) + F.col("change"))
+    stray, strange = F.when(~known, F.col("more")).otherwise(0), F.when(~known & F.col("bucket").isNotNull(), F.col("more")).otherwise(0)
+    rows = rows.withColumns({"change": term(F.col("e")) - term(F.col("e") - F.col("more")), "stray": stray, "strange": strange})
+    steps = rows.groupBy(*by, "node", "turn").agg(F.sum("more").alias("evidence"), *[F.sum(c).alias(c) for c in ("change", "stray", "strange")], F.max("prior_total").alias("top"))
+    sums = running(settled(steps, "kl-changes"), [*by, "node"], ["evidence", "change", "stray", "strange"])
+    kl = excess_kl(F.col("change"), F.col("top"), F.col("evidence"), F.col("stray"))
     return sums.select(*by, "node", "turn", "until", "evidence", F.when(F.col("evidence") == 0, 0.0).when(F.col("strange") == 0, kl).alias("kl"))
 
 
@@ -163,11 +164,10 @@ def terminal_kl(resting: DataFrame, found: DataFrame) -> DataFrame:
     prior = resting.select("node", (F.col("singletons") + 1).cast("long").alias("a"))
     sums = prior.agg(F.sum("a").alias("prior_total"))
     rows = found.where("bucket is null").groupBy("at", "node").agg(F.sum("n").cast("long").alias("e")).join(prior, "node")
-    # Sum of e (digamma(a + e) - digamma of all), with the part of all taken out.
-    part = log_gamma(F.col("a")) - log_gamma(F.col("a") + F.col("e")) + F.col("e") * digamma(F.col("a") + F.col("e"))
+    part = gamma_excess(F.col("a") + F.col("e"), -F.col("e"))
     total = rows.groupBy("at").agg(F.sum("e").alias("seen"), F.sum(part).alias("s")).crossJoin(F.broadcast(sums))  # one row
     both = F.col("prior_total") + F.col("seen")
-    return total.select("at", F.greatest(F.lit(0.0), log_gamma(both) - log_gamma(F.col("prior_total")) + F.col("s") - F.col("seen") * digamma(both)).alias("kl"))
+    return total.select("at", F.greatest(F.lit(0.0), F.col("s") - gamma_excess(both, -F.col("seen"))).alias("kl"))
 
 
 def probabilities(prior: DataFrame, found: DataFrame) -> DataFrame:

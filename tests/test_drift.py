@@ -40,6 +40,25 @@ def test_dirichlet(spark):
     assert all(r.ln_prob == pytest.approx(math.log(0.5)) for r in ln.collect())
 
 
+def excess(x, e):
+    """log_gamma(x + e) - log_gamma(x) - e digamma(x) of a large x, summed up factor by factor."""
+    return math.fsum(math.log1p(i / x) for i in range(e)) + e * (1 / (2 * x) + 1 / (12 * x * x) - 1 / (120 * x**4))
+
+
+def test_small_evidence_of_large_priors(spark):
+    prior = counts(spark, [("x", "a", 171_428), ("x", "b", 6_000_003), ("x", "c", 857_142)])
+    seen = counts(spark, [("x", "a", 1), ("x", "b", 97), ("x", "c", 2)])
+    kl = excess(171_428, 1) + excess(6_000_003, 97) + excess(857_142, 2) - excess(7_028_573, 100)
+    assert dist.posterior_kl(prior, seen).first().kl == pytest.approx(kl, abs=1e-13)
+    assert dist.dirichlet_kl(prior, dist.posterior(prior, seen)).first().kl == pytest.approx(kl, abs=1e-13)
+    parts = spark.createDataFrame([(t, "x", b, n) for t, b, n in [(1, "a", 1), (2, "b", 99), (3, "c", 2), (4, "b", -2)]], "turn long, node string, bucket string, n long")
+    assert {r.turn: r.kl for r in drift.running_kl(prior, parts, []).collect()}[4] == pytest.approx(kl, abs=1e-13)
+    resting = spark.createDataFrame([("a", 171_427), ("b", 6_000_002)], "node string, singletons long")
+    found = spark.createDataFrame([(1, "a", None, 3), (1, "b", None, 40)], "at long, node string, bucket string, n long")
+    back = [math.fsum(math.log1p(-i / x) for i in range(1, e + 1)) - e * (-1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * x**4)) for x, e in [(171_431, 3), (6_000_043, 40), (6_171_474, 43)]]
+    assert drift.terminal_kl(resting, found).first().kl == pytest.approx(-back[0] - back[1] + back[2], abs=1e-13)
+
+
 def test_sampling(spark):
     c = counts(spark, [("x", "a", 1), ("x", None, 3)])
     draws = spark.createDataFrame([(0, "x", 0.1), (1, "x", 0.25), (2, "x", 0.99)], "draw long, node string, u double")
