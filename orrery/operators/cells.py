@@ -6,10 +6,12 @@ itself: it leaves out every node that lies beyond a query's bound, and tightens
 nodes that hold k points. First each query meets the points of one near cell; that gives its k-th
 distance, and in a second walk it opens the other cells in reach of it. Queries are never collected.
 
-Cells and queries meet in parts: the points of a cell are dealt into parts of CELL_POINTS, its queries
-into blocks of QUERY_BLOCK, and each part meets each block in a task of its own. So no cell, however
-full or however often asked, ends up in one task. Of points that are equal only the k smallest pids
-can be neighbours, so the rest of a large group of copies is left out at first.
+Cells and queries meet in parts: neighbouring cells form groups, whose points are dealt into parts and
+whose queries into blocks, and each part meets each block in a task of its own, which tells by itself which
+of the part's cells a query opens. So no cell, however full or however often asked, ends up in one task;
+and parts and blocks grow with the tables, up to what a task may hold, so that what is shuffled
+grows with the input and not with the pairs of a query and a cell. Of points that are equal only the k smallest
+pids can be neighbours, so the rest of a large group of copies is left out at first.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import metrics
-from orrery.operators.knn import best_of, knn, matrix
+from orrery.operators.knn import best_of, chosen_of, knn, matrix
 from orrery.sources.tables import settled
 
-#: Points of a part and queries of a block, about.
+#: Points of a cell, about; points of a part and queries of a block, at least. All points make about GROUPS parts
+#: and all queries GROUPS blocks, of PART_NUMBERS numbers at most.
 CELL_POINTS, QUERY_BLOCK = 4096, 4096
+GROUPS, PART_NUMBERS = 8, 8_000_000
 #: Numbers that the hierarchy sent to every task may hold.
 ROUTE_NUMBERS = 4_000_000
 #: Equal points beyond so many (and k) are left out before the search.
@@ -104,11 +108,59 @@ def open_cells(routes: Routes, below: dict, metric: str, q: np.ndarray, bound: n
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def meet(asked: DataFrame, members: DataFrame, sizes: DataFrame, k: int, metric: str) -> DataFrame:
-    """qid, pid, dist: each query's (qid, vec, cell) k best of each part of its cells. sizes: cell, n; its
-    rows are as many as the hierarchy's cells, which is bounded."""
-    load = asked.groupBy("cell").agg(F.count("*").alias("queries"))
-    shape = F.broadcast(load.join(sizes, "cell").select("cell", F.ceil(F.col("n") / CELL_POINTS).alias("parts"), F.ceil(F.col("queries") / QUERY_BLOCK).alias("blocks")))
+def cell_groups(routes: Routes, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """cells, their entries in routes, and the group of each: neighbouring cells, of about so many points that
+    GROUPS of them are all, or of CELL_POINTS at least and PART_NUMBERS numbers at most."""
+    at = np.flatnonzero(routes.into < 0)
+    n = routes.n[at]
+    seeds = routes.vec[at[:: -(-len(at) // GROUPS)]]
+    near = np.concatenate([metrics.pairwise(metric, routes.vec[at[i : i + 4096]], seeds).argmin(axis=1) for i in range(0, len(at), 4096)])
+    order = np.argsort(near, kind="stable")
+    at, n = at[order], n[order]
+    return routes.cell[at], at, (np.cumsum(n) - n) // share(int(n.sum()), CELL_POINTS, routes.vec.shape[1])
+
+
+def share(total: int, least: int, dim: int) -> int:
+    """Rows of one of GROUPS parts of `total`, within bounds."""
+    return max(least, min(-(-total // GROUPS), PART_NUMBERS // max(1, dim)))
+
+
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def near_in(metric: str, q: np.ndarray, bound: np.ndarray, pids: np.ndarray, vecs: np.ndarray, k: int) -> Found:
+    """Place in q, pid, distance: of some points each query's k best within its bound; others may come along."""
+    near, loose = metrics.pairwise(metric, q, vecs), 2 * metrics.slack(q, vecs)
+    within, places = near <= bound[:, None] + loose, np.arange(len(q))
+    if within.sum() > 4 * k * len(q):
+        found = best_of(metric, places, q, pids, vecs, k)
+    else:
+        found = chosen_of(np.where(within, 0.0, np.inf), 0.0, lambda i, rows: metrics.rows_to_point(metric, vecs[rows], q[i]), places, pids, k, 0.0)
+    return tuple(c.to_numpy() for c in found.columns)
+
+
+def k_best(found: list[Found], k: int) -> tuple[Found, np.ndarray]:
+    """Of what was found each query's k best, in order; and the rows that are a k-th one."""
+    a, pids, dist = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((pids, dist, a))
+    a = a[order]
+    rank = np.arange(len(a)) - np.searchsorted(a, a)
+    order, keep = order[rank < k], rank < k
+    return (a[keep], pids[order], dist[order]), np.flatnonzero(rank[keep] == k - 1)
+
+
+def meet(asked: DataFrame, n_asked: int, members: DataFrame, groups: DataFrame, sent, k: int, metric: str, home: bool) -> DataFrame:
+    """qid, pid, dist: each query's (qid, vec, cell, bound, group) k best of what it opens in each part of the group: its
+    own cell (home), or the others in reach of its bound. n_asked: number of queries. groups: cell, group, n; its
+    rows are as many as the hierarchy's cells, which is bounded. Vectors are copied once for each part and block
+    that they meet, and of these there are about GROUPS, until they hold PART_NUMBERS."""
+    dim = sent.value.vec.shape[1]
+    load = asked.groupBy("group").agg(F.count("*").alias("queries"))
+    block = share(n_asked, QUERY_BLOCK, dim)
+    sizes = groups.groupBy("group").agg(F.sum("n").alias("n"))
+    part = share(int(sent.value.n[sent.value.into < 0].sum()), CELL_POINTS, dim)
+    # Cells are cut into groups where a share is full, so that a group has less than two of them, if no cell is larger.
+    shape = F.broadcast(load.join(sizes, "group").select("group", F.ceil(F.col("n") / (2 * part)).alias("parts"), F.ceil(F.col("queries") / block).alias("blocks")))
 
     def dealt(key: str, into: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(into)).alias(into.removesuffix("s"))
@@ -116,57 +168,86 @@ def meet(asked: DataFrame, members: DataFrame, sizes: DataFrame, k: int, metric:
     def each(count: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).alias(count.removesuffix("s"))
 
-    q = asked.join(shape, "cell").select("qid", "vec", "cell", "parts", dealt("qid", "blocks")).select("qid", "vec", "cell", each("parts"), "block")
-    p = members.join(shape, "cell").select("pid", "vec", "cell", dealt("pid", "parts"), "blocks").select("pid", "vec", "cell", "part", each("blocks"))
-    keys = ["cell", "part", "block"]
+    q = asked.join(shape, "group").select("qid", "vec", "cell", "bound", "group", "parts", dealt("qid", "blocks")).select("qid", "vec", "cell", "bound", "group", each("parts"), "block")
+    p = members.join(F.broadcast(groups.select("cell", "group")), "cell").join(shape, "group").select("pid", "vec", "cell", "group", dealt("pid", "parts"), "blocks").select("pid", "vec", "cell", F.col("group").alias("meeting"), "part", each("blocks"))
+    keys = ["part", "block"]
 
     def run(queries: pa.Table, points: pa.Table) -> pa.Table:
-        names = ["qid", "pid", "dist"]
-        qids, pids = queries.column("qid").to_numpy(), points.column("pid").to_numpy()
-        if not len(qids) or not len(pids):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64())], names)
-        rows, vecs = (matrix(t.column("vec").combine_chunks()) for t in (queries, points))
-        return pa.Table.from_batches([best_of(metric, qids[i : i + 512], rows[i : i + 512], pids, vecs, k) for i in range(0, len(qids), 512)])
-
-    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(run, "qid long, pid long, dist double")
-
-
-def search(routes: Routes, members: DataFrame, sizes: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        out = [none]
+        if queries.num_rows and points.num_rows:
+            routes = sent.value
+            ends = np.flatnonzero(routes.into < 0)
+            entry = dict(zip(routes.cell[ends].tolist(), ends.tolist(), strict=True))
+            qids, own, bound, pids, cell = (t.column(c).to_numpy() for t, c in ((queries, "qid"), (queries, "cell"), (queries, "bound"), (points, "pid"), (points, "cell")))
+            rows, vecs = (matrix(t.column("vec").combine_chunks()) for t in (queries, points))
+            order = np.argsort(cell, kind="stable")
+            names, first = np.unique(cell[order], return_index=True)
+            balls, spots = np.array([entry[c] for c in names.tolist()]), np.split(order, first[1:])
+            for i in range(0, len(rows), 512):
+                some, limit, best = rows[i : i + 512], bound[i : i + 512].copy(), none
+                far = metrics.pairwise(metric, some, routes.vec[balls]) - routes.radius[balls] - 2 * metrics.slack(some, routes.vec[balls])
+                for at, c in enumerate(names.tolist()):
+                    is_own = own[i : i + 512] == c
+                    opens = np.flatnonzero(is_own if home else ~is_own & (far[:, at] <= limit))
+                    for j in range(0, len(spots[at]) if len(opens) else 0, 4 * CELL_POINTS):
+                        these = spots[at][j : j + 4 * CELL_POINTS]
+                        a, near, dist = near_in(metric, some[opens], limit[opens], pids[these], vecs[these], k)
+                        best, full = k_best([best, (opens[a], near, dist)], k)
+                        limit[best[0][full]] = np.minimum(limit[best[0][full]], best[2][full])
+                out.append((qids[i + best[0]], *best[1:]))
+        return pa.table([np.concatenate(c) for c in zip(*out, strict=True)], ["qid", "pid", "dist"])
+
+    return q.groupBy("group", *keys).cogroup(p.groupBy("meeting", *keys)).applyInArrow(run, "qid long, pid long, dist double")
+
+
+def search(routes: Routes, members: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     """qid, rk, pid, dist: the exact k nearest members (pid, vec, cell) of each query (qid, vec). A null
     query gives nothing; qid names a query."""
     spark = queries.sparkSession
     sent = spark.sparkContext.broadcast(routes)
+    names, entries, of = cell_groups(routes, metric)
+    groups = spark.createDataFrame(list(zip(names.tolist(), of.tolist(), routes.n[entries].tolist(), strict=True)), "cell long, group long, n long")
+    sent_groups = spark.sparkContext.broadcast((np.sort(names), of[np.argsort(names)]))
     chosen = queries.select(F.col("qid").cast("long").alias("qid"), metrics.doubles(F.col("vec")).alias("vec")).where("vec is not null")
+    columns = "qid long, vec array<double>, cell long, bound double"
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         below = sent.value.below()
         for batch in batches:
             if batch.num_rows:
-                cell, bound = nearest_cell(sent.value, below, metric, matrix(batch.column(1)), k)
+                rows = matrix(batch.column(1))
+                cell, bound = nearest_cell(sent.value, below, metric, rows, k)
+                bound = bound + 2 * metrics.slack(rows, sent.value.vec)  # the walk's figures are rounded
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell), pa.array(bound)], names=["qid", "vec", "cell", "bound"])
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        below = sent.value.below()
+        below, (sorted_cells, group_of) = sent.value.below(), sent_groups.value
         for batch in batches:
             if batch.num_rows:
                 a, cell = open_cells(sent.value, below, metric, matrix(batch.column(1)), batch.column(3).to_numpy(), k)
                 fresh = cell != batch.column(2).to_numpy()[a]
-                at = pa.array(a[fresh])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell[fresh])], names=["qid", "vec", "cell"])
+                group = group_of[np.searchsorted(sorted_cells, cell[fresh])]
+                a, group = np.unique(np.stack([a[fresh], group]), axis=1)
+                asks, first = np.unique(a, return_index=True)
+                offsets = pa.array(np.append(first, len(a)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(asks)).columns, pa.ListArray.from_arrays(offsets, pa.array(group))], names=["qid", "vec", "cell", "bound", "groups"])
 
     order = Window.partitionBy("qid").orderBy("dist", "pid")
 
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
 
-    first = settled(chosen.mapInArrow(start, "qid long, vec array<double>, cell long, bound double"), "first-cells")
-    near = settled(ranked(meet(first, members, sizes, k, metric)), "near")
+    first = settled(chosen.mapInArrow(start, columns), "first-cells")
+    n_asked = first.count()
+    at_home = first.join(F.broadcast(groups.select("cell", "group")), "cell")
+    near = settled(ranked(meet(at_home, n_asked, members, groups, sent, k, metric, True)), "near")
     kth = near.where(F.col("rk") == k).select("qid", F.col("dist").alias("kth"))
     bounded = first.join(kth, "qid", "left").select("qid", "vec", "cell", F.least("bound", "kth").alias("bound"))
-    more = settled(bounded.mapInArrow(further, "qid long, vec array<double>, cell long"), "open-cells")
+    more = settled(bounded.mapInArrow(further, f"{columns}, groups array<long>"), "open-cells")
     if more.isEmpty():
         return near.select("qid", "rk", "pid", "dist")
-    far = meet(more, members, sizes, k, metric)
+    far = meet(more.select("qid", "vec", "cell", "bound", F.explode("groups").alias("group")), n_asked, members, groups, sent, k, metric, False)
     return ranked(near.drop("rk").unionByName(far)).select("qid", "rk", "pid", "dist")
 
 
@@ -229,4 +310,4 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, metric: str = "l2",
     if cloud.isEmpty():
         return points.sparkSession.createDataFrame([], "qid long, rk int, pid long, dist double")
     routes, members = pivot_routes(cloud, metric, cell_points)
-    return search(routes, members, sizes_of(points.sparkSession, routes), queries, k, metric)
+    return search(routes, members, queries, k, metric)

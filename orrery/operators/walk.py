@@ -81,7 +81,7 @@ def tree_knn(tree: CoverTree, queries: DataFrame, k: int, cell_points: int | Non
     if tree.params.metric == "cosine":
         return knn(tree.points, queries, k, "cosine")  # no triangle inequality to prune by
     own = tree.kept("cells", lambda: laid_cells(tree)) if k <= LAID_FOR and cell_points is None else laid_cells(tree, k, cell_points)
-    return cells.search(*own, queries, k, tree.params.metric)
+    return cells.search(own[0], own[1], queries, k, tree.params.metric)
 
 
 def routing_knn(tree: CoverTree, queries: DataFrame, k: int) -> DataFrame:
@@ -90,7 +90,7 @@ def routing_knn(tree: CoverTree, queries: DataFrame, k: int) -> DataFrame:
     if tree.params.metric == "cosine":
         return center_knn(tree, queries, k)
     own = tree.kept("centers", lambda: laid_cells(tree, centers_only=True)) if k <= LAID_FOR else laid_cells(tree, k, centers_only=True)
-    return cells.search(*own, queries, k, tree.params.metric)
+    return cells.search(own[0], own[1], queries, k, tree.params.metric)
 
 
 def with_counts(rows: DataFrame, nodes: DataFrame, total: int) -> DataFrame:

@@ -258,6 +258,19 @@ def test_join_of_points_with_themselves(spark, metric):
     assert {(r.qid, r.rk): r.pid for r in found.collect()} == want
 
 
+def test_join_shuffles_by_groups(spark, monkeypatch):
+    """However many cells a query opens, its vector is laid out once and copied once for each of a few groups."""
+    rows, laid, settled = np.random.default_rng(3).normal(size=(300, 6)).astype(np.float32), {}, cells.settled
+    monkeypatch.setattr(cells, "settled", lambda df, name: laid.setdefault(name, settled(df, name)))
+    monkeypatch.setattr(cells, "CELL_POINTS", 4)
+    monkeypatch.setattr(cells, "GROUPS", 3)
+    found = cells.knn_join(cloud(spark, rows), asked(spark, rows), 3, cell_points=4)
+    assert {(r.qid, r.rk): r.pid for r in found.collect()} == near_by(rows, rows, 3)
+    assert laid["members"].select("cell").distinct().count() > 30
+    assert laid["open-cells"].count() <= len(rows)
+    assert laid["open-cells"].agg(F.max(F.size("groups"))).first()[0] <= 3
+
+
 def test_join_edges(spark):
     points = cloud(spark, np.float32([[0.0], [1.0], [1.0], [3.0]]))
     one = spark.createDataFrame([(7, [1.0]), (8, None)], "qid long, vec array<float>")
