@@ -353,6 +353,30 @@ def claims(state: DataFrame, drawn: DataFrame, params: TreeParams, first: bool,
     return state.join(found.groupBy("pid").agg(choice).select("pid", "c.cid", "c.cdist"), "pid", "left").select(*state.columns, "cid", "cdist")
 
 
+def net(metric: str, vecs: np.ndarray, reach: float) -> list[int]:
+    """Rows that no picked row before is nearer to than reach. Rows are picked in blocks, and those of a block are
+    held against all later rows at once; only pairs that rounding leaves open are measured one by one."""
+    left, picked = np.arange(len(vecs)), []
+    while len(left):
+        block, left, fresh = left[:LAST_BATCH], left[LAST_BATCH:], []
+        while len(block):
+            fresh.append(int(block[0]))
+            block = block[1:][~(metrics.rows_to_point(metric, vecs[block[1:]], vecs[block[0]]) < reach)]
+        picked += fresh
+        open_parts = [left[:0]]
+        for i in range(0, len(left), PART_POINTS):
+            part = left[i : i + PART_POINTS]
+            near, loose = metrics.pairwise(metric, vecs[fresh], vecs[part]), 2 * metrics.slack(vecs[fresh], vecs[part])
+            covered = (near < reach - loose).any(axis=0)
+            unsure = (np.abs(near - reach) <= loose) & ~covered
+            for a in np.flatnonzero(unsure.any(axis=1)):
+                spots = np.flatnonzero(unsure[a])
+                covered[spots] |= metrics.rows_to_point(metric, vecs[part[spots]], vecs[fresh[a]]) < reach
+            open_parts.append(part[~covered])
+        left = np.concatenate(open_parts)
+    return picked
+
+
 def drawn_centers(open_points: DataFrame, params: TreeParams, width: int) -> DataFrame:
     """scale, center, n, cid, ord, cvec: the centers of every large node. open_points: pid, vec, ord, scale,
     center, n, reach of the points that the node's own center leaves uncovered.
@@ -365,11 +389,7 @@ def drawn_centers(open_points: DataFrame, params: TreeParams, width: int) -> Dat
     def draw(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["ord", "pid"])
         vecs, reach = np.array(batch["vec"].tolist(), np.float64), float(batch["reach"].iloc[0])
-        left, picked = np.arange(len(batch)), []
-        while len(left):
-            picked.append(left[0])
-            left = left[1:][~(metrics.rows_to_point(params.metric, vecs[left[1:]], vecs[left[0]]) < reach)]
-        return batch.iloc[picked][["scale", "center", "n", "pid", "ord", "vec"]].rename(columns={"pid": "cid", "vec": "cvec"})
+        return batch.iloc[net(params.metric, vecs, reach)][["scale", "center", "n", "pid", "ord", "vec"]].rename(columns={"pid": "cid", "vec": "cvec"})
 
     columns, node = ["pid", "vec", "ord", "scale", "center", "n", "reach"], ["scale", "center"]
     uncovered, rounds = settled(open_points.select(*columns), "uncovered"), []

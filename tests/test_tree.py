@@ -356,3 +356,20 @@ def test_own_metric(spark, rows, weighted):
     tree = build(points, TreeParams(metric="weighted"))
     for found in (knn(points, asked(spark, rows[:4]), 3, "weighted"), walk.tree_knn(tree, asked(spark, rows[:4]), 3)):
         assert {(r.qid, r.rk): r.pid for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", "cosine"])
+def test_net_by_blocks(monkeypatch, metric):
+    """The net in order, of points on a grid whose distances often equal the reach; rows are measured in blocks."""
+    vecs, measured, one = np.random.default_rng(8).integers(0, 4, (1500, 5)).astype(float), [], metrics.rows_to_point
+    reach = {"l2": 2.0, "l1": 2.0, "cosine": 0.002}[metric]
+    left, want = np.arange(len(vecs)), []
+    while len(left):
+        want.append(int(left[0]))
+        left = left[1:][~(one(metric, vecs[left[1:]], vecs[left[0]]) < reach)]
+    monkeypatch.setattr(tree_module, "LAST_BATCH", 40)
+    assert tree_module.net(metric, vecs, reach) == want
+    far = np.random.default_rng(9).normal(size=(1500, 12))
+    monkeypatch.setattr(metrics, "rows_to_point", lambda name, rows, point: measured.append(len(rows)) or one(name, rows, point))
+    assert tree_module.net("l2", far, 0.1) == list(range(1500))
+    assert sum(measured) < 1500 * 40
