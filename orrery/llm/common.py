@@ -35,13 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends here, and a lost
-    executor costs no recomputation of what went into it."""
+    executor costs no recomputation of what went into it. Pressed by zstd, as some hold whole texts."""
     spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     path = f"{shared_dir(spark)}/orrery/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(setting, None)
     spark.conf.set(setting, BATCH_BYTES)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(setting, before) if before is not None else spark.conf.unset(setting)
     return spark.read.schema(df.schema).parquet(path)

@@ -445,9 +445,11 @@ def classes(docs: DataFrame, words: int = SHINGLE_WORDS, fold: bool = True, thre
     copies = docs.select(F.xxhash64(empty_text()).alias("id"), own.alias("own")).groupBy("id").agg(F.count("*").alias("copies"), F.min("own").alias("own"))
     named = kept(known.join(copies, "id"), "texts")
     lists = kept(short_lists(docs, frequent, shingle, threshold), "short-lists")
+    forget(measured)
     live = kept(shared_lists(lists, threshold), "shared-lists")
+    forget(lists)
     edges = kept(candidate_edges(live, named, threshold, LIST_BLOCK), "candidates")
-    forget(measured, lists, live)
+    forget(live)
     groups = kept(components(edges).join(named.select("id", "n", "copies"), "id"), "groups")
     found = kept(verified(docs, groups, shingle, threshold), "links")
     forget(edges, groups)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import doc_key, empty_text, kept, met, met_once, small_or_not
+from orrery.llm.common import doc_key, empty_text, forget, kept, met, met_once, small_or_not
 
 #: Unless the caller says otherwise, lines of fewer characters are only compared for equality: they are
 #: single words mostly, which one edit turns into other words ("A.", "An."). With 1 there is no floor.
@@ -142,10 +142,12 @@ def drops(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     company = kept(with_company(distinct), "lines-in-company")
     long = rows.where(F.length("line") >= min_chars).select("h1", "h2", "line")
     texts = met_once(long, company, "h1", ["h1", "h2"], BROADCAST_ROWS)
-    near = near_pairs(kept(texts.join(distinct.select("h1", "h2", "place"), ["h1", "h2"]), "lines-to-vary")).select("h1", "h2").distinct()
+    vary = kept(texts.join(distinct.select("h1", "h2", "place"), ["h1", "h2"]), "lines-to-vary")
+    near = near_pairs(vary).select("h1", "h2").distinct()
     told = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near"))
     verdicts = kept(told.select("h1", "h2", "n", "place", F.coalesce("near", F.lit(False)).alias("near")), "line-verdicts")
     total = distinct.agg(F.sum("n")).first()[0] or 0
+    forget(distinct, company, vary)
     found = met(rows.select("h1", "h2", "k1", "k2", "line_no"), verdicts, ["h1", "h2"], ["k1", "k2", "line_no"], "n", total).where(F.col("place").isNotNull())
     first = (F.col("k1") == F.col("place.k1")) & (F.col("k2") == F.col("place.k2")) & (F.col("line_no") == F.col("place.line_no"))
     return (
